@@ -1,4 +1,4 @@
-"""What the operators share: shipping the package, staged tables in the shared folder, and vectorised word arithmetic.
+"""What the operators share: shipping the package, and vectorised word arithmetic.
 
 Words are maximal runs of bytes outside 0x20 and 0x09-0x0D. In UTF-8 those bytes never occur inside another
 character, so all functions here work on the raw Arrow buffers without decoding.
@@ -10,14 +10,16 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..staging import new_folder, staged  # noqa: F401  the operators take them from here
+
 
 SHIPPED: set[str] = set()
 #: Bytes of text handled at once inside a task; one longer document is handled alone.
@@ -40,28 +42,6 @@ def ship(spark: SparkSession) -> None:
     SHIPPED.add(context.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset, one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="rosterlake-shared-")
-        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rosterlake/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, and n+1 offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
