@@ -20,7 +20,9 @@ from .common import ship, staged
 
 BLOCK_ROWS, CHUNK_ROWS = 8192, 2048
 #: Projections, share of a block that has to reach the threshold before widening ends, and the threshold's share of projections.
-PROJECTIONS, VERIFIED, COLLISIONS = 96, 0.12, 0.5
+PROJECTIONS, VERIFIED, COLLISIONS = 130, 0.09, 0.7
+#: The first windows hold this share of a block on average; each step widens them by GROWTH.
+FIRST, GROWTH = 0.6, 1.15
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -41,27 +43,38 @@ class Block:
         self.order = np.argsort(values, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(values, self.order.T, axis=0).T.copy()
 
-    def candidates(self, query: np.ndarray, enough: int) -> np.ndarray:
-        """Vectors over the threshold after the widening at which at least `enough` are."""
+    def windows(self, at: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """First and end place in every sorted projection of the windows around the queries' projections."""
+        low = np.stack([np.searchsorted(s, x - width) for s, x in zip(self.sorted, at.T)], axis=1)
+        return low, np.stack([np.searchsorted(s, x + width, "right") for s, x in zip(self.sorted, at.T)], axis=1)
+
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """In how many windows each vector stands; wide windows are counted by what stands outside."""
+        n, m = len(self.vectors), len(self.order)
+        if 2 * (high - low).sum() < n * m:
+            return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high)]), minlength=n)
+        outside = [x for o, a, b in zip(self.order, low, high) for x in (o[:a], o[b:])]
+        return m - np.bincount(np.concatenate(outside), minlength=n)
+
+    def candidates(self, queries: np.ndarray, enough: int):
+        """(query number, vectors over the threshold), after the widening at which at least `enough` are."""
         n, m = len(self.vectors), len(self.order)
-        at = np.append(query, 0.0) @ self.lines
-        width = max(np.linalg.norm(query), 1e-30) * 0.05
-        enough, need = min(enough, n), max(1, int(COLLISIONS * m))
-        counts = np.zeros(n, np.int32)
-        left = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at)])
-        right = left.copy()
-        while True:
-            grown = []
-            for j in range(m):
-                a, b = np.searchsorted(self.sorted[j], (at[j] - width, at[j] + width))
-                a, b = min(a, left[j]), max(b, right[j])
-                grown += [self.order[j, a : left[j]], self.order[j, right[j] : b]]
-                left[j], right[j] = a, b
-            counts += np.bincount(np.concatenate(grown), minlength=n).astype(np.int32)
-            over = np.flatnonzero(counts >= need)
-            if len(over) >= enough or (right - left).min() == n:
-                return over
-            width *= 1.25
+        at = np.column_stack([queries, np.zeros(len(queries))]) @ self.lines
+        enough, need = min(enough, n), int(np.ceil(COLLISIONS * m))
+        width = max(float(np.median(self.sorted.std(axis=1))) * 0.5, 1e-12)
+        waiting = np.arange(len(queries))
+        while len(waiting):
+            low, high = self.windows(at[waiting], width)
+            share = (high - low).sum(axis=1) / (n * m)
+            left = []
+            for i, query in enumerate(waiting):
+                if share[i] >= FIRST:
+                    over = np.flatnonzero(self.collisions(low[i], high[i]) >= need)
+                    if len(over) >= enough or share[i] == 1:
+                        yield query, over
+                        continue
+                left.append(query)
+            waiting, width = np.array(left, int), width * GROWTH
 
 
 def search_block(left, right, k: int, largest: float, seed: int) -> pa.Table:
@@ -74,12 +87,12 @@ def search_block(left, right, k: int, largest: float, seed: int) -> pa.Table:
     block = Block(vectors, largest, seed)
     enough = max(4 * (k + 1), int(VERIFIED * len(ids)))
     out_q, out_v, out_s = [], [], []
-    for query_id, query in zip(right.column("query_id").to_numpy(), matrix(right.column("query"), dims)):
-        near = block.candidates(query, enough)
-        near = near[ids[near] != query_id]
-        score = (vectors[near] * query).sum(axis=1)
+    query_ids, queries = right.column("query_id").to_numpy(), matrix(right.column("query"), dims)
+    for i, near in block.candidates(queries, enough):
+        near = near[ids[near] != query_ids[i]]
+        score = (vectors[near] * queries[i]).sum(axis=1)
         best = np.lexsort((ids[near], -score))[:k]
-        out_q.append(np.full(len(best), query_id))
+        out_q.append(np.full(len(best), query_ids[i]))
         out_v.append(ids[near][best])
         out_s.append(score[best])
     return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)}).cast(empty.schema)
