@@ -23,7 +23,7 @@ from ..staging import new_folder, staged  # noqa: F401  the operators take them
 
 SHIPPED: set[str] = set()
 #: Bytes of text handled at once inside a task; one longer document is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -66,6 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

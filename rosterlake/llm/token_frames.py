@@ -31,8 +31,8 @@ from .common import new_folder, ship, slices, staged, text_buffers
 
 # Fixed values of the zstd seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
-#: Decompressed bytes of a frame, unless one document has more.
-FRAME_BYTES, LEVEL, CACHE_WORDS = 1 << 20, 3, 1_000_000
+#: Decompressed bytes of a frame, unless one document has more; zstd level; words whose ids a worker keeps (about 150 bytes each).
+FRAME_BYTES, LEVEL, CACHE_WORDS = 1 << 20, 3, 500_000
 MANIFEST = "path string, first_doc long, n_docs long, n_tokens long"
 ENCODERS: dict[int, Encoder] = {}
 
@@ -60,17 +60,21 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Ids of new words: encoded many at a time, parted by an added token, without case and closing stops."""
-        known, cores = self.known, {}
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words. New ones are encoded many at a time, parted by an added token, without case and closing stops."""
+        known, pairs, out = self.known, {}, {}
         for w in words:
             low = w.lower()
             if any(a in low for a in self.added):
-                known[w] = self.ids([w.decode()])[0]
+                out[w] = self.ids([w.decode()])[0]
                 continue
             core = low.rstrip(b".,")
-            cores[w] = (core, low[len(core) :]) if core and (core[-1] > 127 or core[-1:].isalnum()) else (low, b"")
-        new = [c for c in dict.fromkeys(x for pair in cores.values() for x in pair) if c and c not in known]
+            pairs[w] = (core, low[len(core) :]) if core and (core[-1] > 127 or core[-1:].isalnum()) else (low, b"")
+        new = [c for c in {x for pair in pairs.values() for x in pair} if c not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = list({x for pair in pairs.values() for x in pair})
+        known[b""] = b""
         mark = self.added[-1].decode()
         mark_id = self.tokenizer.token_to_id(mark)
         for at in range(0, len(new), 500):
@@ -80,19 +84,17 @@ class Encoder:
             raw, size = ids.tobytes(), self.dtype.itemsize
             for c, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
                 known[c] = raw[a * size : b * size]
-        known[b""] = b""
-        for w, (core, stops) in cores.items():
-            known[w] = known[core] + known[stops]
+        for w, (core, stops) in pairs.items():
+            out[w] = known[core] + known[stops]
+        return out
 
     def encode(self, raw: bytes, offsets: np.ndarray) -> list[bytes]:
         texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         if not self.by_word:
             return self.ids([t.decode() for t in texts])
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         split = [t.split() for t in texts]
-        self.learn(set().union(*split) - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        ids = self.learn(set().union(*split))
+        return [b"".join(map(ids.__getitem__, words)) for words in split]
 
 
 def encoder(spec: str) -> Encoder:
