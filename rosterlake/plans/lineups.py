@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.locks import KEY, DefenseNotFound, Request, candidates, compositions, request_rows, residuals
-from ..schema import CAP, LIMITS, PLAYERS, POOL_COLUMNS, position_order
+from ..schema import CAP, PLAYERS, POOL_COLUMNS, position_order
 from ..sources.snapshots import latest_week, listed_files, read_pools, records
 from ..staging import staged
 from .solver import SCALE, micro, solve
@@ -17,11 +17,7 @@ def solved(pool: DataFrame, requests: list[Request]) -> tuple[DataFrame, DataFra
     rows = staged(candidates(pool, request_rows(pool.sparkSession, requests)), "candidates")
     left = staged(residuals(rows), "residuals")
     free = rows.where("not locked and not dst_missing").join(rows.where("locked").select(*KEY, "player").distinct(), [*KEY, "player"], "left_anti")
-    flexible = PLAYERS - sum(LIMITS.values())
-    base = {"QB": LIMITS["QB"], "RB": LIMITS["RB"], "WR": LIMITS["WR"], "TE": LIMITS["TE"], "DST": LIMITS["DST"]}
-    room = flexible + max((sum(1 for _ in r.included) for r in requests), default=0)
-    largest = {p: min(PLAYERS, n + (room if p in ("RB", "WR", "TE") else 0)) for p, n in base.items()}
-    best = solve(free.select(*KEY, "position", "idx", "salary", micro(F.col("proj_fpts")).alias("points")), compositions(left.where("not dst_missing")), largest)
+    best = solve(free.select(*KEY, "position", "idx", "salary", micro(F.col("proj_fpts")).alias("points")), compositions(left.where("not dst_missing")))
     return rows, left, staged(best, "best")
 
 
