@@ -85,11 +85,12 @@ def mix(docs: DataFrame, seed: int = 42, share: float = SHARE, epochs: int = EPO
     numbered = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("words") / BLOCK) - 1).cast("long")), lambda b: F.struct(F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit("\0")), "shard", b).alias("h"), b.alias("b")))
     # Blocks in seeded order until the rest is filled; the last one gives a part.
     chosen = F.slice(F.array_sort(numbered), 1, F.ceil(F.col("rest") / BLOCK).cast("int") + 1)
-    cells = cells.withColumn("chosen", F.when(F.col("rest") > 0, F.transform(chosen, lambda x: x["b"])).otherwise(F.array().cast("array<long>")))
+    cells = staged(cells.withColumn("chosen", F.when(F.col("rest") > 0, F.transform(chosen, lambda x: x["b"])).otherwise(F.array().cast("array<long>"))), "cells")
     size_of = F.least(F.lit(BLOCK).cast("long"), F.col("words") - F.col("b") * BLOCK)
     parts = cells.select("source", "shard", "words", "rest", F.posexplode("chosen").alias("place", "b"))
     filled = Window.partitionBy("source", "shard").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum(size_of).over(filled), F.lit(0))).withColumn("gives", F.least(size_of, F.col("rest") - F.col("before"))).where("gives > 0")
+    parts = staged(parts.select("source", "shard", "b", "gives"), "blocks")  # written, so that joins know their size: an exploded one looks as small as its cells
     # Documents in seeded order, with their first word's place in the shard, and the blocks they touch.
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = staged(joined.withColumn("at", F.coalesce(F.sum("size").over(line), F.lit(0))).withColumn("row", F.row_number().over(Window.partitionBy("source", "shard").orderBy("at", "doc_id", "size"))), "placed")
