@@ -121,8 +121,8 @@ def item_windows(items: DataFrame, width: int, literals: int) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, similarity: float = 0.8, literals: int = 3) -> DataFrame:
     """doc_id, item_id, start, n_windows, n_matched, containment, kind: the items that documents hold.
 
-    start is the word where the first matching alignment puts the item's begin. kind is 'exact' if all slots of the
-    matched windows hold the item's own words, else 'reparameterised'. Alignments in which one word of the
+    start is the word where the alignment that matches most windows puts the item's begin. kind is 'exact' if every
+    matched window also stands there with the item's own words, else 'reparameterised'. Alignments in which one word of the
     item stands for different words of the document are no match. Windows with fewer than `literals` literal words count only for items that have no others. Items
     of fewer than `width` words, null items and null or empty texts match nothing; rows without a doc_id or item_id
     take no part. Repeated rows of a document or item give one result row. Very long texts are handled alone, whole.
@@ -138,10 +138,11 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, similarity:
     hits = texts.mapInArrow(windows(width, keys), WINDOW_SCHEMA)
     pairs = hits.join(targets, "key").select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "n_windows", "slots", "item_slots")
     key = ["doc_id", "item_id", "shift"]
-    aligned = pairs.groupBy(*key).agg(F.collect_set("item_pos").alias("positions"), F.first("n_windows").alias("n_windows"), F.count_if(F.expr("slots != item_slots")).alias("n_changed"))
+    distinct = lambda sets: F.size(F.array_distinct(F.flatten(F.collect_list(sets)))).cast("long")
+    same = F.when(F.expr("slots = item_slots"), F.col("item_pos"))
+    aligned = pairs.groupBy(*key).agg(F.collect_set("item_pos").alias("positions"), F.collect_set(same).alias("own_words"), F.first("n_windows").alias("n_windows"))
     slots = (
-        pairs.where(F.expr("slots != item_slots"))
-        .select(*key, F.explode(F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0)).alias("pair"))
+        pairs.select(*key, F.explode(F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0)).alias("pair"))
         .groupBy(*key, F.col("pair.item_slots").alias("own"))
         .agg(F.min("pair.slots").alias("least"), F.max("pair.slots").alias("most"))
         .groupBy(*key)
@@ -151,8 +152,11 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, similarity:
         aligned.join(slots, key, "left")
         .where(~F.coalesce("torn", F.lit(False)))
         .groupBy("doc_id", "item_id")
-        .agg(F.min("shift").alias("start"), F.first("n_windows").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("long").alias("n_matched"), F.sum("n_changed").alias("n_changed"))
+        .agg(
+            F.max_by("shift", F.struct(F.size("positions"), F.size("own_words"), -F.col("shift"))).alias("start"), F.first("n_windows").alias("n_windows"),
+            distinct("positions").alias("n_matched"), distinct("own_words").alias("n_exact"),
+        )
         .withColumn("containment", F.col("n_matched") / F.col("n_windows"))
         .where(F.col("containment") >= similarity)
-        .select("doc_id", "item_id", "start", "n_windows", "n_matched", "containment", F.when(F.col("n_changed") == 0, "exact").otherwise("reparameterised").alias("kind"))
+        .select("doc_id", "item_id", "start", "n_windows", "n_matched", "containment", F.when(F.col("n_exact") == F.col("n_matched"), "exact").otherwise("reparameterised").alias("kind"))
     )
