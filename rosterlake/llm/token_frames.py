@@ -32,7 +32,7 @@ from .common import new_folder, ship, slices, staged, text_buffers
 # Fixed values of the zstd seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Decompressed bytes of a frame, unless one document has more; zstd level; words whose ids a worker keeps (about 150 bytes each).
-FRAME_BYTES, LEVEL, CACHE_WORDS = 1 << 20, 3, 500_000
+FRAME_BYTES, LEVEL, CACHE_WORDS = 1 << 20, 3, 1_000_000
 MANIFEST = "path string, first_doc long, n_docs long, n_tokens long"
 ENCODERS: dict[int, Encoder] = {}
 
@@ -55,26 +55,37 @@ class Encoder:
             and any(x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in replaces) and any(x["type"] == "Lowercase" for x in normal["normalizers"])
             and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and parts["model"].get("end_of_word_suffix")
         )
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words. New ones are encoded many at a time, parted by an added token, without case and closing stops."""
-        known, pairs, out = self.known, {}, {}
+    def recall(self, words: set[bytes]) -> list[bytes]:
+        """Bring words back from the older half of the cache; returns those it doesn't hold."""
+        known, older, new = self.known, self.older, []
         for w in words:
+            ids = older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        return new
+
+    def learn(self, words: set[bytes]) -> None:
+        """Have the ids of all words in known. Once known holds half of CACHE_WORDS it becomes the older half, so words in
+        use stay. New ones are encoded many at a time, parted by an added token, without case and closing stops."""
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.older = {b"": b""}, self.known
+        known, pairs = self.known, {}
+        for w in self.recall(words - known.keys()):
             low = w.lower()
             if any(a in low for a in self.added):
-                out[w] = self.ids([w.decode()])[0]
+                known[w] = self.ids([w.decode()])[0]
                 continue
             core = low.rstrip(b".,")
             pairs[w] = (core, low[len(core) :]) if core and (core[-1] > 127 or core[-1:].isalnum()) else (low, b"")
-        new = [c for c in {x for pair in pairs.values() for x in pair} if c not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list({x for pair in pairs.values() for x in pair})
-        known[b""] = b""
+        new = self.recall({x for pair in pairs.values() for x in pair} - known.keys())
         mark = self.added[-1].decode()
         mark_id = self.tokenizer.token_to_id(mark)
         for at in range(0, len(new), 500):
@@ -85,16 +96,15 @@ class Encoder:
             for c, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
                 known[c] = raw[a * size : b * size]
         for w, (core, stops) in pairs.items():
-            out[w] = known[core] + known[stops]
-        return out
+            known[w] = known[core] + known[stops]
 
     def encode(self, raw: bytes, offsets: np.ndarray) -> list[bytes]:
         texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         if not self.by_word:
             return self.ids([t.decode() for t in texts])
         split = [t.split() for t in texts]
-        ids = self.learn(set().union(*split))
-        return [b"".join(map(ids.__getitem__, words)) for words in split]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 def encoder(spec: str) -> Encoder:
