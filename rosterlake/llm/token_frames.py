@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -37,6 +38,13 @@ MANIFEST = "path string, first_doc long, n_docs long, n_tokens long"
 ENCODERS: dict[int, Encoder] = {}
 
 
+def ends_plain(core: bytes) -> bool:
+    """Whether the tokenizer parts what follows: the last character, as it is normalised, is a letter or a number."""
+    if core and core[-1] > 127:
+        return unicodedata.normalize("NFC", core.decode()).lower()[-1:].isalnum()
+    return core[-1:].isalnum()
+
+
 class Encoder:
     """Texts to little-endian ids. Where the tokenizer drops white space and never joins across it, words are encoded
     once and kept, because their ids don't depend on what stands around them."""
@@ -84,7 +92,7 @@ class Encoder:
                 known[w] = self.ids([w.decode()])[0]
                 continue
             core = low.rstrip(b".,")
-            pairs[w] = (core, low[len(core) :]) if core and (core[-1] > 127 or core[-1:].isalnum()) else (low, b"")
+            pairs[w] = (core, low[len(core) :]) if len(core) < len(low) and ends_plain(core) else (low, b"")
         new = self.recall({x for pair in pairs.values() for x in pair} - known.keys())
         mark = self.added[-1].decode()
         mark_id = self.tokenizer.token_to_id(mark)

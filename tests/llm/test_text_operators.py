@@ -168,6 +168,19 @@ def test_pii_query_digest(spark, tmp_path):
         assert r.n_email + r.n_ip + r.n_card + r.n_phone == (joined.count(",") + 1 if joined else 0)
 
 
+def test_words_encode_as_whole_texts_do():
+    from tokenizers import Tokenizer
+
+    spec = open(queries.tokenizer_path()).read()
+    own, plain = token_frames.Encoder(spec), Tokenizer.from_str(spec)
+    assert own.by_word
+    signs = [chr(c) for c in (*range(33, 0x3100), *range(0xFB00, 0xFFFE), *range(0x1F300, 0x1F700))]
+    texts = [f"a{c}. b{c}c, {c}.,{c} {c}" for c in signs] + ["word”. x…, a—. 日本。. हिन्दी. İ. it's. <|ENDOFTEXT|>."]
+    offsets = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    got = [np.frombuffer(x, own.dtype).tolist() for x in own.encode("".join(texts).encode(), offsets)]
+    assert got == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
