@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BASE, first_of, mixed, prefix_sums, ship, slices, span_hashes, staged, text_buffers, word_bounds, word_hashes
 
-ANCHOR_SCHEMA = "anchor long, extent int, doc_id long, run_start int, run_end int, again boolean"
+ANCHOR_SCHEMA = "anchor long, extent long, doc_id long, run_start int, run_end int, again boolean"
 WINDOW_SCHEMA = "anchor long, window long, doc_id long, start int, again boolean"
 
 
@@ -66,7 +66,7 @@ def seeds(length: int, gram: int):
             doc = runs["doc"]
             again = ~first_of(mixed(runs["anchor"] + mixed(runs["extent"] + mixed(doc.astype(np.uint64)))))
             yield pa.RecordBatch.from_arrays(
-                [runs["anchor"].view(np.int64), runs["extent"].astype(np.uint32).view(np.int32), ids[doc], (runs["lo"] - bounds[doc]).astype(np.int32), (runs["hi"] - bounds[doc]).astype(np.int32), again],
+                [runs["anchor"].view(np.int64), runs["extent"].view(np.int64), ids[doc], (runs["lo"] - bounds[doc]).astype(np.int32), (runs["hi"] - bounds[doc]).astype(np.int32), again],
                 ["anchor", "extent", "doc_id", "run_start", "run_end", "again"],
             )
 
