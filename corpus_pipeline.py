@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import decontamination, mixing, simhash, token_frames, toxicity
+from rosterlake.llm import decontamination, mixing, near_copies, token_frames, toxicity
 from rosterlake.llm.common import staged
 from rosterlake.llm.queries import table, tokenizer_path, toxicity_model
 
@@ -20,8 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component; rows without an id stay, for nothing tells them apart."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """The document of the smallest id of each component of near copies (five-word Jaccard 0.8 or more); rows without an
+    id stay, for nothing tells them apart. op8's own parameters, three words and three bits, are its contract alone."""
+    kept = near_copies.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").join(kept, "doc_id", "left_semi"))
 
 
