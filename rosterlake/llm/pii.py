@@ -14,8 +14,6 @@ wherever they stand.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +23,8 @@ SPACE = r"\x20\x09-\x0D"
 LOCAL = r"A-Za-z0-9._%+-"
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<start:int,end:int,value:string,left:string>>"
-#: Distinct seed values that a pattern needs, the most patterns that are followed, rounds, and the score that counts.
-MIN_SUPPORT, MAX_PATTERNS, ROUNDS, THRESHOLD = 5, 64, 3, 0.9
+#: Distinct seed values that a pattern needs, rounds, and the score that counts.
+MIN_SUPPORT, ROUNDS, THRESHOLD = 5, 3, 0.9
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -88,30 +86,28 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", "base", outside.alias("others"))
 
 
-def pattern_totals(docs: DataFrame, patterns: list[str]) -> DataFrame:
-    """left, total: how often each two-word pattern stands before another word anywhere in the corpus."""
-    words = rf"[{SPACE}]+"
-    choices = "|".join(words.join(re.escape(w) for w in p.split(" ")) for p in patterns)
-    text = F.lower("text")
-    found = F.regexp_extract_all(text, F.lit(rf"(?<![^{SPACE}])(?:{choices})(?=[{SPACE}]+[^{SPACE}])"), F.lit(0))
-    hits = docs.select(F.explode(found).alias("hit"))
-    return hits.groupBy(F.regexp_replace("hit", words, " ").alias("left")).agg(F.count(F.lit(1)).alias("total"))
+def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """left, total: how often each two-word pattern (left) stands before another word anywhere in the corpus.
+
+    Every pair of words is probed against the patterns; Spark picks the join by the size of their table."""
+    words = docs.select(F.filter(F.split(F.lower("text"), f"[{SPACE}]+"), lambda w: w != "").alias("words")).where(F.size("words") > 2)
+    n = F.size("words") - 2
+    pairs = words.select(F.explode(F.arrays_zip(F.slice("words", 1, n).alias("one"), F.slice("words", 2, n).alias("two"))).alias("pair"))
+    return pairs.select(F.concat_ws(" ", "pair.one", "pair.two").alias("left")).join(patterns.select("left"), "left").groupBy("left").agg(F.count(F.lit(1)).alias("total"))
 
 
 def bootstrap(docs: DataFrame, seen: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
     """value, kind of the identifiers that high-confidence patterns discover; None if no pattern has support."""
     seeds = seen.select(F.explode("base").alias("x")).select("x.kind", "x.value", "x.left").where("left is not null")
     support = seeds.groupBy("left", "kind").agg(F.count_distinct("value").alias("n_values"))
-    strong = support.where(F.col("n_values") >= min_support).groupBy("left").agg(F.max_by("kind", F.struct("n_values", "kind")).alias("kind"), F.max("n_values").alias("n_values"))
-    chosen = strong.orderBy(F.desc("n_values"), "left").limit(MAX_PATTERNS).collect()
-    if not chosen:
+    strong = support.where(F.col("n_values") >= min_support).groupBy("left").agg(F.max_by("kind", F.struct("n_values", "kind")).alias("kind"))
+    patterns = staged(strong, "patterns")
+    if patterns.isEmpty():
         return None
-    spark = docs.sparkSession
-    patterns = spark.createDataFrame([(r["left"], r["kind"]) for r in chosen], "left string, kind string")
-    totals = staged(patterns.join(pattern_totals(docs, [r["left"] for r in chosen]), "left"), "totals")
+    totals = staged(patterns.join(pattern_totals(docs, patterns), "left"), "totals")
     others = seen.select(F.explode("others").alias("x")).select("x.value", "x.left").where("left is not null")
-    known = seeds.alias("s").join(F.broadcast(totals.alias("p")), F.expr("s.left = p.left and s.kind = p.kind")).groupBy("p.left").agg(F.count(F.lit(1)).alias("sure"))  # at most MAX_PATTERNS rows
-    edges = staged(others.join(F.broadcast(totals), "left").groupBy("left", "kind", "value").agg(F.count(F.lit(1)).alias("n")), "edges")  # at most MAX_PATTERNS rows
+    known = staged(seeds.join(totals, ["left", "kind"]).groupBy("left").agg(F.count(F.lit(1)).alias("sure")), "known")
+    edges = staged(others.join(totals, "left").groupBy("left", "kind", "value").agg(F.count(F.lit(1)).alias("n")), "edges")
     values = edges.select("kind", "value", F.lit(0.0).alias("confidence")).limit(0)
     for _ in range(ROUNDS):
         gained = edges.join(values, ["kind", "value"], "left").groupBy("left").agg(F.sum(F.col("n") * F.coalesce("confidence", F.lit(0.0))).alias("gain"))

@@ -159,6 +159,20 @@ def test_pii_contexts_discover_unseen_identifiers(spark):
     assert not [r for r in pii.find_pii(frame(spark, common_words)).collect() if r.extra]
 
 
+def test_pii_follows_every_pattern_with_support(spark):
+    """Eighty common contexts with more seeds than the one that tells."""
+    rows = [(p * 10 + i, f"so of{p} the{p} +1 (988) 555-{1000 + i} " + f"of{p} the{p} day " * 5) for p in range(80) for i in range(8)]
+    rows += [(2000 + i, f"and call at +1 (977) 555-{1000 + i} now") for i in range(5)] + [(3000, "just call at 555-0199 today"), (3001, "so of1 the1 555-0198 day")]
+    found = {r.doc_id: [f"{x.kind}:{x.value}" for x in r.extra] for r in pii.find_pii(frame(spark, rows), threshold=0.8).collect() if r.extra}
+    assert found == {3000: ["phone:555-0199"]}
+
+
+def test_pii_totals_count_every_occurrence(spark):
+    docs = frame(spark, [(1, "Call  call\tcall call x"), (2, "a call call"), (3, None), (4, "x"), (5, "call at (now")])
+    got = pii.pattern_totals(docs, spark.createDataFrame([("call call",), ("call at",), ("no such",)], "left string")).collect()
+    assert {r.left: r.total for r in got} == {"call call": 3, "call at": 1}
+
+
 def test_pii_query_digest(spark, tmp_path):
     frame(spark, PII_ROWS).write.parquet(f"{tmp_path}/documents.parquet")
     texts = dict(PII_ROWS)
