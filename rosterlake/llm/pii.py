@@ -14,6 +14,8 @@ wherever they stand.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +29,48 @@ SPAN = "array<struct<start:int,end:int,value:string,left:string>>"
 MIN_SUPPORT, ROUNDS, THRESHOLD = 5, 3, 0.9
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """All matches as structs of start, end (code points, end exclusive), value, and the two words before."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def last_words(text: Column) -> Column:
+    """The last two words, or all of fewer: from the last 60 characters if those hold three, so that two are whole."""
+    def words(x: Column) -> Column:
+        return F.filter(F.split(x, f"[{SPACE}]+"), lambda w: w != "")
+
+    enough = let(words(F.right(text, F.lit(60))), lambda near: F.when((F.size(near) > 2) | (F.length(text) <= 60), near).otherwise(words(text)))
+    return let(enough, lambda w: F.when(F.size(w) > 2, F.slice(w, -2, 2)).otherwise(w))
+
+
+def spans(text: Column, pattern: str, masked: Column | None = None) -> Column:
+    """All matches as structs of start, end (code points, end exclusive), value, and the two words before.
+
+    Matches are looked for in `masked`, which has another character in some places of the text; value and words are the text's own."""
+    where = text if masked is None else masked
+    matches, gaps = F.regexp_extract_all(where, F.lit(pattern), F.lit(0)), F.split(where, pattern, -1)
+
+    def own(start: Column, part: Column) -> Column:
+        return part if masked is None else F.substring(text, start + 1, F.length(part))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gaps"])
         end = start + F.length(x["matches"])
-        words = F.filter(F.split(F.lower(F.right(x["gaps"], F.lit(60))), f"[{SPACE}]+"), lambda w: w != "")
-        left = F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " "))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["matches"].alias("value"), left.alias("left"))).alias("out"))
+
+        def extended(y: Column) -> Column:
+            # tail: the last two words up to here, and a blank if the last one has ended.
+            left = F.when(F.size(y["words"]) == 2, F.lower(F.array_join(y["words"], " ")))
+            tail = last_words(F.concat(F.array_join(y["words"], " "), F.when(y["open"], "").otherwise(" "), y["value"]))
+            ended = F.when(F.rlike(F.right(y["value"], F.lit(1)), F.lit(f"[{SPACE}]")), " ").otherwise("")
+            out = F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), y["value"].alias("value"), left.alias("left")))
+            return F.struct(end.alias("at"), F.concat(F.array_join(tail, " "), ended).alias("tail"), out.alias("out"))
+
+        before = F.concat(acc["tail"], own(acc["at"], x["gaps"]))
+        is_open = ~F.rlike(F.right(before, F.lit(1)), F.lit(f"[{SPACE}]"))
+        return let(F.struct(last_words(before).alias("words"), is_open.alias("open"), own(start, x["matches"]).alias("value")), extended)
 
     pairs = F.slice(F.arrays_zip(gaps.alias("gaps"), matches.alias("matches")), F.lit(1), F.size(matches))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step)["out"]
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out")), step)["out"]
 
 
 def where_any(test: Column, found: Column) -> Column:
@@ -58,10 +89,10 @@ def luhn(digits: Column) -> Column:
 def base_spans(text: Column) -> dict[str, Column]:
     """Valid spans of each kind."""
     start = rf"(?:(?<![{LOCAL}])|\G)"
-    email = spans(F.regexp_replace(text, r"\.(?![A-Za-z0-9-])", "%"), rf"{start}[{LOCAL}]++@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+")
+    email = spans(text, rf"{start}[{LOCAL}]++@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", F.regexp_replace(text, r"\.(?![A-Za-z0-9-])", "%"))
     ip = spans(text, r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
     part = r"^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-    card = spans(F.regexp_replace(text, r"[\x20-](?![0-9])", "x"), r"[0-9][0-9\x20-]+")
+    card = spans(text, r"[0-9][0-9\x20-]+", F.regexp_replace(text, r"[\x20-](?![0-9])", "x"))
     digits = lambda x: F.translate(x["value"], " -", "")
     phone = spans(text, r"\+[0-9][\x20().0-9-]+[0-9]")
     return {

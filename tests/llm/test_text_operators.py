@@ -173,6 +173,27 @@ def test_pii_totals_count_every_occurrence(spark):
     assert {r.left: r.total for r in got} == {"call call": 3, "call at": 1}
 
 
+def test_pii_discovers_each_kind(spark):
+    """Contexts on one-line prose, after a full stop, and of words beyond 60 characters."""
+    long = "x" * 70
+    cards = [n for n in range(4041894974600000, 4041894974600200) if luhn(str(n))][:20]
+    kinds = {"email": ("for info. mail", [f"user{i}@ex.org" for i in range(20)], "user99@intranet"), "ip": ("on the host", [f"10.0.0.{i}" for i in range(20)], "fe80:77"), "card": ("pay my card number", cards, "4041-xx-77"), "phone": (f"please call {long} at", [f"+1 (988) 555-{1000 + i}" for i in range(20)], "555-0199")}
+    rows, expected = [], {}
+    for k, (context, values, unseen) in enumerate(kinds.values()):
+        rows += [(100 * k + i, f"😀 {context} {v} right now") for i, v in enumerate(values)] + [(1000 + k, f"we {context} {unseen} again")]
+        expected[1000 + k] = [(list(kinds)[k], unseen)]
+    found = {r.doc_id: [(x.kind, x.value) for x in r.extra] for r in pii.find_pii(frame(spark, rows)).collect() if r.extra}
+    assert found == expected
+
+
+def test_pii_left_words_are_the_texts_own(spark):
+    text = "Info. Mail a@b.co c@d.eu and-so on 4041894974608795 4041894974608795x"
+    row = pii.find_pii(frame(spark, [(1, text)])).collect()[0]
+    assert [(x.value, x.left) for x in row.base] == [("a@b.co", "info. mail"), ("c@d.eu", "mail a@b.co")] and "card" not in {x.kind for x in row.base}
+    row = pii.find_pii(frame(spark, [(1, "and-so - on 4041894974608795 ends")])).collect()[0]
+    assert [(x.kind, x.value, x.left) for x in row.base] == [("card", "4041894974608795", "- on")]
+
+
 def test_pii_query_digest(spark, tmp_path):
     frame(spark, PII_ROWS).write.parquet(f"{tmp_path}/documents.parquet")
     texts = dict(PII_ROWS)
