@@ -6,7 +6,7 @@ and read again as the next one's docs. All but the last return the columns of do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rosterlake.llm import decontamination, mixing, near_copies, token_frames, toxicity
@@ -33,11 +33,24 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: whole takes, and the rest of one by a seeded hash of its id."""
-    taken = mixing.mix(docs).where("size > 0").groupBy("doc_id").agg(F.min(F.col("taken") / F.col("size")).alias("_times"))
-    chance = F.pmod(F.xxhash64(F.lit(43), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    times = F.floor(F.coalesce("_times", F.lit(0.0)) + chance).cast("int")
-    return docs.join(taken, "doc_id", "left").withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*docs.columns)
+    """Every row as often as the mix takes it: whole takes, and the rest of one by a seeded hash.
+
+    Each row has its own take, also without an id or with one that others have: the hash is of its id, of its text where
+    it has no id or isn't the id's first row, and of its place among equal rows. A row without words stays out: the mix
+    takes nothing of it, whatever its source's target."""
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    mixed = mixing.mix(rows, key="_row").where("size > 0").select("_row", "doc_id", (F.col("taken") / F.col("size")).alias("_times"))
+    texts = rows.select("_row", F.xxhash64("text").alias("_text"))
+    mixed = mixed.join(texts, "_row")
+    first = mixed.where("doc_id is not null").groupBy("doc_id").agg(F.min("_text").alias("_first"))
+    # Rows without an id are numbered by text only, so that they are no single window.
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("_row"))
+    mixed = mixed.withColumn("_nth", nth).join(first, "doc_id", "left")
+    plain = F.coalesce((F.col("_text") == F.col("_first")) & (F.col("_nth") == 1), F.lit(False))
+    seeded = F.when(plain, F.xxhash64(F.lit(43), "doc_id")).otherwise(F.xxhash64(F.lit(43), "doc_id", "_text", "_nth"))
+    times = F.floor(F.col("_times") + F.pmod(seeded, F.lit(1 << 20)) / (1 << 20)).cast("int")
+    taken = mixed.select("_row", times.alias("_taken")).where("_taken > 0")
+    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_taken"))).select(*docs.columns)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,8 +60,8 @@ def apportion(votes: DataFrame, group: list[str], vote: str, seats: str, order:
     return (out.withColumn("quota", F.least("quota", most)) if most else out).select(*keys, "quota")
 
 
-def mix(docs: DataFrame, seed: int = 42, share: float = SHARE, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document.
+def mix(docs: DataFrame, seed: int = 42, share: float = SHARE, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS, key: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every document, and the column `key`, if named, of its row.
 
     Sources in order of code points, null last, weigh `weights`, repeating; a null source is one of its own. taken counts
     the words that the mix takes of a document, repeats included, at most `epochs` times its size. A null or empty text
@@ -69,13 +69,15 @@ def mix(docs: DataFrame, seed: int = 42, share: float = SHARE, epochs: int = EPO
     words come within a block and a shard's rounding of its target. Reruns, and other partitionings, agree. Very long
     texts span many blocks. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
-    sized = staged(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size")), "sizes")
+    own = [F.col(key).alias("_key")] if key else []
+    sized = staged(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size"), *own), "sizes")
+    keyed = ["d._key"] if key else []
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     aims = staged(targets(totals, share, epochs, weights), "targets")
     quotas = apportion(aims.withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / BLOCK).cast("long")), [], "target", "blocks", [F.asc_nulls_last("source")])
     quotas = quotas.select("source", F.col("quota").alias("source_quota"), "source_size", "target", F.ceil(F.col("n_rows") / SHARD_ROWS).alias("n_shards"))
     quotas = staged(quotas, "quotas")
-    joined = sized.alias("d").join(quotas.alias("q"), F.expr("d.source <=> q.source")).select("d.doc_id", "d.source", "d.size", "q.source_size", "q.target", "q.source_quota", F.pmod(F.xxhash64(F.lit(seed), "d.doc_id"), F.col("q.n_shards")).alias("shard"))
+    joined = sized.alias("d").join(quotas.alias("q"), F.expr("d.source <=> q.source")).select("d.doc_id", "d.source", "d.size", "q.source_size", "q.target", "q.source_quota", F.pmod(F.xxhash64(F.lit(seed), "d.doc_id"), F.col("q.n_shards")).alias("shard"), *keyed)
     cells = joined.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
     cells = apportion(cells, ["source"], "words", "source_quota", [F.asc("shard")]).select("source", "shard", "words", "quota")
     # Passes over the whole shard, and the words that blocks in seeded order make up.
@@ -99,4 +101,5 @@ def mix(docs: DataFrame, seed: int = 42, share: float = SHARE, epochs: int = EPO
     overlap = F.greatest(F.lit(0), F.least(F.col("t.at") + F.col("t.size"), F.col("t.b") * BLOCK + F.col("p.gives")) - F.greatest(F.col("t.at"), F.col("t.b") * BLOCK))
     extra = touched.alias("t").join(parts.alias("p"), same).select("t.source", "t.shard", "t.row", overlap.alias("words")).groupBy("source", "shard", "row").agg(F.sum("words").alias("extra"))
     whole = placed.alias("d").join(cells.select("source", "shard", "passes").alias("c"), F.expr("d.source <=> c.source and d.shard = c.shard")).join(extra.alias("e"), F.expr("d.source <=> e.source and d.shard = e.shard and d.row = e.row"), "left")
-    return whole.select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", (F.col("c.passes") * F.col("d.size") + F.coalesce("e.extra", F.lit(0))).alias("taken"))
+    taken = (F.col("c.passes") * F.col("d.size") + F.coalesce("e.extra", F.lit(0))).alias("taken")
+    return whole.select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", taken, *(F.col(k).alias(key) for k in keyed))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rosterlake.llm import ann, decontamination, licences, mixing, queries, toxicity, url_filters
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +89,17 @@ def test_mixing_edges(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_pipeline_mix_takes_rows_without_or_with_equal_ids(spark):
+    rows = [(None, f"a{i} " * 50, "a") for i in range(400)] + [(7, f"b{i} " * (30 + i % 40), "b") for i in range(400)] + [(1000 + i, "c " * 50, "c") for i in range(400)]
+    rows += [(None, "same words here", "a")] * 300 + [(None, "", "a"), (3, None, "b"), (4, " ", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    aims = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    got = {}
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert set(got) == {"a", "b", "c"} and all(got[s] == pytest.approx(aims[s], rel=0.1) for s in aims)
+
+
 def test_sainte_lague(spark):
     votes = {"a": 53_000, "b": 24_000, "c": 23_000, "d": 1, "e": 0}
     frame = spark.createDataFrame([(k, v, 100) for k, v in votes.items()], "name string, v long, seats int")
