@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders; five-word windows of the templates are hash-joined with the
 benchmark's; along each alignment of a document with an item, equal words in the item's slots must stand for equal
-words in the document's. An item is in a document if at least `similarity` of its windows are.
+words in the document's; windows that disagree with what the word stands for most often don't count. An item is in a
+document if at least `similarity` of its windows are.
 
 Words lose leading and trailing ASCII punctuation and their case. A word with a digit is a number; one of UNITS is a
 unit; one with a capital first letter that doesn't begin a sentence or line is a name.
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BASE, mixed, prefix_sums, ship, slices, span_hashes, text_buffers, word_bounds, word_hashes
+from .common import WORD_BASE, mixed, prefix_sums, ship, slices, span_hashes, staged, text_buffers, word_bounds, word_hashes
 
 # Units of measure and money that templates treat alike.
 UNITS = (
@@ -122,8 +123,9 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, similarity:
     """doc_id, item_id, start, n_windows, n_matched, containment, kind: the items that documents hold.
 
     start is the word where the alignment that matches most windows puts the item's begin. kind is 'exact' if every
-    matched window also stands there with the item's own words, else 'reparameterised'. Alignments in which one word of the
-    item stands for different words of the document are no match. Windows with fewer than `literals` literal words count only for items that have no others. Items
+    matched window also stands there with the item's own words, else 'reparameterised'. Where one word of the item
+    stands for different words of the document, windows in which it stands for another than at most of its places don't
+    count; if two are equally frequent, none of its windows does. Windows with fewer than `literals` literal words count only for items that have no others. Items
     of fewer than `width` words, null items and null or empty texts match nothing; rows without a doc_id or item_id
     take no part. Repeated rows of a document or item give one result row. Very long texts are handled alone, whole.
     Other columns, whatever their names, are ignored. Empty tables give an empty result.
@@ -137,20 +139,22 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, similarity:
         texts = texts.where(F.lit(False))
     hits = texts.mapInArrow(windows(width, keys), WINDOW_SCHEMA)
     pairs = hits.join(targets, "key").select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "n_windows", "slots", "item_slots")
+    pairs = staged(pairs, "pairs")
     key = ["doc_id", "item_id", "shift"]
     distinct = lambda sets: F.size(F.array_distinct(F.flatten(F.collect_list(sets)))).cast("long")
-    same = F.when(F.expr("slots = item_slots"), F.col("item_pos"))
-    aligned = pairs.groupBy(*key).agg(F.collect_set("item_pos").alias("positions"), F.collect_set(same).alias("own_words"), F.first("n_windows").alias("n_windows"))
-    slots = (
-        pairs.select(*key, F.explode(F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0)).alias("pair"))
-        .groupBy(*key, F.col("pair.item_slots").alias("own"))
-        .agg(F.min("pair.slots").alias("least"), F.max("pair.slots").alias("most"))
-        .groupBy(*key)
-        .agg(F.max(F.col("least") != F.col("most")).alias("torn"))
-    )
+    # What each word in the item's slots stands for, by the occurrences of the word in the item; a tie has no winner.
+    zipped = F.transform(F.arrays_zip("item_slots", "slots"), lambda x, i: F.struct(x["item_slots"].alias("own"), x["slots"].alias("word"), (F.col("item_pos") + i).alias("at")))
+    filled = pairs.select(*key, "item_pos", F.explode(F.filter(zipped, lambda x: x["own"] != 0)).alias("slot")).select(*key, "item_pos", "slot.*")
+    torn = filled.groupBy(*key, "own").agg(F.min("word").alias("least"), F.max("word").alias("most")).where("least != most").select(*key, "own")
+    disputed = staged(filled.join(torn, [*key, "own"]), "disputed")
+    votes = disputed.groupBy(*key, "own", "word").agg(F.count_distinct("at").alias("votes"))
+    best = votes.groupBy(*key, "own").agg(F.max("votes").alias("best"))
+    winners = votes.join(best, [*key, "own"]).where("votes = best").groupBy(*key, "own").agg(F.max("word").alias("winner"), F.count(F.lit(1)).alias("winners"))
+    bad = disputed.join(winners, [*key, "own"]).where("winners > 1 or word != winner").select(*key, "item_pos").distinct()
+    same = F.when(F.forall(F.arrays_zip("item_slots", "slots"), lambda x: (x["item_slots"] == 0) | (x["item_slots"] == x["slots"])), F.col("item_pos"))
+    aligned = pairs.join(bad, [*key, "item_pos"], "left_anti").groupBy(*key).agg(F.collect_set("item_pos").alias("positions"), F.collect_set(same).alias("own_words"), F.first("n_windows").alias("n_windows"))
     return (
-        aligned.join(slots, key, "left")
-        .where(~F.coalesce("torn", F.lit(False)))
+        aligned
         .groupBy("doc_id", "item_id")
         .agg(
             F.max_by("shift", F.struct(F.size("positions"), F.size("own_words"), -F.col("shift"))).alias("start"), F.first("n_windows").alias("n_windows"),

@@ -195,6 +195,25 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs.limit(0), items).count() == 0 and decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def edited_item():
+    plain = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(57)]
+    for at in (10, 25, 40):
+        plain[at] = "Alice"
+    return plain
+
+
+def test_decontamination_keeps_the_windows_of_an_edited_passage(spark):
+    """One of two or three equal names is edited; the rest stands there, word for word or re-parameterised."""
+    own = edited_item()
+    two = [w if i != 40 else "closing" for i, w in enumerate(own)]
+    texts = {1: (own, 10), 2: (own, 40), 3: ([w.replace("Alice", "Maria") for w in own], 25)}
+    docs = [(d, "lead in " + " ".join("Alicia" if i == at else w for i, w in enumerate(words))) for d, (words, at) in texts.items()]
+    docs += [(4, "lead in " + " ".join("Alicia" if i == 10 else w for i, w in enumerate(two)))]
+    items = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(two))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_windows, r.kind) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {k: got.get(k) for k in ((1, 1), (2, 1), (3, 1), (4, 2))} == {(1, 1): (48, 53, "exact"), (2, 1): (48, 53, "exact"), (3, 1): (48, 53, "reparameterised"), (4, 2): (43, 53, "exact")}
+
+
 def test_decontamination_without_prefilter(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     some = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
