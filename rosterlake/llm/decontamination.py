@@ -27,7 +27,7 @@ UNITS = (
     "months year years cent cents dollar dollars euro euros percent degree degrees kmh mph watt watts volt volts"
 ).split()
 NUMBER, NAME, UNIT = (int(x) for x in mixed(np.array([11, 12, 13], np.uint64)))
-WINDOW_SCHEMA = "key long, id long, pos int, literals int, slots array<long>"
+WINDOW_SCHEMA = "key long, id long, pos int, literals int, slots array<long>, plain boolean"
 #: Benchmarks of at most so many windows are also sent to every task, to drop windows before the join (8 bytes each).
 PREFILTER_LIMIT = 2_000_000
 
@@ -71,8 +71,10 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, own, number | name | unit, bounds
 
 
-def windows(width: int, keys: np.ndarray | None):
-    """Texts -> their template windows; with keys, only the windows whose hash is one of them."""
+def windows(widths: tuple[int, ...], keys: np.ndarray | None, whole: int = 0):
+    """Texts -> their typed windows, and the plain ones that differ; with keys, only the windows whose hash is one of them.
+
+    Texts of fewer than `whole` words are one window; others, and all without it, have windows of each of `widths`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = None
@@ -82,40 +84,51 @@ def windows(width: int, keys: np.ndarray | None):
         for batch in slices(batches):
             shape, own, slot, bounds = template(*text_buffers(batch.column("text")))
             doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            at = np.flatnonzero(np.arange(len(shape)) + width <= bounds[1:][doc])
-            if not len(at):
-                continue
-            sums = prefix_sums(shape, WORD_BASE)
-            key = span_hashes(sums, at, at + width, WORD_BASE)
-            if keys is not None:
-                hit = np.flatnonzero(some[key >> np.uint64(44)])
-                place = np.minimum(np.searchsorted(keys, key[hit]), len(keys) - 1)
-                hit = hit[keys[place] == key[hit]]
-                at, key = at[hit], key[hit]
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for part in np.array_split(np.arange(len(at)), len(at) // 100_000 + 1):
-                spans = at[part][:, None] + np.arange(width)
-                slots = np.where(slot[spans], own[spans], np.uint64(0)).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        key[part].view(np.int64), ids[doc[at[part]]], (at[part] - bounds[doc[at[part]]]).astype(np.int32), (~slot[spans]).sum(axis=1).astype(np.int32),
-                        pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * width, slots.ravel().view(np.int64)),
-                    ],
-                    ["key", "id", "pos", "literals", "slots"],
-                )
+            slots_before = np.append(0, np.cumsum(slot))
+            typed, lower = prefix_sums(shape, WORD_BASE), prefix_sums(own, WORD_BASE)
+            count = np.diff(bounds)[doc]
+            for width in (*range(1, whole), *widths):
+                fits = np.arange(len(shape)) + width <= bounds[1:][doc]
+                places = np.flatnonzero(fits & ((count == width) | (width >= whole)) if whole else fits)
+                for plain in (False, True):
+                    at = places[slots_before[places + width] > slots_before[places]] if plain else places
+                    if not len(at):
+                        continue
+                    key = span_hashes(lower if plain else typed, at, at + width, WORD_BASE)
+                    if keys is not None:
+                        hit = np.flatnonzero(some[key >> np.uint64(44)])
+                        place = np.minimum(np.searchsorted(keys, key[hit]), len(keys) - 1)
+                        hit = hit[keys[place] == key[hit]]
+                        at, key = at[hit], key[hit]
+                    for part in np.array_split(np.arange(len(at)), len(at) // 100_000 + 1):
+                        spans = at[part][:, None] + np.arange(width)
+                        slots = np.where(slot[spans], own[spans], np.uint64(0)).astype(np.uint64)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                key[part].view(np.int64), ids[doc[at[part]]], (at[part] - bounds[doc[at[part]]]).astype(np.int32), (~slot[spans]).sum(axis=1).astype(np.int32),
+                                pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * width, slots.ravel().view(np.int64)), pa.array(np.full(len(part), plain)),
+                            ],
+                            ["key", "id", "pos", "literals", "slots", "plain"],
+                        )
 
     return run
 
 
 def item_windows(items: DataFrame, width: int, literals: int) -> DataFrame:
-    """Windows of the benchmark items: those with enough literal words, or all of an item that has none such."""
+    """Windows of the benchmark items: those with enough literal words, or all of an item that has none such.
+
+    An item of fewer than `width` words is one window, typed only if it has enough literal words."""
     texts = items.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null and text is not null").distinct()
-    rows = texts.mapInArrow(windows(width, None), WINDOW_SCHEMA)
-    counts = rows.groupBy("id").agg(F.count_if(F.col("literals") >= literals).alias("telling"), F.count(F.lit(1)).alias("all"))
+    rows = texts.mapInArrow(windows((width,), None, width), WINDOW_SCHEMA)
+    short = F.size("slots") < width
+    telling = F.count_if((F.col("literals") >= literals) & ~F.col("plain"))
+    counts = rows.groupBy("id").agg(telling.alias("telling"), F.count_if(~F.col("plain")).alias("all"))
     return (
         rows.join(counts, "id")
         .where((F.col("literals") >= literals) | (F.col("telling") == 0))
-        .select("key", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.when(F.col("telling") == 0, F.col("all")).otherwise(F.col("telling")).alias("n_windows"))
+        .where(~short | F.col("plain") | (F.col("literals") >= F.least(F.size("slots"), F.lit(literals))))
+        .select("key", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("plain").alias("item_plain"), F.when(F.col("telling") == 0, F.col("all")).otherwise(F.col("telling")).alias("n_windows"))
     )
 
 
@@ -125,20 +138,23 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, similarity:
     start is the word where the alignment that matches most windows puts the item's begin. kind is 'exact' if every
     matched window also stands there with the item's own words, else 'reparameterised'. Where one word of the item
     stands for different words of the document, windows in which it stands for another than at most of its places don't
-    count; if two are equally frequent, none of its windows does. Windows with fewer than `literals` literal words count only for items that have no others. Items
-    of fewer than `width` words, null items and null or empty texts match nothing; rows without a doc_id or item_id
+    count; if two are equally frequent, none of its windows does. Windows with fewer than `literals` literal words count only for items that have no others. An
+    item position is matched by its typed window or by its plain one, whose words count as they are but for case and
+    outer punctuation. An item of fewer than `width` words is one window, plain, and typed from `literals` literal words on.
+    Null items and null or empty texts match nothing; rows without a doc_id or item_id
     take no part. Repeated rows of a document or item give one result row. Very long texts are handled alone, whole.
     Other columns, whatever their names, are ignored. Empty tables give an empty result.
     """
     ship(docs.sparkSession)
-    targets = item_windows(items, width, literals)
+    targets = staged(item_windows(items, width, literals), "targets")
+    short = [r[0] for r in targets.select(F.size("item_slots").alias("n")).where(F.col("n") < width).distinct().orderBy("n").collect()]  # fewer than width
     known = targets.select("key").distinct().limit(PREFILTER_LIMIT + 1).toPandas()["key"].to_numpy(np.int64)
     keys = np.sort(known.view(np.uint64)) if len(known) <= PREFILTER_LIMIT else None
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     if keys is not None and not len(keys):
         texts = texts.where(F.lit(False))
-    hits = texts.mapInArrow(windows(width, keys), WINDOW_SCHEMA)
-    pairs = hits.join(targets, "key").select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "n_windows", "slots", "item_slots")
+    hits = texts.mapInArrow(windows((*short, width), keys), WINDOW_SCHEMA)
+    pairs = hits.join(targets, "key").select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "n_windows", F.when(F.col("item_plain"), F.col("item_slots")).otherwise(F.col("slots")).alias("slots"), "item_slots")
     pairs = staged(pairs, "pairs")
     key = ["doc_id", "item_id", "shift"]
     distinct = lambda sets: F.size(F.array_distinct(F.flatten(F.collect_list(sets)))).cast("long")

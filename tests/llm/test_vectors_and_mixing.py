@@ -214,6 +214,16 @@ def test_decontamination_keeps_the_windows_of_an_edited_passage(spark):
     assert {k: got.get(k) for k in ((1, 1), (2, 1), (3, 1), (4, 2))} == {(1, 1): (48, 53, "exact"), (2, 1): (48, 53, "exact"), (3, 1): (48, 53, "reparameterised"), (4, 2): (43, 53, "exact")}
 
 
+def test_decontamination_of_plain_words_and_short_items(spark):
+    """Words in another case or after another line break type differently; short items are one window."""
+    names = "near Paris Anna met Ben Carl Dora and Emil while Franz told Greta of Hans in Rome before Ida left Jena with Karl"
+    docs = [(1, f"so {QUESTION.lower()} end"), (2, f"so {names.lower()} end"), (3, names.replace(" ", "\n")), (4, "and Big  red, fox ran"), (5, "big red dog"), (6, "is 42 here"), (7, "is 43 here")]
+    items = [(100, QUESTION), (101, names), (102, "big Red fox."), (103, "42"), (104, "")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.containment, r.kind) for r in decontamination.contaminated(*frames).collect()}
+    assert got == dict.fromkeys([(1, 100), (2, 101), (3, 101), (4, 102), (6, 103)], (1.0, "exact"))
+
+
 def test_decontamination_without_prefilter(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     some = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
