@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from .common import new_folder, ship, slices, staged, text_buffers
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Decompressed bytes of a frame, unless one document has more; zstd level; words whose ids a worker keeps (about 150 bytes each).
 FRAME_BYTES, LEVEL, CACHE_WORDS = 1 << 20, 3, 1_000_000
-MANIFEST = "path string, first_doc long, n_docs long, n_tokens long"
+MANIFEST = "path string, part int, first_doc long, n_docs long, n_tokens long"
 ENCODERS: dict[int, Encoder] = {}
 
 
@@ -87,8 +88,9 @@ class Encoder:
             self.known, self.older = {b"": b""}, self.known
         known, pairs = self.known, {}
         for w in self.recall(words - known.keys()):
-            low = w.lower()
-            if any(a in low for a in self.added):
+            # Case goes before the tokenizer's NFC only where it can't change what NFC composes: J and a caron compose as j, not as J.
+            low = w.lower() if w.isascii() else w
+            if any(a in w.lower() for a in self.added):
                 known[w] = self.ids([w.decode()])[0]
                 continue
             core = low.rstrip(b".,")
@@ -223,7 +225,8 @@ def write_task(folder: str, spec: Callable[[], str], end_id: int):
             base.close(own.dtype.itemsize)
             out.close()
             store.move(f"{path}.tmp", path)
-            yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "first_doc": base.docs[0][0], "n_docs": len(base.docs), "n_tokens": sum(n for _, n in base.docs)}], pa.schema([("path", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            row = {"path": f"{folder}/{name}", "part": TaskContext.get().partitionId(), "first_doc": base.docs[0][0], "n_docs": len(base.docs), "n_tokens": sum(n for _, n in base.docs)}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("part", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     return run
 
@@ -246,10 +249,11 @@ def read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
-    """Encode and write all documents; returns the manifest: path, first_doc, n_docs, n_tokens, start (ids before).
+    """Encode and write all documents; returns the manifest: path, part (the file's place), first_doc, n_docs, n_tokens,
+    start (ids before).
 
-    Null and empty texts are just the end id. Rows without a doc_id come first; rows that share one stay in order of
-    their texts. Texts that hold a special token's string yield that token, as the tokenizer does. Very long texts
+    Null and empty texts are just the end id. Rows without a doc_id come first; rows that share one, or have none, stay
+    in order of XXH64 of their texts (seed 42, signed), so that files part them too. Texts that hold a special token's string yield that token, as the tokenizer does. Very long texts
     are a frame of their own. Other columns, whatever their names, are ignored. An empty table writes no file.
     """
     spark = docs.sparkSession
@@ -257,9 +261,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
     folder = folder or new_folder(spark, "tokens")
     with open(tokenizer_path) as file:
         spec = spark.sparkContext.broadcast(file.read())  # one vocabulary: 1.7 MB for 49k entries
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     files = staged(rows.mapInArrow(write_task(folder, lambda: spec.value, end_id), MANIFEST), "manifest")
-    before = Window.orderBy(F.asc_nulls_first("first_doc")).rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
@@ -267,7 +272,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files of a manifest."""
     ship(manifest.sparkSession)
     rows = staged(manifest, "files")
-    return rows.repartition(max(1, rows.count()), "path").mapInArrow(read_task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.repartitionByRange(max(1, rows.count()), "start").mapInArrow(read_task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
