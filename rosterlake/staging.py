@@ -1,4 +1,8 @@
-"""Tables written to the folder that driver and executors share."""
+"""Tables written to the folder that driver and executors share.
+
+Every application has one folder of its own under spark.checkpoint.dir, and all that the library stages goes there.
+`clear` deletes it once results have been read; results that are read lazily need it until then.
+"""
 
 from __future__ import annotations
 
@@ -11,17 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests, a folder of our own."""
+    """spark.checkpoint.dir. Where it is unset, a temporary folder if Spark runs in this process; on several machines a
+    folder of the driver would be another one on each executor, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all machines of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="rosterlake-shared-")
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/rosterlake/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rosterlake/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -30,3 +42,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has staged, in whatever file system it is. Unread results are lost with it."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
