@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import SparkSession
 
 from ..staging import new_folder, staged  # noqa: F401  the operators take them from here
@@ -86,8 +87,10 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-#: Odd multipliers of the two polynomial hashes, modulo 2**64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Odd multiplier of the polynomial hash of word sequences, modulo 2**64.
+WORD_BASE = 0xD6E8FEB86659FD93
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 48
 POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -119,13 +122,33 @@ def prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of each span of a sequence from its prefix sums; equal spans have equal hashes wherever they stand."""
+    """Hash of each span of a sequence from its prefix sums; equal spans have equal hashes wherever they stand.
+
+    For spans of tens of words, whose own hashes are mixed well; of more than about a thousand, some that alternate
+    between two words by a fixed rule would cancel out."""
     return mixed((sums[ends] - sums[starts]) * powers(base, len(sums))[1][starts])
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums = prefix_sums(data.astype(np.uint64) + np.uint64(1), BYTE_BASE)
-    return span_hashes(sums, starts, ends, BYTE_BASE)
+    """64-bit hash of each word's bytes: eight bytes at a time are mixed into it, all words at once; XXH64 for long words.
+
+    Every step is a bijection of the hash so far, so no arrangement of bytes cancels out as it can in a polynomial."""
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    left = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, rest = starts[left], size[left]
+    while len(left):
+        lane = lanes[at]
+        short = rest < 8
+        lane[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[left] = mixed(out[left] ^ lane) * np.uint64(0x9FB21C651E98DF25)
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), 42)
+    return mixed(out)
 
 
 def first_of(keys: np.ndarray) -> np.ndarray:

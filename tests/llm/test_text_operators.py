@@ -52,6 +52,35 @@ def test_substring_dedup_edges(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (1, 0), (1, 0), (2, 30)]
 
 
+def thue_morse(n, a, b):
+    out = [a]
+    while len(out) < n:
+        out += [b if x == a else a for x in out]
+    return out[:n]
+
+
+def test_word_hashes_tell_words_apart():
+    """Words that polynomial hashes modulo 2**64 can't tell apart, and all short words over few bytes."""
+    import itertools
+
+    words = ["".join(thue_morse(n, a, b)) for n in (8, 32, 47, 48, 49, 1024, 4096) for a, b in ("ab", "ba")]
+    words += ["".join(x) for n in range(1, 8) for x in itertools.product("ab\x01", repeat=n)] + [f"w{i}" for i in range(50_000)] + ["a" * n for n in range(8, 60)]
+    data = " ".join(words).encode()
+    starts, ends, _ = common.word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    hashes = common.word_hashes(np.frombuffer(data, np.uint8), starts, ends)
+    assert len(starts) == len(words) and len(np.unique(hashes)) == len(set(words))
+    alone = [common.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words[:14]]
+    assert alone == hashes[:14].tolist()
+
+
+def test_substring_dedup_of_words_that_hash_alike_elsewhere(spark):
+    one, two = ("".join(thue_morse(2048, a, b)) for a, b in ("ab", "ba"))
+    lead = [f"v{i}" for i in range(19)]
+    rows = [(1, " ".join([*lead, one])), (2, " ".join([*lead, two])), (3, " ".join([*lead, two])), (4, " ".join(thue_morse(64, "x", "y"))), (5, " ".join(thue_morse(64, "y", "x")))]
+    got = {r[0]: (r[1], r[2], r[3]) for r in substring_dedup.digest(substring_dedup.dedup_substrings(frame(spark, rows))).collect()}
+    assert got == substring_dedup.brute_force(rows) and got[2][1] == 0 and got[3][1] == 20
+
+
 def brute_fingerprint(text):
     own = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not own:
