@@ -11,7 +11,10 @@ Joining the anchors on their hash shows which stand in more than one place:
   ones outside the first document that holds them are repeats.
 
 Overlapping repeats of a document merge into maximal ones. All groups are aggregated before and joined after the
-shuffle, so a passage in any number of documents costs rows in proportion to its occurrences, never pairs.
+shuffle, so a passage in any number of documents costs rows in proportion to its occurrences, never pairs. Groups are
+written before they are joined, so that Spark can split the rows of a frequent anchor or window among tasks.
+
+Windows are equal by 128 bits of hash: 64 of the anchor's words, 64 of the whole window or run.
 """
 
 from __future__ import annotations
@@ -106,23 +109,24 @@ def repeated_spans(docs: DataFrame, length: int = 20, gram: int = 6) -> DataFram
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     anchors = texts.mapInArrow(seeds(length, gram), ANCHOR_SCHEMA)
-    groups = (
+    groups = staged(
         anchors.where("not again")
         .groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.min("extent").alias("least"), F.max("extent").alias("most"))
         .where("n > 1")
-        .select("anchor", "first_doc", (F.col("least") == F.col("most")).alias("alike"))
+        .select("anchor", "first_doc", (F.col("least") == F.col("most")).alias("alike")),
+        "groups",
     )
     found = staged(
-        anchors.join(groups, "anchor", "left")
+        anchors.join(groups.hint("merge"), "anchor", "left")  # a merge join is one that Spark splits
         .where("again or doc_id > first_doc or not alike")
         .select("anchor", "doc_id", "run_start", "run_end", (F.col("again") | (F.col("alike") & (F.col("doc_id") > F.col("first_doc")))).alias("decided"), F.coalesce(~F.col("alike") & ~F.col("again"), F.lit(False)).alias("open")),
         "runs",
     )
     undecided = found.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "run_start", "run_end")).alias("runs"))
     windows = staged(texts.join(undecided, "doc_id").mapInArrow(windows_of_runs(length), WINDOW_SCHEMA), "windows")
-    firsts = windows.where("not again").groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").drop("n")
-    later = windows.join(firsts, ["anchor", "window"], "left").where("again or doc_id > first_doc").select("doc_id", "start", (F.col("start") + length).alias("end"))
+    firsts = staged(windows.where("not again").groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").drop("n"), "firsts")
+    later = windows.join(firsts.hint("merge"), ["anchor", "window"], "left").where("again or doc_id > first_doc").select("doc_id", "start", (F.col("start") + length).alias("end"))
     return found.where("decided").select("doc_id", F.col("run_start").alias("start"), (F.col("run_end") + length).alias("end")).unionByName(later)
 
 
