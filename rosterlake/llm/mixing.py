@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, with DataFrame operations only.
 
-Sizes are words. Every source is dealt into shards by a seeded hash of doc_id; its words, in the order of another
+Sizes are words. Every source is dealt into shards by a seeded hash of doc_id and text; its words, in the order of another
 seeded hash, form blocks of BLOCK words. The blocks that the whole mix needs are apportioned to sources, and a
 source's blocks to its shards, by highest quotients v / (2k + 1), which gives integer quotas. A shard takes as many
 whole passes over its blocks as its quota holds and fills the rest with blocks in seeded order. A document takes the
@@ -9,13 +9,14 @@ words that it has in taken blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import staged
 
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
-BLOCK, SHARD_ROWS = 64, 10_000
+#: Words of a block; words, or rows if they are very short, of a shard.
+BLOCK, SHARD_WORDS, SHARD_ROWS = 64, 2_000_000, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,46 +61,73 @@ def apportion(votes: DataFrame, group: list[str], vote: str, seats: str, order:
     return (out.withColumn("quota", F.least("quota", most)) if most else out).select(*keys, "quota")
 
 
-def mix(docs: DataFrame, seed: int = 42, share: float = SHARE, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS, key: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document, and the column `key`, if named, of its row.
+def quotas_of(docs: DataFrame, seed: int, share: float, epochs: int, weights: tuple[int, ...], key: str | None) -> tuple[DataFrame, DataFrame]:
+    """(documents with shard, cells): a cell is a source's shard with its words, quota, passes over all of it, and rest.
 
-    Sources in order of code points, null last, weigh `weights`, repeating; a null source is one of its own. taken counts
-    the words that the mix takes of a document, repeats included, at most `epochs` times its size. A null or empty text
-    has size 0 and takes 0. Rows with equal ids fall in the same shard and are ordered by their size. A source's taken
-    words come within a block and a shard's rounding of its target. Reruns, and other partitionings, agree. Very long
-    texts span many blocks. Other columns, whatever their names, are ignored. An empty table gives an empty result.
-    """
+    Shards are of about SHARD_WORDS words, by hash of id and text, so that rows of one id are spread too; a longer
+    document makes its shard longer."""
     own = [F.col(key).alias("_key")] if key else []
-    sized = staged(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size"), *own), "sizes")
-    keyed = ["d._key"] if key else []
+    sized = staged(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), *own), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     aims = staged(targets(totals, share, epochs, weights), "targets")
     quotas = apportion(aims.withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / BLOCK).cast("long")), [], "target", "blocks", [F.asc_nulls_last("source")])
-    quotas = quotas.select("source", F.col("quota").alias("source_quota"), "source_size", "target", F.ceil(F.col("n_rows") / SHARD_ROWS).alias("n_shards"))
-    quotas = staged(quotas, "quotas")
-    joined = sized.alias("d").join(quotas.alias("q"), F.expr("d.source <=> q.source")).select("d.doc_id", "d.source", "d.size", "q.source_size", "q.target", "q.source_quota", F.pmod(F.xxhash64(F.lit(seed), "d.doc_id"), F.col("q.n_shards")).alias("shard"), *keyed)
+    n_shards = F.ceil(F.greatest(F.col("source_size") / SHARD_WORDS, F.col("n_rows") / SHARD_ROWS))
+    quotas = staged(quotas.select("source", F.col("quota").alias("source_quota"), "source_size", "target", F.greatest(n_shards, F.lit(1)).cast("long").alias("n_shards")), "quotas")  # one row a source
+    joined = sized.alias("d").join(quotas.alias("q"), F.expr("d.source <=> q.source")).select("d.*", "q.source_size", "q.target", "q.source_quota", F.pmod("d.h", "q.n_shards").alias("shard"))
     cells = joined.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
     cells = apportion(cells, ["source"], "words", "source_quota", [F.asc("shard")]).select("source", "shard", "words", "quota")
-    # Passes over the whole shard, and the words that blocks in seeded order make up.
     need = F.least(F.col("quota") * BLOCK, F.col("words") * epochs)
     cells = cells.withColumn("passes", F.coalesce(F.floor(F.try_divide(need, F.col("words"))), F.lit(0)).cast("long"))
-    cells = cells.withColumn("rest", need - F.col("passes") * F.col("words"))
-    numbered = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("words") / BLOCK) - 1).cast("long")), lambda b: F.struct(F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit("\0")), "shard", b).alias("h"), b.alias("b")))
-    # Blocks in seeded order until the rest is filled; the last one gives a part.
-    chosen = F.slice(F.array_sort(numbered), 1, F.ceil(F.col("rest") / BLOCK).cast("int") + 1)
-    cells = staged(cells.withColumn("chosen", F.when(F.col("rest") > 0, F.transform(chosen, lambda x: x["b"])).otherwise(F.array().cast("array<long>"))), "cells")
+    return joined.drop("source_quota"), staged(cells.withColumn("rest", need - F.col("passes") * F.col("words")), "cells")
+
+
+def line_of(seed: int) -> WindowSpec:
+    """A shard's documents in seeded order; equal rows stand side by side."""
+    return Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "h"), "doc_id", "h", "size")
+
+
+def mix(docs: DataFrame, seed: int = 42, share: float = SHARE, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS, key: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every document, and the column `key`, if named, of its row.
+
+    Sources in order of code points, null last, weigh `weights`, repeating; a null source is one of its own. taken counts
+    the words that the mix takes of a document, repeats included, at most `epochs` times its size. A null or empty text
+    has size 0 and takes 0. Rows with equal ids and texts fall in the same shard, side by side. A source's taken
+    words come within a block and a shard's rounding of its target. Reruns, and other partitionings, agree. Very long
+    texts span many blocks. Other columns, whatever their names, are ignored. An empty table gives an empty result.
+    """
+    keyed = ["_key"] if key else []
+    joined, cells = quotas_of(docs, seed, share, epochs, weights, key)
+    # Blocks in seeded order until the rest is filled; the last one gives a part. A block is a row, so no shard is one value.
+    numbered = cells.where("rest > 0").select("source", "shard", "words", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("words") / BLOCK) - 1)).alias("b"))
     size_of = F.least(F.lit(BLOCK).cast("long"), F.col("words") - F.col("b") * BLOCK)
-    parts = cells.select("source", "shard", "words", "rest", F.posexplode("chosen").alias("place", "b"))
-    filled = Window.partitionBy("source", "shard").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("before", F.coalesce(F.sum(size_of).over(filled), F.lit(0))).withColumn("gives", F.least(size_of, F.col("rest") - F.col("before"))).where("gives > 0")
-    parts = staged(parts.select("source", "shard", "b", "gives"), "blocks")  # written, so that joins know their size: an exploded one looks as small as its cells
+    filled = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit("\0")), "shard", "b"), "b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = numbered.withColumn("before", F.coalesce(F.sum(size_of).over(filled), F.lit(0))).withColumn("gives", F.least(size_of, F.col("rest") - F.col("before"))).where("gives > 0")
+    parts = staged(parts.select("source", "shard", "b", "gives"), "blocks")
     # Documents in seeded order, with their first word's place in the shard, and the blocks they touch.
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = staged(joined.withColumn("at", F.coalesce(F.sum("size").over(line), F.lit(0))).withColumn("row", F.row_number().over(Window.partitionBy("source", "shard").orderBy("at", "doc_id", "size"))), "placed")
+    line = line_of(seed)
+    at = F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = staged(joined.select("*", at.alias("at"), F.row_number().over(line).alias("row")), "placed")
     touched = placed.where("size > 0").select("source", "shard", "row", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK))).alias("b"))
     same = F.expr("t.source <=> p.source and t.shard = p.shard and t.b = p.b")
     overlap = F.greatest(F.lit(0), F.least(F.col("t.at") + F.col("t.size"), F.col("t.b") * BLOCK + F.col("p.gives")) - F.greatest(F.col("t.at"), F.col("t.b") * BLOCK))
-    extra = touched.alias("t").join(parts.alias("p"), same).select("t.source", "t.shard", "t.row", overlap.alias("words")).groupBy("source", "shard", "row").agg(F.sum("words").alias("extra"))
-    whole = placed.alias("d").join(cells.select("source", "shard", "passes").alias("c"), F.expr("d.source <=> c.source and d.shard = c.shard")).join(extra.alias("e"), F.expr("d.source <=> e.source and d.shard = e.shard and d.row = e.row"), "left")
+    # Merge joins: files of blocks are small for what they hold, so their size is no bound of a broadcast table.
+    extra = touched.alias("t").join(parts.hint("merge").alias("p"), same).select("t.source", "t.shard", "t.row", overlap.alias("words")).groupBy("source", "shard", "row").agg(F.sum("words").alias("extra"))
+    whole = placed.alias("d").join(cells.select("source", "shard", "passes").alias("c"), F.expr("d.source <=> c.source and d.shard = c.shard"))
+    whole = whole.join(extra.hint("merge").alias("e"), F.expr("d.source <=> e.source and d.shard = e.shard and d.row = e.row"), "left")
     taken = (F.col("c.passes") * F.col("d.size") + F.coalesce("e.extra", F.lit(0))).alias("taken")
-    return whole.select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", taken, *(F.col(k).alias(key) for k in keyed))
+    return whole.select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", taken, *[F.col(f"d.{k}").alias(key) for k in keyed])
+
+
+def whole_copies(docs: DataFrame, key: str, seed: int = 42, share: float = SHARE, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """key, copies: the same quotas met by whole documents, for corpora whose texts are not cut.
+
+    A shard's documents are all taken as often as its quota holds all its words; of the rest, they are taken in seeded
+    order as long as half of a document or more is within it. So a shard's words come within half of one document of its
+    quota, and a source's within half a document a shard and a block of its target. `key` tells rows apart. Edge cases
+    are those of mix; a document without words has no copies."""
+    joined, cells = quotas_of(docs, seed, share, epochs, weights, key)
+    at = F.coalesce(F.sum("size").over(line_of(seed).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = joined.select("source", "shard", "size", "_key", at.alias("at"))
+    whole = placed.alias("d").join(cells.alias("c"), F.expr("d.source <=> c.source and d.shard = c.shard"))
+    once = (2 * F.col("d.at") + F.col("d.size") <= 2 * F.col("c.rest")).cast("long")
+    return whole.select(F.col("d._key").alias(key), F.when(F.col("d.size") > 0, F.col("c.passes") + once).otherwise(0).cast("int").alias("copies"))
