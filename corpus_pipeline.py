@@ -1,60 +1,75 @@
 """The corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token output.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and its result is written as Parquet
-and read again as the next one's docs. All but the last return the columns of documents.
+and read again as the next one's docs. All but the last return the columns of documents, with whatever other columns
+docs has. Every row is judged by itself: stages that compare rows number them first, so that rows without an id, or
+with one that others have, are treated like any other. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.llm import decontamination, mixing, near_copies, token_frames, toxicity
 from rosterlake.llm.common import staged
 from rosterlake.llm.queries import table, tokenizer_path, toxicity_model
 
+#: The row number that stages add; a column of this name in docs would clash with it.
+ROW = "__row__"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW, written, so that a task that runs again can't number its rows anew."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """What the operators read, with the row number for an id."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half."""
+    """Documents that score below one half.
+
+    Null and empty texts have no hit and stay. Equal texts have equal scores, whatever their ids; very long ones are
+    scored whole. Without enough labels the operator's fixed list judges."""
     return toxicity.keep_clean(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of near copies (five-word Jaccard 0.8 or more); rows without an
-    id stay, for nothing tells them apart. op8's own parameters, three words and three bits, are its contract alone."""
-    kept = near_copies.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").join(kept, "doc_id", "left_semi"))
+    """One row of each component of near copies (five-word Jaccard 0.8 or more; op8's own parameters, three words and
+    three bits, are its contract alone): the one of the smallest doc_id, null last, then of the smallest text hash.
+
+    Null, empty and blank texts are copies of each other: one stays. Equal rows are copies, with or without ids."""
+    rows = numbered(docs)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("h"), ROW)
+    groups = near_copies.near_copies(by_row(rows)).select(F.col("doc_id").alias(ROW), "component_id")
+    order = rows.select(ROW, first.alias("first"))
+    kept = groups.join(order, ROW).groupBy("component_id").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(staged(kept, "kept"), ROW, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(staged(leaks, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item, judged by their texts alone; null and empty texts hold none."""
+    rows = numbered(docs)
+    leaks = decontamination.contaminated(by_row(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(staged(leaks, "leaks"), ROW, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row as often as the mix takes it: whole takes, and the rest of one by a seeded hash.
-
-    Each row has its own take, also without an id or with one that others have: the hash is of its id, of its text where
-    it has no id or isn't the id's first row, and of its place among equal rows. A row without words stays out: the mix
-    takes nothing of it, whatever its source's target."""
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    mixed = mixing.mix(rows, key="_row").where("size > 0").select("_row", "doc_id", (F.col("taken") / F.col("size")).alias("_times"))
-    texts = rows.select("_row", F.xxhash64("text").alias("_text"))
-    mixed = mixed.join(texts, "_row")
-    first = mixed.where("doc_id is not null").groupBy("doc_id").agg(F.min("_text").alias("_first"))
-    # Rows without an id are numbered by text only, so that they are no single window.
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("_row"))
-    mixed = mixed.withColumn("_nth", nth).join(first, "doc_id", "left")
-    plain = F.coalesce((F.col("_text") == F.col("_first")) & (F.col("_nth") == 1), F.lit(False))
-    seeded = F.when(plain, F.xxhash64(F.lit(43), "doc_id")).otherwise(F.xxhash64(F.lit(43), "doc_id", "_text", "_nth"))
-    times = F.floor(F.col("_times") + F.pmod(seeded, F.lit(1 << 20)) / (1 << 20)).cast("int")
-    taken = mixed.select("_row", times.alias("_taken")).where("_taken > 0")
-    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_taken"))).select(*docs.columns)
+    """Every row as often as the mix takes it: the quotas of mixing, met by whole documents.
+
+    Reruns agree but for which of several equal rows is meant. Rows without words stay out: the mix takes nothing of
+    them, whatever their source's target. A very long document is taken whole or not at all."""
+    rows = numbered(docs)
+    copies = staged(mixing.whole_copies(rows, ROW).where("copies > 0").withColumnRenamed("copies", "__copies__"), "copies")
+    return rows.join(copies, ROW).withColumn("__copy__", F.explode(F.sequence(F.lit(1), "__copies__"))).select(*docs.columns)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, and what they hold of every document."""
+    """Token files, and what they hold of every document: doc_id, start, n_tokens, ids_crc32. Rows of equal or no ids are
+    documents each, null and empty texts just the end id, other columns ignored; see token_frames.write_tokens."""
     return token_frames.encode_documents(docs, tokenizer_path())
 
 

@@ -53,4 +53,4 @@ def test_pipeline_drops_near_copies(spark):
     rows = edited_rows()
     kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame([*rows, (None, "no id"), (None, "no id")], "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(brute(rows).values()))
-    assert kept.where("doc_id is null").count() == 2
+    assert kept.where("doc_id is null").count() == 1  # equal texts are copies, with or without ids
