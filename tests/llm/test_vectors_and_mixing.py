@@ -1,6 +1,8 @@
 """Nearest neighbours, mixing, URL rules, toxicity, licences and decontamination on small fixtures."""
 
 import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -224,6 +226,125 @@ def test_decontamination_of_plain_words_and_short_items(spark):
     assert got == dict.fromkeys([(1, 100), (2, 101), (3, 101), (4, 102), (6, 103)], (1.0, "exact"))
 
 
+def brute_align(item, text, similarity=0.8):
+    """The definition on strings: all windows of both, chains by comparing every pair of places."""
+    def tokens(t):
+        words = [(w, i) for i, w in enumerate(x for x in re.split(r"[\x20\x09-\x0D]+", t) if x)]
+        gaps = re.split(r"[^\x20\x09-\x0D]+", t.strip(" \t\n\x0b\x0c\r"))
+        trim = lambda w: w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or w
+        plain, kinds = [], []
+        for w, i in words:
+            opens = i == 0 or words[i - 1][0][-1] in ".!?:" or "\n" in gaps[i]
+            low = trim(w).lower()
+            plain.append(low)
+            kinds.append("number" if any(c.isdigit() for c in trim(w)) or low in decontamination.NUMBER_WORDS else "unit" if low in decontamination.UNITS else "name" if trim(w)[:1].isupper() and not opens else "")
+        out = []
+        for i, (low, kind) in enumerate(zip(plain, kinds)):
+            value = str(decontamination.NUMBER_WORDS.get(low, low))
+            if out and kind in ("number", "name") and kinds[i - 1] == kind:
+                out[-1][1].append(value)
+            else:
+                out.append((i, [value], kind))
+        return plain, [(i, " ".join(v), k, k or v[0]) for i, v, k in out]
+
+    own, slots = tokens(item)
+    words, there = tokens(text)
+    width = min(5, len(own))
+    if not own:
+        return None
+    telling = [t for t in range(len(slots) - width + 1) if sum(not x[2] for x in slots[t : t + width]) >= 3]
+    begins = [slots[t][0] for t in telling] or list(range(len(own) - width + 1))
+    at = {x[0]: j for j, x in enumerate(there)}
+
+    def match(k, place):
+        if words[place : place + width] == own[begins[k] : begins[k] + width]:
+            return "plain"
+        j = at.get(place)
+        if telling and j is not None and [x[3] for x in there[j : j + width]] == [x[3] for x in slots[telling[k] : telling[k] + width]]:
+            return "typed"
+
+    need, after = max(1, math.ceil(0.8 * len(begins) - 1e-9)), -1
+    hits = [(k, p) for k in range(len(begins)) for p in range(len(words)) if match(k, p)]
+    while True:
+        left = [h for h in hits if h[1] > after]
+        ending = {h: 1 for h in left}
+        for h in sorted(left):
+            ending[h] = 1 + max((ending[g] for g in left if g[0] < h[0] and g[1] < h[1]), default=0)
+        longest = max(ending.values(), default=0)
+        if longest < need:
+            return None
+        end = min(p for (k, p), n in ending.items() if n == longest)
+        left = [h for h in left if h[1] <= end]
+        begin = {}
+        for h in sorted(left, reverse=True):
+            begin[h] = 1 + max((begin[g] for g in left if g[0] > h[0] and g[1] > h[1]), default=0)
+        chain, rest = [], longest
+        while rest:
+            options = [h for h in left if begin[h] == rest and (not chain or (h[0] > chain[-1][0] and h[1] > chain[-1][1]))]
+            chain.append(max(options, key=lambda h: (h[1], h[0])))
+            rest -= 1
+        votes, said = {}, []
+        for k, place in chain:
+            same, mine = match(k, place) == "plain", []
+            for s in range(telling[k], telling[k] + width) if telling else ():
+                if slots[s][2] and not (same and slots[s][0] >= begins[k] + width):
+                    other = slots[s][1] if same else there[at[place] + s - telling[k]][1]
+                    votes.setdefault(slots[s][1], {}).setdefault(other, set()).add(s)
+                    mine.append((slots[s][1], other))
+            said.append((same, mine))
+        best = {w: [o for o, x in v.items() if len(x) == max(map(len, v.values()))] for w, v in votes.items()}
+        good = [same for same, mine in said if all(best[w] == [o] for w, o in mine)]
+        if len(good) >= need:
+            return len(good), sum(good), len(begins)
+        after = end
+
+
+def probe_texts():
+    words, filler = QUESTION.split(), " then some noise stood here for long and nothing else did "
+    cut = words.index("lunch.") + 1
+    torn = QUESTION.replace("12", "40", 1)
+    halves = lambda t: filler.join([" ".join(t.split()[:cut]), " ".join(t.split()[cut:])])
+    backwards = filler.join(" ".join(words[i : i + 5]) for i in reversed(range(len(words) - 4)))
+    return {
+        "longer name": (QUESTION.replace("Anna", "Maria Clara"), "reparameterised"), "number word": (QUESTION.replace("12", "twelve"), "reparameterised"), "torn": (torn, None), "torn apart": (halves(torn), None),
+        "apart": (halves(QUESTION), "exact"), "backwards": (backwards, None), "second of two": (torn + filler + QUESTION.replace("12", "77"), "reparameterised"), "lower": (QUESTION.lower(), "exact"),
+        "apart, other numbers": (halves(QUESTION.replace("12", "31").replace("Anna", "Eva Lou")), "reparameterised"),
+    }
+
+
+def test_decontamination_probes(spark):
+    probes = probe_texts()
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(probes.values())], "doc_id long, text string")
+    items = spark.createDataFrame([(1, QUESTION), (2, QUESTION)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(i, k): kind for i, (_, kind) in enumerate(probes.values()) for k in (1, 2) if kind}
+
+
+def test_decontamination_is_all_pairs_by_brute_force(spark):
+    source = random.Random(6)
+    items = {100: QUESTION, 101: "near Paris Anna met Ben Carl Dora and Emil while Franz told Greta of Hans in Rome before Ida left", 102: "only four plain words", 103: "7 8 9 10 11 12", 104: "Two hundred miles of road, and Bob drove 30 miles a day", 105: "the same old words the same old words the same old words again"}
+    docs = {i: t for i, (t, _) in enumerate(probe_texts().values())}
+    for i in range(120):
+        words = items[source.choice(list(items))].split()
+        for _ in range(source.randint(0, 4)):
+            at = source.randrange(len(words))
+            words[at : at + source.randint(0, 2)] = source.choice([["Mia"], ["twelve"], ["5", "6"], ["some"], [], ["Ben"], ["the", "same", "old", "words"], ["so.\n"]])
+        docs[1000 + i] = " ".join(["Lead", "in"] * source.randint(0, 3) + words + words[: source.randint(0, 9)])
+    frames = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.kind == "exact", r.n_windows) for r in decontamination.contaminated(*frames).collect()}
+    expected = {(d, i): found for d, t in docs.items() for i, x in items.items() if (found := brute_align(x, t))}
+    assert got == {k: (n, n == same, total) for k, (n, same, total) in expected.items()} and len(got) > 40
+
+
+def test_decontamination_of_hot_windows(spark):
+    """One passage in every document and every item: no row for each pair of them."""
+    passage = "what is the best answer to this question out of the four that follow here"
+    items = [(i, f"{passage} " + " ".join(f"i{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + j)}" for j in range(20))) for i in range(60)]
+    docs = [(d, f"{passage} {passage}" + (f" so {items[d][1]}" if d < 5 else "")) for d in range(300)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.containment) for r in decontamination.contaminated(*frames).collect()) == [(d, d, 1.0) for d in range(5)]
+
+
 def test_decontamination_without_prefilter(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     some = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
