@@ -197,9 +197,94 @@ def test_pii_follows_every_pattern_with_support(spark):
 
 
 def test_pii_totals_count_every_occurrence(spark):
-    docs = frame(spark, [(1, "Call  call\tcall call x"), (2, "a call call"), (3, None), (4, "x"), (5, "call at (now")])
-    got = pii.pattern_totals(docs, spark.createDataFrame([("call call",), ("call at",), ("no such",)], "left string")).collect()
-    assert {r.left: r.total for r in got} == {"call call": 3, "call at": 1}
+    docs = frame(spark, [(1, "Call  call\tcall call x"), (2, "a call call"), (3, None), (4, "x"), (5, "call at (now"), (6, "please call at noon")])
+    got = pii.pattern_totals(docs, spark.createDataFrame([("call call",), ("call at",), ("no such",), ("please call",)], "pair string")).collect()
+    assert {(r.side, r.pair): r.total for r in got} == {("left", "call call"): 3, ("right", "call call"): 3, ("left", "call at"): 2, ("right", "call at"): 1, ("left", "please call"): 1}
+
+
+def test_pii_overlapping_patterns_give_no_false_spans(spark):
+    rows = [(i, f"then please call +1 (988) 555-{1000 + i} or") for i in range(20)] + [(100 + i, f"you call at +1 (977) 555-{1000 + i} or") for i in range(20)] + [(1000 + i, "please call at noon7 today") for i in range(200)]
+    assert not [r for r in pii.find_pii(frame(spark, rows)).collect() if r.extra]
+
+
+def test_pii_discovered_values_induce_patterns(spark):
+    """Left contexts find ids, those ids a right context, and that one more ids."""
+    rows = [(i, f"my direct line {'+1 (988) 555-%d' % (1000 + i)} x{i} y{i}") for i in range(60)] + [(100 + i, f"my direct line ext-{i}5 so s{i}") for i in range(6)]
+    rows += [(200 + i, f"a{i} b{i} ext-{i}5 rings the desk") for i in range(6)] + [(300, "c d ext-99 rings the desk"), (301, "so ext-99 it is"), (302, "page 99 of it")]
+    found = {r.doc_id: [(x.kind, x.value) for x in r.extra] for r in pii.find_pii(frame(spark, rows), threshold=0.8).collect() if r.extra}
+    assert found[300] == found[301] == [("phone", "ext-99")] and 302 not in found and all(found[d] == [("phone", f"ext-{d % 100}5")] for d in (*range(100, 106), *range(200, 206)))
+
+
+def brute_words(text, last):
+    glued, own = text and text[-1 if last else 0] not in " \t\n\x0b\x0c\r", words(text)
+    own = (own[:-1] if last else own[1:]) if glued else own
+    return " ".join(own[-2:] if last else own[:2]).lower() if len(own) >= 2 else None
+
+
+def brute_matches(rule, text):
+    """(start, end, value, left, right) of all matches."""
+    at = [m.span() for m in re.finditer(rule, text, re.ASCII)]
+    for i, (a, b) in enumerate(at):
+        yield a, b, text[a:b], brute_words(text[at[i - 2][0] if i > 1 else 0 : a], True), brute_words(text[b : at[i + 2][1] if i + 2 < len(at) else len(text)], False)
+
+
+def brute_discovery(texts, min_support, threshold):
+    """Known values by the definition, over plain lists."""
+    instances, totals = [], {}
+    for text in texts:
+        valid = {tuple(x.split(":")[1:]) + (x.split(":")[0],) for x in brute_spans(text)}
+        base = [(k, m) for k, rule in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE)) for m in brute_matches(rule, text) if (str(m[0]), str(m[1]), k) in valid]
+        others = [(None, m) for m in brute_matches(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*", text) if not any(x[1][0] < m[1] and x[1][1] > m[0] for x in base)]
+        instances += [(k, m[2], side, pair) for k, m in base + others for side, pair in (("left", m[3]), ("right", m[4])) if pair]
+        own = words(text.lower())
+        for i in range(len(own) - 1):
+            pair = f"{own[i]} {own[i + 1]}"
+            for side, there in (("left", i < len(own) - 2), ("right", i > 0)):
+                totals[side, pair] = totals.get((side, pair), 0) + there
+    confidence = {}
+    for _ in range(pii.ROUNDS):
+        scores = {}
+        for key in {x[2:] for x in instances if totals.get(x[2:])}:
+            options = []
+            for kind in pii.KINDS:
+                near = [(v, 1.0 if k else confidence.get((kind, v), 0.0)) for k, v, *own in instances if tuple(own) == key and k in (kind, None)]
+                support = len({v for v, c in near if c >= threshold})
+                if support >= min_support:
+                    options.append((support, kind, sum(c for _, c in near) / totals[key]))
+            if options and max(options)[2] >= pii.TRUST:
+                scores[key] = max(options)[1], min(0.999, max(options)[2])
+        miss = {}
+        for v, key in {(v, tuple(own)) for k, v, *own in instances if k is None and tuple(own) in scores}:
+            kind, score = scores[key]
+            miss[kind, v] = miss.get((kind, v), 1.0) * (1 - score)
+        confidence = {key: 1 - m for key, m in miss.items()}
+        if not any(c >= threshold for c in confidence.values()):
+            break
+    return {v: max((c, k) for (k, w), c in confidence.items() if w == v)[1] for (_, v), c in confidence.items() if c >= threshold}
+
+
+def test_pii_bootstrap_equals_brute_force(spark):
+    source, texts = __import__("random").Random(9), []
+    values = {"phone": lambda: f"+1 (988) 555-{source.randint(1000, 1030)}", "email": lambda: f"u{source.randint(0, 30)}@ex.org", "ip": lambda: f"10.0.0.{source.randint(0, 30)}", "id": lambda: f"id-{source.randint(0, 25)}", "number": lambda: str(source.randint(0, 40))}
+    lefts = [f"l{i} m{i}" for i in range(8)] + ["of the", "so the"]
+    for i in range(500):
+        text = []
+        for _ in range(source.randint(1, 4)):
+            place = source.randrange(10)
+            kind = source.choice(["phone"] * 9 + ["id"] if place < 3 else ["email"] * 4 + ["id"] if place < 5 else ["ip", "number"] if place < 6 else list(values))
+            text += [lefts[place], values[kind]() + source.choice(["", "", ",", "."]), f"r{(place + source.randint(0, 1)) % 5} q{place % 5}", source.choice(["", "word", "of the day", "and so"])]
+        texts.append(" ".join(text))
+    for support, threshold in ((4, 0.8), (5, 0.6)):
+        found = pii.bootstrap(frame(spark, list(enumerate(texts))).select("text"), pii.scan(frame(spark, list(enumerate(texts)))), support, threshold)
+        got = {r.value: r.kind for r in found.collect()}
+        assert got == brute_discovery(texts, support, threshold) and got
+
+
+def test_pii_of_one_long_text(spark):
+    """Two hundred thousand identifier words in one text, with spans among them."""
+    text = " ".join(f"w{i}" if i % 10 else f"u{i}@ex.org" for i in range(200_000))
+    row = pii.scan(frame(spark, [(1, text)])).select(F.size("base").alias("base"), F.size("others").alias("others"), F.element_at("others", -1)["end"].alias("end")).first()
+    assert (row.base, row.others, row.end) == (20_000, 180_000, len(text))
 
 
 def test_pii_discovers_each_kind(spark):
