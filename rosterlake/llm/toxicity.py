@@ -33,8 +33,9 @@ FOLD = {ord(c): " " for c in "\t\n\x0b\x0c\r!\"#%&'()*+,-./:;<=>?[\\]^_`{}~–
 FOLD |= {c: chr(c + 32) for c in range(65, 91)} | {ord(k): v for k, v in (LOOK_ALIKE | SIGNS).items()}
 #: Without labels: plain insults, all of one weight.
 DEFAULT_LEXICON = {w: 5.0 for w in "idiot moron stupid loser scum worthless pathetic disgusting imbecile bastard".split()}
-#: Harmless phrases around words that a lexicon may hold.
+#: Without labels: harmless phrases around such words.
 DEFAULT_EXCEPTIONS = ("trash can", "trash cans", "clown fish", "clown nose", "pond scum")
+#: Letters of a word beginning.
 PREFIX = 5
 
 
@@ -139,11 +140,11 @@ def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "sketch", "entries"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_support: int = 10, max_entries: int = 5_000, max_exceptions: int = 500) -> Model:
-    """Learn from at most `max_rows` labelled documents, chosen by a hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_support: int = 10) -> Model:
+    """Learn from at most `max_rows` labelled documents, chosen by a hash of doc_id; that bounds lexicon and exceptions too.
 
-    labels: doc_id, toxic (null: no label; twice: the larger). Of documents that share a sketch and a label one counts,
-    so a group of copies weighs like one text. An entry's weight is its smoothed log odds, toxic against clean; kept are
+    labels: doc_id, toxic (null: no label; twice: the larger). Entries of documents that share a sketch (the
+    least shingle hash) and a label count once, so a group of copies weighs like one text, and no row is left out. An entry's weight is its smoothed log odds, toxic against clean; kept are
     those in `min_support` toxic documents with odds of at least 8. Exceptions are word pairs that hold a kept word and
     were seen, three times or more, only in clean documents. Too few labels of either kind: the default model.
     """
@@ -153,28 +154,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_support:
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
     rows = staged(texts, "labelled")
     seen = rows.mapInArrow(entries, "doc_id long, toxic int, sketch long, entries array<string>")
-    one = staged(seen.groupBy("sketch", "toxic").agg(F.min_by("entries", "doc_id").alias("entries")), "sample")
-    size = {bool(r["toxic"]): r["n"] for r in one.groupBy(F.col("toxic") > 0).agg(F.count(F.lit(1)).alias("n")).toDF("toxic", "n").collect()}
+    seen = seen.select("sketch", (F.col("toxic") > 0).cast("int").alias("t"), F.explode("entries").alias("entry")).distinct()
+    one = staged(seen, "sample")
+    size = {bool(r["t"]): r["n"] for r in one.groupBy("t").agg(F.count_distinct("sketch").alias("n")).collect()}
     bad, good = size.get(True, 0), size.get(False, 0)
     if bad < min_support or good < min_support:
         return default_model()
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     counts = (
-        one.select(F.explode("entries").alias("entry"), (F.col("toxic") > 0).cast("int").alias("t"))
-        .groupBy("entry")
+        one.groupBy("entry")
         .agg(F.sum("t").alias("bad"), F.sum(1 - F.col("t")).alias("good"))
         .where(f"bad >= {int(min_support)} or (bad = 0 and good >= 3)")
         .select("entry", "bad", "good", odds.alias("weight"), F.size(F.split(F.trim("entry"), " ")).alias("words"))
     )
     counts = staged(counts, "counts")
-    kept = counts.where((F.col("bad") >= min_support) & (F.col("words") == 1) & (F.col("weight") >= math.log(8))).orderBy(F.desc(F.col("weight") * F.col("bad")), "entry").limit(max_entries)
+    kept = counts.where((F.col("bad") >= min_support) & (F.col("words") == 1) & (F.col("weight") >= math.log(8))).select("entry", "weight")
     weights = {r["entry"]: round(r["weight"], 6) for r in kept.collect()}
     if not weights:
         return default_model()
-    whole = [w.strip() for w in weights if w.endswith(" ")]
-    pairs = counts.where((F.col("bad") == 0) & (F.col("words") == 2))
-    held = pairs.where(F.arrays_overlap(F.split(F.trim("entry"), " "), F.array(*map(F.lit, whole))) if whole else F.lit(False)).orderBy(F.desc("good"), "entry").limit(max_exceptions)
-    model = Model(weights, tuple(sorted({fold(p) for p in DEFAULT_EXCEPTIONS} | {r["entry"] for r in held.select("entry").collect()})))
+    whole = kept.where(F.col("entry").endswith(" ")).select(F.trim("entry").alias("word"))
+    pairs = counts.where((F.col("bad") == 0) & (F.col("words") == 2)).select("entry", F.explode(F.split(F.trim("entry"), " ")).alias("word"))
+    held = pairs.join(whole, "word", "left_semi").select("entry").distinct()
+    model = Model(weights, tuple(sorted(r["entry"] for r in held.collect())))
     return curve(rows, model)
 
 

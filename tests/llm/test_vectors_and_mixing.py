@@ -129,11 +129,30 @@ def test_url_rules(spark):
 def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filters, "digest", lambda strings: np.array([len(s) % 3 for s in strings], np.uint64))
     rules = [(f"h{i}.net/{'p' * (i % 5)}", "block" if i % 2 else "allow") for i in range(50)]
-    url_filters.write_index(str(tmp_path / "x"), rules)
+    url_filters.write_index(str(tmp_path / "x"), url_filters.unique_rules(rules))
     index = url_filters.Index(str(tmp_path / "x"))
     asked = [r.encode() for r, _ in rules] + [b"h99.net/", b"h1.net/ppp"]
-    found = index.find(url_filters.digest(asked), asked)
+    found = index.find(url_filters.digest(asked), lambda j, rule: rule == asked[j])
     assert [index.string(i) if i >= 0 else None for i in found] == [*asked[:50], None, None]
+    assert [int(index.block[i]) for i in found[:50]] == [i % 2 for i in range(50)] and index.lengths == [0, 1, 2, 3, 4]
+
+
+def test_many_rules_in_several_files(spark, monkeypatch):
+    """Equal to trying every rule on every url."""
+    monkeypatch.setattr(url_filters, "FILE_BYTES", 400)
+    source = random.Random(2)
+    host = lambda n: ".".join(source.choice(["a", "bb", "c", "net"]) for _ in range(source.randint(1, n)))
+    rules = list({f"{host(3)}/{'xyz/'[: source.randint(0, 4)]}{source.choice(['', 'ü', 'q'])}": source.choice(["allow", "block"]) for _ in range(150)}.items())
+    urls = [f"http://{host(5)}/{''.join(source.choice('xyz/üq') for _ in range(source.randint(0, 6)))}" for _ in range(400)]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    expected = {}
+    for i, url in enumerate(urls):
+        name, _, path = url.removeprefix("http://").partition("/")
+        fits = [r for r, _ in rules if f".{name}".endswith("." + r.partition("/")[0]) and path.startswith(r.partition("/")[2])]
+        best = max(fits, key=len, default=None)
+        expected[i] = (best, dict(rules).get(best, "allow"))
+    assert {i: (r and len(r.encode()), v) for i, (r, v) in got.items()} == {i: (r and len(r.encode()), got[i][1]) for i, (r, v) in expected.items()}
+    assert all(r is None or (r in dict(rules) and dict(rules)[r] == v) for r, v in got.values()) and sum(r is not None for r, _ in got.values()) > 50
 
 
 def test_toxicity_fold_and_exceptions(spark):
