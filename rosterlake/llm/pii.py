@@ -185,29 +185,36 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def bootstrap(docs: DataFrame, seen: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
-    """value, kind of the identifiers that trusted patterns discover; None if no pattern has support."""
+    """value, kind of the identifiers that trusted patterns discover; None if there are none.
+
+    A pattern's places in the corpus are counted when it could be trusted for the first time: when enough known values
+    have it, and they are enough of the values (of any kind) it has, which are some of its places."""
     seeds = seen.select(F.explode("base").alias("x")).select("x.kind", "x.value", "x.left", "x.right")
     others = seen.select(F.explode("others").alias("x")).select(F.lit(None).cast("string").alias("kind"), "x.value", "x.left", "x.right")
     around = seeds.unionByName(others).unpivot(["kind", "value"], ["left", "right"], "side", "pair").where("pair is not null")
-    edges = staged(around.groupBy("side", "pair", "kind", "value").agg(F.count(F.lit(1)).alias("n")), "edges")
-    # Only these can be induced in any round, since known values are among all values.
-    frequent = staged(edges.groupBy("side", "pair").agg(F.count_distinct("value").alias("values"), F.count("kind").alias("seeds")).where(F.col("values") >= min_support), "patterns")
-    if frequent.where("seeds > 0").isEmpty():
-        return None
-    edges = staged(edges.join(pattern_totals(docs, frequent), ["side", "pair"]).join(frequent.select("side", "pair"), ["side", "pair"], "left_semi"), "graph")
-    sure = edges.where("kind is not null").select("side", "pair", "kind", "value", "n", "total", F.lit(1.0).alias("confidence"))
+    edges = around.groupBy("side", "pair", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    key = ["side", "pair"]
+    edges = staged(edges, "edges")
+    places = staged(edges.groupBy(*key).agg(F.sum("n").alias("places")), "places")
+    sure = edges.where("kind is not null").withColumn("confidence", F.lit(1.0))
     unsure = edges.where("kind is null").drop("kind")
-    values = unsure.select(F.lit("").alias("kind"), "value", F.lit(0.0).alias("confidence")).limit(0)
+    totals, values = None, None
     for _ in range(ROUNDS):
-        believed = sure.unionByName(unsure.join(values, "value").select(*sure.columns))
-        patterns = believed.groupBy("side", "pair", "kind").agg(
-            F.count_distinct(F.when(F.col("confidence") >= threshold, F.col("value"))).alias("support"), (F.sum(F.col("n") * F.col("confidence")) / F.first("total")).alias("score")
-        )
-        patterns = patterns.where(F.col("support") >= min_support).groupBy("side", "pair").agg(F.max_by(F.struct("kind", "score"), F.struct("support", "kind")).alias("best"))
-        trusted = patterns.select("side", "pair", "best.kind", F.least(F.lit(0.999), F.col("best.score")).alias("score")).where(F.col("score") >= TRUST)
-        values = staged(unsure.join(trusted, ["side", "pair"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("confidence")), "values")
+        believed = sure if values is None else sure.unionByName(unsure.join(values, "value").select(*sure.columns))
+        support = F.count_distinct(F.when(F.col("confidence") >= threshold, F.col("value"))).alias("support")
+        patterns = believed.groupBy(*key, "kind").agg(support, F.sum(F.col("n") * F.col("confidence")).alias("weight"))
+        patterns = patterns.where(F.col("support") >= min_support).groupBy(*key).agg(F.max_by(F.struct("kind", "weight"), F.struct("support", "kind")).alias("best"))
+        patterns = staged(patterns.join(places, key).where(F.col("best.weight") >= TRUST * F.col("places")).select(*key, "best.kind", "best.weight"), "patterns")
+        new = patterns if totals is None else patterns.join(totals, key, "left_anti")
+        if not new.isEmpty():
+            counted = pattern_totals(docs, new).join(new.select(*key), key, "left_semi")
+            totals = staged(counted if totals is None else totals.unionByName(counted), "totals")
+        elif totals is None:
+            return None
+        trusted = patterns.join(totals, key).select(*key, "kind", F.least(F.lit(0.999), F.col("weight") / F.col("total")).alias("score")).where(F.col("score") >= TRUST)
+        values = staged(unsure.join(trusted, key).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("confidence")), "values")
         if values.where(F.col("confidence") >= threshold).isEmpty():
-            break
+            return None
     return values.where(F.col("confidence") >= threshold).groupBy("value").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
 
 
