@@ -103,3 +103,8 @@ def year_of_file(path: Column) -> Column:
 
 def display_position(text: Column) -> Column:
     return F.initcap(text)
+
+
+def fixed2(x: Column) -> Column:
+    """Two decimals, as totals are shown."""
+    return F.format_string("%.2f", x.cast("double"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -41,21 +41,36 @@ def request_rows(spark: SparkSession, requests: list[Request]) -> DataFrame:
 KEY = ["slate", "request", "variant"]
 
 
-def candidates(pool: DataFrame, requests: DataFrame) -> DataFrame:
+def toggled(excluded: Column, included: Column, player: Column, into: str = "excluded") -> tuple[Column, Column]:
+    """Both lists after a name is toggled in one of them: it goes if it was there, else it comes in and leaves the other."""
+    one, other = (excluded, included) if into == "excluded" else (included, excluded)
+    there = F.array_contains(one, player)
+    one, other = F.when(there, F.array_remove(one, player)).otherwise(F.array_append(one, player)), F.when(there, other).otherwise(F.array_remove(other, player))
+    return (one, other) if into == "excluded" else (other, one)
+
+
+def candidates(pool: DataFrame, requests: DataFrame, included: DataFrame | None = None) -> DataFrame:
     """Pool rows of every request and variant, without excluded players, with idx (pool order), points and locked.
 
     A variant without weight on averages keeps the projection as it is. A defense is locked if it is the first match of
-    `dst`, unless it is excluded or included by name; included names that no candidate has change nothing."""
+    `dst`, unless it is excluded or included by name; included names that no candidate has change nothing. Requests are a list made by hand: every task gets all of them.
+    Names that come from data go into `included` (slate, request, player) instead, which is joined."""
     order = Window.partitionBy("slate").orderBy(position_order(F.col("position")), "rank", "player", "team", "salary")
     rows = pool.withColumn("idx", F.row_number().over(order)).crossJoin(F.broadcast(requests))  # requests are a driver-made list
     rows = rows.where(F.col("player").isNull() | ~F.coalesce(F.array_contains("excluded", F.col("player")), F.lit(False)))
     points = F.when(F.col("w_avg") > 0, text.blend(F.col("proj_fpts"), F.col("avg_fpts"), (F.col("w_proj"), F.col("w_avg")))).otherwise(F.col("proj_fpts"))
     rows = rows.withColumn("proj_fpts", points)
+    named = F.array_contains("included", F.col("player"))
+    if included is not None:
+        wanted = included.select("slate", "request", "player").distinct().withColumn("_wanted", F.lit(True))
+        rows = rows.join(wanted, ["slate", "request", "player"], "left")
+        named = named | F.coalesce("_wanted", F.lit(False))
+    rows = rows.withColumn("_named", F.coalesce(named, F.lit(False))).drop("_wanted")
     match = F.coalesce((F.col("position") == "DST") & text.matches_name(F.col("player"), F.coalesce("dst", F.lit("$^"))) & F.col("dst").isNotNull(), F.lit(False))
     whole = Window.partitionBy(*KEY)
     rows = rows.withColumn("_dst", F.min(F.when(match, F.struct("idx", "player"))).over(whole))
-    by_dst = (F.col("_dst.player") == F.col("player")) & ~F.array_contains("included", F.col("player"))
-    rows = rows.withColumn("by_dst", F.coalesce(by_dst, F.lit(False))).withColumn("by_name", F.coalesce(F.array_contains("included", F.col("player")), F.lit(False)))
+    by_dst = (F.col("_dst.player") == F.col("player")) & ~F.col("_named")
+    rows = rows.withColumn("by_dst", F.coalesce(by_dst, F.lit(False))).withColumnRenamed("_named", "by_name")
     missing = F.col("dst").isNotNull() & F.col("_dst").isNull()
     return rows.withColumn("dst_missing", missing).withColumn("locked", F.col("by_dst") | F.col("by_name")).drop("_dst", "excluded", "included", "w_proj", "w_avg")
 

@@ -12,21 +12,21 @@ from ..staging import staged
 from .solver import SCALE, micro, solve
 
 
-def solved(pool: DataFrame, requests: list[Request]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def solved(pool: DataFrame, requests: list[Request], included: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates with picks, residuals, best filling)."""
-    rows = staged(candidates(pool, request_rows(pool.sparkSession, requests)), "candidates")
+    rows = staged(candidates(pool, request_rows(pool.sparkSession, requests), included), "candidates")
     left = staged(residuals(rows), "residuals")
     free = rows.where("not locked and not dst_missing").join(rows.where("locked").select(*KEY, "player").distinct(), [*KEY, "player"], "left_anti")
     best = solve(free.select(*KEY, "position", "idx", "salary", micro(F.col("proj_fpts")).alias("points")), compositions(left.where("not dst_missing")))
     return rows, left, staged(best, "best")
 
 
-def optimal_lineups(pool: DataFrame, requests: list[Request]) -> DataFrame:
+def optimal_lineups(pool: DataFrame, requests: list[Request], included: DataFrame | None = None) -> DataFrame:
     """KEY, status, and the 11 pool columns of every roster row.
 
     Rows are the locked players and the best filling; without a filling, the locked rows with status INFEASIBLE; with an
     asked defense that no candidate has, no rows (see summaries). A picked name brings all pool rows of that name."""
-    rows, _, best = solved(pool, requests)
+    rows, _, best = solved(pool, requests, included)
     picked = best.select(*KEY, F.explode("ids").alias("idx"))
     names = rows.join(picked, [*KEY, "idx"]).select(*KEY, "player").unionByName(rows.where("locked and not dst_missing").select(*KEY, "player")).distinct()
     status = best.select(*KEY, F.lit("OPTIMAL").alias("_status"))
@@ -34,9 +34,9 @@ def optimal_lineups(pool: DataFrame, requests: list[Request]) -> DataFrame:
     return lineup.select(*KEY, F.coalesce("_status", F.lit("INFEASIBLE")).alias("status"), "idx", *POOL_COLUMNS)
 
 
-def summaries(pool: DataFrame, requests: list[Request]) -> DataFrame:
+def summaries(pool: DataFrame, requests: list[Request], included: DataFrame | None = None) -> DataFrame:
     """KEY, status (OPTIMAL, INFEASIBLE or DST_NOT_FOUND), and totals of the filling: points and salary."""
-    _, left, best = solved(pool, requests)
+    _, left, best = solved(pool, requests, included)
     status = F.when(F.col("dst_missing"), "DST_NOT_FOUND").when(F.col("points").isNull(), "INFEASIBLE").otherwise("OPTIMAL")
     return left.join(best, KEY, "left").select(*KEY, status.alias("status"), (F.col("points") / SCALE).alias("free_points"), F.col("salary").cast("long").alias("free_salary"))
 

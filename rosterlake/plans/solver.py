@@ -66,22 +66,22 @@ def solve(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
     rows: KEY, position, idx, salary (int), points (long) of the candidates that aren't locked. comps: KEY, cap, comp,
     n_qb ... n_dst. Only counts that occur in comps are formed."""
-    comps = staged(comps, "compositions")
+    comps = staged(comps, "compositions").repartition(*KEY)
     counts = comps.agg(*[F.collect_set(f"n_{p.lower()}").alias(p) for p in POSITIONS]).first()  # a few numbers up to 9
     most = reduce(DataFrame.unionByName, [comps.groupBy(*KEY).agg(F.max(f"n_{p.lower()}").alias("mx")).withColumn("position", F.lit(p)) for p in POSITIONS])
-    kept = staged(dominance_prune(rows, most), "kept")
+    # Both sides stay parted by KEY from here on: groups by more columns and joins on KEY need no other shuffle.
+    kept = staged(dominance_prune(rows, most), "kept").repartition(*KEY)
     state = comps.select(*KEY, "comp", "cap", *[f"n_{p.lower()}" for p in POSITIONS], F.lit(0).alias("salary"), F.lit(0).cast("long").alias("points"), F.array().cast("array<int>").alias("ids"))
     for p in POSITIONS:
         n = f"n_{p.lower()}"
         sets = combinations(kept, p, sorted(k for k in counts[p] if k))
         none = comps.select(*KEY).distinct().select(*KEY, F.lit(0).alias("k"), F.lit(0).alias("salary"), F.lit(0).cast("long").alias("points"), F.array().cast("array<int>").alias("ids"))
-        a, b = state.alias("a"), sets.unionByName(none).alias("b")
+        a, b = state.alias("a"), sets.unionByName(none).repartition(*KEY).alias("b")
         same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in KEY])
-        joined = a.join(b, same & (F.col(f"a.{n}") == F.col("b.k")) & (F.col("a.salary") + F.col("b.salary") <= F.col("a.cap")))
+        # n = k as a difference: as a key it would have the state shuffled anew for every position.
+        joined = a.join(b, same & (F.col(f"a.{n}") - F.col("b.k") == 0) & (F.col("a.salary") + F.col("b.salary") <= F.col("a.cap")))
         fixed = [*KEY, "comp", "cap", *[f"n_{x.lower()}" for x in POSITIONS]]
         state = frontier(joined.select(*[F.col(f"a.{c}") for c in fixed], (F.col("a.salary") + F.col("b.salary")).alias("salary"), (F.col("a.points") + F.col("b.points")).alias("points"), F.concat("a.ids", "b.ids").alias("ids")), fixed)
-        if p in ("RB", "TE"):
-            state = staged(state, f"with-{p}")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("salary"), F.array_sort("ids").alias("ids"))).alias("best")
     return state.groupBy(*KEY).agg(best).select(*KEY, F.col("best.salary").alias("salary"), (-F.col("best.p")).alias("points"), F.col("best.ids").alias("ids"))
 

@@ -16,7 +16,7 @@ from .operators.locks import KEY, Request
 from .plans import lineups, solver
 from .schema import LOOSE_GRADES, POOL_COLUMNS, POSITIONS, STATS, STRICT_GRADES, TEAMS, position_order
 from .sources import pages, snapshots
-from .staging import staged
+from .staging import new_folder, staged
 from .streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,24 +121,68 @@ def salary_inner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.with_salaries(cleaned, salaries).select("player", "position", "team", "opponent", "salary", "file_week")
 
 
-def best_spenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("o_custkey"))
+def three_names(rows: DataFrame) -> tuple[str, ...]:
+    """The first three names by alphabet of the best quarterbacks."""
+    return tuple(r["player"] for r in rows.where("rank = 1 and position = 'QB'").select("player").distinct().orderBy("player").limit(3).collect())
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
+THREE = "(SELECT DISTINCT player FROM pool WHERE rank = 1 AND position = 'QB' ORDER BY player LIMIT 3)"
+
+
+@query(f"WITH {POOL} SELECT slate, player, position FROM pool WHERE player NOT IN {THREE}")
 def exclude_players(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").join(best_spenders(spark, sf_dir), "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+    rows = pool_of(spark, sf_dir)
+    one = Request(excluded=three_names(rows), variants=((1.0, 0.0),))
+    return locks.candidates(rows, locks.request_rows(spark, [one])).select("slate", "player", "position")
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
+@query(f"WITH {POOL} SELECT slate, player, position FROM pool WHERE player IN {THREE}")
 def include_players(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").join(best_spenders(spark, sf_dir), "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+    rows = pool_of(spark, sf_dir)
+    one = Request(included=three_names(rows), variants=((1.0, 0.0),))
+    return locks.candidates(rows, locks.request_rows(spark, [one])).where("by_name").select("slate", "player", "position")
 
 
-@query(f"WITH {POOL} SELECT slate, player, position FROM pool p WHERE EXISTS (SELECT 1 FROM pool q WHERE q.slate = p.slate AND q.player = p.player AND q.rank = 1)")
+@query(f"WITH {POOL} SELECT slate, player, position, salary, 'INFEASIBLE' AS status FROM pool WHERE position = 'RB' AND rank <= 4 AND slate IN (SELECT slate FROM pool WHERE position = 'RB' AND rank <= 4 GROUP BY slate HAVING count(*) = 4)")
 def lineup_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the rosters that no filling completes: the locked players."""
     rows = pool_of(spark, sf_dir)
-    return rows.join(rows.where("rank = 1").select("slate", "player"), ["slate", "player"], "left_semi").select("slate", "player", "position")
+    found = lineups.optimal_lineups(rows, [Request("four", variants=((1.0, 0.0),))], four_backs(rows))
+    return found.where("status = 'INFEASIBLE'").select("slate", "player", "position", "salary", "status")
+
+
+def four_backs(rows: DataFrame) -> DataFrame:
+    """The four best RBs of every slate, to be included: more than base and flex take."""
+    return rows.where("position = 'RB' and rank <= 4").select("slate", F.lit("four").alias("request"), "player")
+
+
+@query(f"WITH {POOL} SELECT {COLUMNS}, year AS file_year, week AS file_week FROM pool")
+def pool_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "csv")
+    snapshots.write_snapshots(pool_of(spark, sf_dir).drop("slate"), folder, "pool")
+    return snapshots.read_pools(spark, f"{folder}/*")
+
+
+@query(f"WITH {BASE} SELECT {NAME} AS player, position, team, opponent, salary, 2025 AS file_year, slate AS file_week FROM base")
+def salary_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "csv")
+    snapshots.write_snapshots(parts(base(spark, sf_dir))[2], folder, "salary")
+    return snapshots.read_salaries(spark, f"{folder}/*")
+
+
+@query(f"""WITH {POOL} SELECT year AS file_year, week AS file_week, to_json(list({{'player': player, 'position': position, 'rank': rank, 'proj_fpts': proj_fpts, 'salary': salary}}
+    ORDER BY list_position(['QB','RB','WR','TE','DST'], position), rank, player))::VARCHAR AS json FROM pool GROUP BY ALL""")
+def pool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pool_of(spark, sf_dir).select("file_year", "file_week", "player", "position", "rank", "proj_fpts", "salary")
+    return snapshots.records(rows, ["file_year", "file_week"], [position_order(F.col("position")), "rank", "player"])
+
+
+@query(f"WITH {POOL} SELECT {COLUMNS} FROM pool WHERE week = (SELECT max(week) FROM pool)")
+def served_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest week of stored pools, as the service returns it."""
+    folder = new_folder(spark, "csv")
+    snapshots.write_snapshots(pool_of(spark, sf_dir).drop("slate"), folder, "pool")
+    return lineups.RosterService(spark, f"{folder}/*").projections()
 
 
 @query(f"WITH {BASE} SELECT raw AS player, position, CASE WHEN position = 'QB' THEN proj_fpts END AS qb_points, CASE WHEN position = 'DST' THEN team END AS dst_team FROM base")
@@ -450,12 +494,10 @@ def optimal_objective_locked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineups.summaries(rows, [request]).select("slate", "variant", "status", "free_points")
 
 
-@query(f"WITH {POOL}, {INCLUDED}, q AS (SELECT DISTINCT slate FROM pool) SELECT q.slate, 'INFEASIBLE' AS status FROM q WHERE (SELECT count(*) FROM pool p WHERE p.slate = q.slate AND p.position = 'RB' AND p.rank <= 4) = 4")
+@query(f"WITH {POOL} SELECT slate, 'INFEASIBLE' AS status FROM pool WHERE position = 'RB' AND rank <= 4 GROUP BY slate HAVING count(*) = 4")
 def optimal_infeasible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four best RBs of every slate included: more than base and flex take."""
     rows = pool_of(spark, sf_dir)
-    included = rows.where("position = 'RB' and rank <= 4").select("player").distinct().orderBy("player").collect()
-    found = lineups.summaries(rows, [Request("four", included=tuple(r["player"] for r in included), variants=((1.0, 0.0),))])
+    found = lineups.summaries(rows, [Request("four", variants=((1.0, 0.0),))], four_backs(rows))
     return found.where("status = 'INFEASIBLE'").select("slate", "status")
 
 
@@ -477,9 +519,11 @@ def lineup_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.agg(F.count(F.lit(1)).alias("lineups"), F.count_if("feasible").alias("feasible"))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query(f"WITH {POOL} SELECT {COLUMNS}, year AS file_year, week AS file_week FROM pool")
 def dedupe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id", "event_type").dropDuplicates()
+    """A pool whose rankings were landed twice."""
+    rankings, averages, salaries = parts(base(spark, sf_dir))
+    return pool.build_pool(rankings.unionByName(rankings), averages, salaries)
 
 
 @query("""WITH s AS (SELECT *, list_position(['Thu-Mon', 'Fri-Mon', 'Sat-Mon', 'Sat-Sun'], ['Sat-Sun', 'Fri-Mon', 'Sat-Mon', 'none'][user_id % 4 + 1]) AS p, (user_id % 50)::INT AS week FROM events)
@@ -517,11 +561,46 @@ def serving_order_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("rank = 1").select("slate", "player", "rank", "place")
 
 
-@query("SELECT p_partkey, 'a,b' AS kept, 2::BIGINT AS n FROM part")
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS excluded, CASE WHEN p_size % 3 = 1 THEN 'x' WHEN p_size % 3 = 0 THEN p_brand || ',x' ELSE 'x' END AS included FROM part""")
 def exclusive_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toggling a name into one list takes it out of the other; each list holds a name once."""
-    kept = F.array_join(F.array_sort(F.array_except(F.array(F.lit("a"), F.lit("b"), "p_brand"), F.array("p_brand"))), ",")
-    return table(spark, sf_dir, "part").select("p_partkey", kept.alias("kept"), F.size(F.array_union(F.array(F.lit("a")), F.array("p_brand", "p_brand"))).cast("long").alias("n"))
+    """A brand toggled among the excluded ones: there before (0), in the other list before (1), or in none (2)."""
+    kind, none = F.col("p_size") % 3, F.array().cast("array<string>")
+    before = F.when(kind == 0, F.array("p_brand")).otherwise(none), F.when(kind == 2, F.array(F.lit("x"))).otherwise(F.array("p_brand", F.lit("x")))
+    excluded, included = locks.toggled(*before, F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(excluded, ",").alias("excluded"), F.array_join(included, ",").alias("included"))
+
+
+@query(f"SELECT trim(string_split({PLAYER}, '(')[1]) AS player, {sql_cell(2)}::DOUBLE AS rec, 3 AS week, 'WR' AS position FROM lineitem")
+def weekly_advanced_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .schema import ADVANCED
+
+    return stats.weekly_advanced(stat_cells(table(spark, sf_dir, "lineitem"), ADVANCED["WR"]), "WR", 3).select("player", "rec", "week", "position")
+
+
+@query(f"SELECT {PLAYER} AS player, 'KC' AS team, {sql_cell(3)}::DOUBLE AS snaps, l_quantity AS fpts, 6 AS week FROM lineitem")
+def weekly_snaps_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .schema import SNAPS
+
+    return stats.weekly_snaps(stat_cells(table(spark, sf_dir, "lineitem"), SNAPS), "RB", 6).select("player", "team", "snaps", "fpts", "week")
+
+
+@query(f"SELECT trim(string_split({PLAYER}, '(')[1]) AS player, {sql_cell(1)}::DOUBLE AS rz_cmp, l_quantity AS rz_fpts, 2 AS week FROM lineitem")
+def weekly_red_zone_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .schema import RED_ZONE
+
+    return stats.weekly_red_zone(stat_cells(table(spark, sf_dir, "lineitem"), RED_ZONE["QB"]), "QB", 2).select("player", "rz_cmp", "rz_fpts", "week")
+
+
+@query("""SELECT event_id, 'http://host/' || kind || '/' || CASE WHEN kind = 'rankings' THEN 'ppr-wr.php?year=2025&week=' || week ELSE 'wr.php?year=2025&range=custom&' || CASE WHEN kind = 'snap' THEN 'start=' || week - 4 || '&end=' || week - 1 ELSE 'start_week=' || week - 4 || '&end_week=' || week - 1 END || '&scoring=PPR' END AS url
+    FROM (SELECT event_id, (event_id % 17 + 1)::INT AS week, ['rankings', 'stats', 'snap'][user_id % 3 + 1] AS kind FROM events)""")
+def page_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit("WR").alias("position"), F.lit(2025).alias("year"), (F.col("event_id") % 17 + 1).cast("int").alias("week"), spread(F.col("user_id"), ("rankings", "stats", "snap")).alias("kind"))
+    return pages.page_urls(rows, "http://host").select("event_id", "url")
+
+
+@query("SELECT l_orderkey, l_linenumber, printf('%.2f', l_extendedprice) AS shown, upper(l_linestatus[1]) || lower(l_linestatus[2:]) AS place FROM lineitem")
+def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.fixed2(F.col("l_extendedprice")).alias("shown"), text.display_position(F.lower("l_linestatus")).alias("place"))
 
 
 @query(f"WITH {BASE} SELECT position, (CASE WHEN position IN ('QB', 'DST') THEN '' ELSE 'ppr-' END) || lower(position) || '.php' AS page, count(*) AS n FROM base GROUP BY ALL")

@@ -143,8 +143,16 @@ def first_slate(rows: DataFrame, slates: tuple[str, ...]) -> DataFrame:
     return ranked.join(best, ["year", "week"]).where("_slate = _best").drop("_slate", "_best")
 
 
-def page_urls(requests: DataFrame, base: str) -> DataFrame:
-    """position, year, week, kind -> url with its query string, for whoever lands the pages."""
-    query = F.when(F.col("kind") == "rankings", F.format_string("year=%d&week=%d", "year", "week")).otherwise(F.format_string("year=%d&range=custom&start_week=%d&end_week=%d&scoring=PPR", F.col("year"), F.col("week") - 4, F.col("week") - 1))
+def page_urls(requests: DataFrame, base: str, single_week: bool = False) -> DataFrame:
+    """position, year, week, kind -> url with its query string, for whoever lands the pages.
+
+    Statistics cover the four weeks before, or with single_week the one asked for; pages of kind snap name their range
+    start and end."""
+    first, last = (F.col("week"), F.col("week")) if single_week else (F.col("week") - 4, F.col("week") - 1)
+    custom = F.format_string("year=%d&range=custom&start_week=%d&end_week=%d&scoring=PPR", F.col("year"), first, last)
+    if single_week:
+        custom = F.format_string("year=%d&range=week&week=%d&scoring=PPR", F.col("year"), F.col("week"))
+    snap = F.format_string("year=%d&range=custom&start=%d&end=%d&scoring=PPR", F.col("year"), first, last)
+    query = F.when(F.col("kind") == "rankings", F.format_string("year=%d&week=%d", "year", "week")).when(F.col("kind") == "snap", snap).otherwise(custom)
     page = F.when(F.col("kind") == "rankings", text.page_path(F.col("position"))).otherwise(F.concat(F.lower("position"), F.lit(".php")))
     return requests.withColumn("url", F.concat(F.lit(base.rstrip("/") + "/"), F.col("kind"), F.lit("/"), page, F.lit("?"), query))

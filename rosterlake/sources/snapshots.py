@@ -10,7 +10,7 @@ from ..functions import text
 from ..schema import POOL, SALARY, position_order
 
 
-def read_snapshots(spark: SparkSession, path: str, schema: T.StructType, na_words: bool = False) -> DataFrame:
+def read_snapshots(spark: SparkSession, path: str | list[str], schema: T.StructType, na_words: bool = False) -> DataFrame:
     """CSV files named *_{year}_w{week}.csv, with file_year and file_week. Padded cells and CRLF are trimmed.
 
     na_words also turns the words NA, None and null into missing values, as lenient readers do."""
@@ -56,6 +56,13 @@ def write_partitioned(rows: DataFrame, path: str, keys: tuple[str, str] = ("file
     rows.dropDuplicates().repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def write_snapshots(rows: DataFrame, path: str, prefix: str) -> None:
+    """CSV snapshots under path, one folder a (file_year, file_week) whose name ends in {prefix}_{year}_w{week}.csv, so that
+    read_salaries and read_pools on `{path}/*` find the week by name. Weeks that rows hold are replaced, others stay."""
+    named = rows.withColumn("snapshot", F.format_string(f"{prefix}_%d_w%d.csv", "file_year", "file_week")).drop("file_year", "file_week")
+    named.repartition("snapshot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot").csv(path, header=True)
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
     """One file for people; a single week has a few hundred rows."""
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True)

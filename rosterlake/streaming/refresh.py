@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text
-from ..sources.snapshots import write_partitioned
+from ..sources.snapshots import listed_files, read_snapshots, write_partitioned
+from ..staging import staged
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -23,8 +25,35 @@ def newest_files(rows: DataFrame) -> DataFrame:
     return rows.join(newest, ["file_year", "file_week"]).where(F.struct("modified", "path") == F.col("_new")).drop("_new", "modified", "path")
 
 
+def taken_files(spark: SparkSession, manifest: str) -> DataFrame:
+    """path, modified of the files that refresh_changed has taken; none before the first run."""
+    files = T.StructType([T.StructField("path", T.StringType()), T.StructField("modified", T.TimestampType())])
+    try:
+        return spark.read.schema(files).parquet(manifest)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], files)
+
+
+def refresh_changed(spark: SparkSession, landing: str, target: str, manifest: str, schema: T.StructType) -> int:
+    """Take the files under landing that are new or were overwritten under their own name; returns how many it read.
+
+    A file is known by path and modification time. Of each (year, week) the newest file counts, so a week is written only
+    if its newest is not taken yet. The manifest is written last: a run that is cut off is repeated with equal results."""
+    files = listed_files(spark, landing).withColumns({"file_year": text.year_of_file(F.col("path")), "file_week": text.week_of_file(F.col("path"))}).where("file_week is not null")
+    files = files.join(taken_files(spark, manifest).withColumn("_taken", F.lit(True)), ["path", "modified"], "left")
+    new = staged(newest_files(files.withColumn("file", F.struct("path", "modified"))).where("_taken is null").select("file.*"), "landed")
+    paths = [r["path"] for r in new.select("path").collect()]  # names of a run's new files, one a week
+    if paths:
+        write_partitioned(read_snapshots(spark, paths, schema), target)
+        new.write.mode("append").parquet(manifest)
+    return len(paths)
+
+
 def refresh(spark: SparkSession, landing: str, target: str, checkpoint: str, schema: T.StructType) -> StreamingQuery:
-    """Take what has landed since the last run (CSV files *_{year}_w{week}.csv), then stop."""
+    """Take what has landed under new names since the last run (CSV files *_{year}_w{week}.csv), then stop. The stream's
+    source knows files by name only: where files are overwritten, use refresh_changed."""
     stream = spark.readStream.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("latestFirst", False).csv(landing)
     name = F.col("_metadata.file_path")
     rows = stream.select("*", text.year_of_file(name).alias("file_year"), text.week_of_file(name).alias("file_week"), F.col("_metadata.file_modification_time").alias("modified"), name.alias("path"))

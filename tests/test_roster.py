@@ -254,3 +254,31 @@ def test_refresh_replaces_weeks(spark, tmp_path):
     (landing / "b_2025_w1.csv").write_text(head + "C,QB,KC,BUF,7000 \n")
     refresh.refresh(spark, str(landing), target, f"{tmp_path}/c", SALARY).awaitTermination()
     assert sorted((r.player, r.file_week, r.salary) for r in spark.read.parquet(target).collect()) == [("B", 2, 6000), ("C", 1, 7000)]
+
+
+def test_refresh_takes_overwritten_files(spark, tmp_path):
+    landing, target, manifest = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/manifest"
+    landing.mkdir()
+    head = "player,position,team,opponent,salary\n"
+    run = lambda: refresh.refresh_changed(spark, f"{landing}/*.csv", target, manifest, SALARY)
+    rows = lambda: sorted((r.player, r.file_week) for r in spark.read.parquet(target).collect())
+    (landing / "s_2025_w5.csv").write_text(head + "A,QB,KC,BUF,5000\n")
+    (landing / "s_2025_w6.csv").write_text(head + "B,QB,KC,BUF,5000\n")
+    assert run() == 2 and run() == 0 and rows() == [("A", 5), ("B", 6)]
+    time.sleep(1.1)
+    (landing / "s_2025_w5.csv").write_text(head + "C,QB,KC,BUF,5000\n")
+    assert run() == 1 and run() == 0 and rows() == [("B", 6), ("C", 5)]
+    (landing / "older_2025_w6.csv").write_text(head + "D,QB,KC,BUF,5000\n")
+    __import__("os").utime(landing / "older_2025_w6.csv", (1, 1))
+    assert run() == 0 and rows() == [("B", 6), ("C", 5)]
+
+
+def test_command(spark, tmp_path, monkeypatch, capsys):
+    from rosterlake import __main__ as command
+
+    rows = spark.createDataFrame([(2025, w, *r[2:]) for w in (3, 12) for r in week(w)], POOL).withColumns({"file_year": F.col("year"), "file_week": F.col("week")})
+    snapshots.write_snapshots(rows, str(tmp_path / "pools"), "pool")
+    assert command.main([f"{tmp_path}/pools/*", "--dst", "dst1", "--exclude", "WR0", "--one-te"]) == 0
+    out = capsys.readouterr().out
+    assert out.startswith("2025, week 12") and out.count("DST1") == 3 and "WR0" not in out and "remaining" in out
+    assert command.main([f"{tmp_path}/pools/*", "--week", "3", "--dst", "nobody"]) == 1 and command.main([f"{tmp_path}/pools/*", "--week", "4"]) == 1
