@@ -5,6 +5,9 @@ n - ceil(s n) + 1 of each set's n, whatever the order is. Fingerprints that leav
 compared within about 18 of 64 bits, which bit blocks cannot index. The order puts frequent shingles last, by counts
 in a table of hashed cells of fixed size, so that common passages make few candidates; wrong counts cost time only.
 Equal sets collapse first. Every candidate is confirmed on the whole sets before it links.
+
+A group of copies is no set of all its pairs: first each set is confirmed with one other of its key, twice in different
+orders; pairs inside one component need no test any more, and what is left between components is tested pair by pair.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .components import components
 
 #: Cells of the frequency table; a cell is frequent if it holds FREQUENT times the mean, so at most CELLS / FREQUENT are.
 CELLS_LOG2, FREQUENT = 22, 4
+#: Rounds of one test a set and key, before the pairs between components.
+STARS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
@@ -41,14 +46,15 @@ def set_hash(values: np.ndarray) -> int:
 
 
 def cells_of(shingle: int):
-    """Texts -> (cell, n): how many of a task's sets hold a shingle of the cell."""
+    """Texts -> (cell, n): how many of a task's sets hold a shingle of the cell, if more than mostly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELLS_LOG2, np.int64)
         for batch in slices(batches):
             for values in shingle_sets(*text_buffers(batch.column("text")), shingle):
                 np.add.at(counts, values >> np.uint64(64 - CELLS_LOG2), 1)
-        cells = np.flatnonzero(counts)
+        # Cells that are rare in a task are left out: few of them are frequent in all.
+        cells = np.flatnonzero(counts >= max(2, 2 * counts.mean()))
         for part in np.array_split(cells, len(cells) // 100_000 + 1):
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["cell", "n"])
 
@@ -95,6 +101,23 @@ def whole_sets(shingle: int):
     return run
 
 
+def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            good = []
+            for i in range(batch.num_rows):
+                one, two = (c[i].values.to_numpy(zero_copy_only=False) for c in (x, y))
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(common >= similarity * (len(one) + len(two) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: documents linked through pairs whose shingle sets have Jaccard `similarity` or more.
 
@@ -113,25 +136,27 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     keyed = staged(keyed, "prefixes")
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     shared = staged(keyed.join(several, "key", "left_semi"), "shared")
-    sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(similarity - 1e-9)
-    pairs = shared.alias("a").join(shared.alias("b"), F.expr("a.key = b.key and a.set < b.set") & sized)
-    pairs = staged(pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    known = staged(texts.select("text").mapInArrow(whole_sets(shingle), "set long, shingles array<long>").join(asked, "set", "left_semi").dropDuplicates(["set"]), "asked")
-    both = pairs.join(known.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            good = []
-            for i in range(batch.num_rows):
-                one, two = (c[i].values.to_numpy(zero_copy_only=False) for c in (x, y))
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                good.append(common >= similarity * (len(one) + len(two) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    links = both.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
+    sets = staged(texts.select("text").mapInArrow(whole_sets(shingle), "set long, shingles array<long>").join(shared.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"]), "sets")
+    near = lambda n, m: F.least(n, m) >= F.greatest(n, m) * F.lit(similarity - 1e-9)
+    links, placed = None, shared.withColumn("root", F.col("set"))
+    for step in range(STARS + 1):
+        if step < STARS:
+            # A star a key: each set with the key's first one in the step's order.
+            first = F.min(F.struct(F.xxhash64(F.lit(step), "set").alias("h"), F.col("set").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))).alias("first")
+            stars = placed.join(placed.groupBy("key").agg(first), "key").select(F.col("set").alias("a"), "n", "root", "first.b", "first.m", "first.r")
+            pairs = stars.where((F.col("root") != F.col("r")) & near(F.col("n"), F.col("m"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        else:
+            # All that is left: sets outside a key's main component with those of other components.
+            main = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("sets")).groupBy("key").agg(F.max_by("root", F.struct("sets", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
+            mixed = staged(placed.join(main, "key"), "mixed")
+            apart = F.expr("a.key = b.key and a.root != b.root and (b.root = b.main or a.set < b.set)") & near(F.col("a.n"), F.col("b.n"))
+            pairs = mixed.where("root != main").alias("a").join(mixed.alias("b"), apart).select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b"))
+        confirmed = staged(confirm(pairs.distinct(), sets, similarity), "links")
+        links = confirmed if links is None else links.unionByName(confirmed)
+        roots = components(links)
+        if step < STARS:
+            placed = staged(shared.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", "n", F.coalesce("root", "set").alias("root")), "placed")
     classes = staged(signed.groupBy("set").agg(F.min("doc_id").alias("first_doc")), "classes")
-    members = classes.join(components(links), F.col("set") == F.col("node"), "left").select("set", "first_doc", F.coalesce("root", "set").alias("root"))
+    members = classes.join(roots, F.col("set") == F.col("node"), "left").select("set", "first_doc", F.coalesce("root", "set").alias("root"))
     least = members.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     return signed.select("doc_id", "set").join(members.join(least, "root").select("set", "component_id"), "set").select("doc_id", "component_id")
