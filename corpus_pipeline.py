@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and its result is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents, with whatever other columns
 docs has. Every row is judged by itself: stages that compare rows number them first, so that rows without an id, or
-with one that others have, are treated like any other. An empty table gives an empty result in every stage.
+with one that others have, are treated like any other. An empty table gives an empty result in every stage. Tables that
+only lead to a stage's decisions are deleted once those are written.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from rosterlake.llm import decontamination, mixing, near_copies, token_frames, toxicity
 from rosterlake.llm.common import staged
 from rosterlake.llm.queries import table, tokenizer_path, toxicity_model
+from rosterlake.staging import passing
 
 #: The row number that stages add; a column of this name in docs would clash with it.
 ROW = "__row__"
@@ -34,7 +36,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no hit and stay. Equal texts have equal scores, whatever their ids; very long ones are
     scored whole. Without enough labels the operator's fixed list judges."""
-    return toxicity.keep_clean(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    with passing(spark):
+        model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,17 +48,24 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null, empty and blank texts are copies of each other: one stays. Equal rows are copies, with or without ids."""
     rows = numbered(docs)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("h"), ROW)
-    groups = near_copies.near_copies(by_row(rows)).select(F.col("doc_id").alias(ROW), "component_id")
-    order = rows.select(ROW, first.alias("first"))
-    kept = groups.join(order, ROW).groupBy("component_id").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return rows.join(staged(kept, "kept"), ROW, "left_semi").select(*docs.columns)
+    with passing(spark):
+        groups = near_copies.near_copies(by_row(rows)).select(F.col("doc_id").alias(ROW), "component_id")
+        order = rows.select(ROW, first.alias("first"))
+        kept = groups.join(order, ROW).groupBy("component_id").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+        kept = staged(kept, "kept", lasting=True)
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, judged by their texts alone; null and empty texts hold none."""
-    rows = numbered(docs)
-    leaks = decontamination.contaminated(by_row(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(staged(leaks, "leaks"), ROW, "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item, judged by their texts alone; null and empty texts hold none.
+
+    As equal texts are judged alike, rows are known by XXH64 of their texts here, and need no number."""
+    key = F.xxhash64("text")
+    with passing(spark):
+        texts = docs.where("text is not null").select(key.alias("doc_id"), "text")
+        leaks = decontamination.contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(ROW)).distinct()
+        leaks = staged(leaks, "leaks", lasting=True)
+    return docs.withColumn(ROW, F.when(F.col("text").isNotNull(), key)).join(leaks, ROW, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +74,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Reruns agree but for which of several equal rows is meant. Rows without words stay out: the mix takes nothing of
     them, whatever their source's target. A very long document is taken whole or not at all."""
     rows = numbered(docs)
-    copies = staged(mixing.whole_copies(rows, ROW).where("copies > 0").withColumnRenamed("copies", "__copies__"), "copies")
+    with passing(spark):
+        copies = staged(mixing.whole_copies(rows, ROW).where("copies > 0").withColumnRenamed("copies", "__copies__"), "copies", lasting=True)
     return rows.join(copies, ROW).withColumn("__copy__", F.explode(F.sequence(F.lit(1), "__copies__"))).select(*docs.columns)
 
 

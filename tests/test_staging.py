@@ -24,3 +24,16 @@ def test_clear_deletes_what_was_staged(spark):
     assert rows.count() == 5 and any(x.startswith("numbers-") for x in os.listdir(folder))
     staging.clear(spark)
     assert not os.path.exists(folder)
+
+
+def test_passing_tables_go_and_lasting_ones_stay(spark):
+    with staging.passing(spark):
+        inner = staging.staged(spark.range(3), "inner")
+        with staging.passing(spark):
+            staging.staged(spark.range(1), "nested")
+        assert inner.count() == 3
+        kept = staging.staged(inner.where("id > 0"), "kept", lasting=True)
+    assert kept.count() == 2
+    assert not any("passing-" in f for f in kept.inputFiles())
+    with pytest.raises(Exception):
+        staging.staged(inner, "gone")
