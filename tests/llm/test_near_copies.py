@@ -54,3 +54,19 @@ def test_pipeline_drops_near_copies(spark):
     kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame([*rows, (None, "no id"), (None, "no id")], "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(brute(rows).values()))
     assert kept.where("doc_id is null").count() == 1  # equal texts are copies, with or without ids
+
+
+def test_sketches_differ_in_no_more_bits_than_their_sets():
+    source = np.random.default_rng(3)
+    for size, changed in ((0, 0), (1, 1), (64, 3), (65, 20), (120, 40), (130, 30), (5000, 600)):
+        one = np.unique(source.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
+        two = np.unique(np.append(one[changed // 2 :], source.integers(0, 1 << 63, changed - changed // 2, np.uint64)))
+        bits = near_copies.differing_bits(near_copies.parity_sketch(one), near_copies.parity_sketch(two))
+        assert bits <= len(np.setxor1d(one, two))
+
+
+def test_map_of_wanted_sets(spark):
+    values = [0, 1, -1, -(1 << 63), (1 << 63) - 1, 123456789 << 30]
+    cells = {(v & 0xFFFFFFFFFFFFFFFF) >> (64 - near_copies.WANTED_LOG2) for v in values}
+    found = near_copies.map_of(spark.createDataFrame([(v,) for v in values], "set long"))
+    assert set(np.flatnonzero(np.unpackbits(found, bitorder="little")).tolist()) == cells
