@@ -4,13 +4,16 @@ Every projection is one sorted array of the vectors' projections. A query counts
 projections they fall in the window around its own projection. Virtual rehashing widens all windows together until
 enough vectors have reached the collision threshold; those are verified by the exact measure.
 
-Vectors are dealt into blocks, queries into chunks; every chunk meets every block once, and the best of each block
-merge by rank. Inner product becomes distance by the usual extra coordinate sqrt(M**2 - |x|**2), where M is the
+Vectors are dealt into blocks of bounded size. A block's arrays are built once, in the task that holds the block, and the
+queries stream past them batch by batch; the best of each block merge by rank. Where there are fewer blocks than cores,
+a block is held by several tasks, each for a stripe of the queries. Inner product becomes distance by the usual extra coordinate sqrt(M**2 - |x|**2), where M is the
 largest norm, so the nearest vectors have the largest inner products.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,16 +21,18 @@ from pyspark.sql import functions as F
 
 from .common import ship, staged
 
-BLOCK_ROWS, CHUNK_ROWS = 8192, 2048
+BLOCK_ROWS = 16_384
 #: Projections, share of a block that has to reach the threshold before widening ends, and the threshold's share of projections.
-PROJECTIONS, VERIFIED, COLLISIONS = 130, 0.09, 0.7
-#: The first windows hold this share of a block on average; each step widens them by GROWTH.
-FIRST, GROWTH = 0.6, 1.15
+PROJECTIONS, VERIFIED, COLLISIONS = 130, 0.02, 0.85
+#: The first windows that are counted hold this share of a block on average; each step widens them by GROWTH.
+FIRST, GROWTH = 0.7, 1.15
+#: Tasks of the search for each core, at least.
+TASKS_PER_CORE = 2
 RESULT = "query_id long, vec_id long, score double"
 
 
-def matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+def matrix(column: pa.ListArray, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
 class Block:
@@ -40,8 +45,9 @@ class Block:
         lines = np.random.default_rng(seed).normal(size=(-(-PROJECTIONS // (dims + 1)), dims + 1, dims + 1))
         self.lines = np.concatenate([np.linalg.qr(x)[0] for x in lines], axis=1)[:, :PROJECTIONS]
         values = np.column_stack([vectors, extra]) @ self.lines
-        self.order = np.argsort(values, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(values, self.order.T, axis=0).T.copy()
+        order = np.argsort(values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(values, order, axis=0).T.copy()
+        self.order = order.T.astype(np.int32)
 
     def windows(self, at: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
         """First and end place in every sorted projection of the windows around the queries' projections."""
@@ -77,25 +83,38 @@ class Block:
             waiting, width = np.array(left, int), width * GROWTH
 
 
-def search_block(left, right, k: int, largest: float, seed: int) -> pa.Table:
-    """Vectors of one block, queries of one chunk -> each query's k best in the block (all ties of the k-th)."""
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-    if not left.num_rows or not right.num_rows:
-        return empty
-    dims = len(left.column("embedding")[0])
-    ids, vectors = left.column("vec_id").to_numpy(), matrix(left.column("embedding"), dims)
-    block = Block(vectors, largest, seed)
+def best_of_block(block: Block, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
+    """Each query's k best in the block, ties to the smaller id."""
     enough = max(4 * (k + 1), int(VERIFIED * len(ids)))
     out_q, out_v, out_s = [], [], []
-    query_ids, queries = right.column("query_id").to_numpy(), matrix(right.column("query"), dims)
     for i, near in block.candidates(queries, enough):
         near = near[ids[near] != query_ids[i]]
-        score = (vectors[near] * queries[i]).sum(axis=1)
+        score = (block.vectors[near] * queries[i]).sum(axis=1)
         best = np.lexsort((ids[near], -score))[:k]
         out_q.append(np.full(len(best), query_ids[i]))
         out_v.append(ids[near][best])
         out_s.append(score[best])
-    return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)}).cast(empty.schema)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
+
+
+def search(batches: Iterator[pa.RecordBatch], k: int, dims: int, largest: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, asks, id, embedding), each part's vectors before the queries that ask it. Holds one block at a time."""
+    current, ids, vectors, block = None, [], [], None
+    for batch in batches:
+        part, asks, row_ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "asks", "id"))
+        embedding = matrix(batch.column("embedding"), dims)
+        starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (asks[1:] != asks[:-1])]) if len(part) else []
+        for a, b in zip(starts, [*starts[1:], len(part)]):
+            if part[a] != current:
+                current, ids, vectors, block = part[a], [], [], None
+            if not asks[a]:
+                ids.append(row_ids[a:b])
+                vectors.append(embedding[a:b])
+            elif ids:
+                if block is None:
+                    block, ids = Block(np.concatenate(vectors), largest, seed), [np.concatenate(ids)]
+                    vectors = []
+                yield best_of_block(block, ids[0], row_ids[a:b], embedding[a:b], k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 42) -> DataFrame:
@@ -122,10 +141,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 42)
     if shapes is None:
         return spark.createDataFrame([], result)
     dims, n, largest = shapes
-    asked = staged(sound(queries).where(F.size("embedding") == dims), "queries")
-    n_blocks, n_chunks = -(-n // BLOCK_ROWS), max(1, -(-asked.count() // CHUNK_ROWS))
-    left = rows.where(F.size("embedding") == dims).select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("chunk"))
-    right = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(lambda a, b: search_block(a, b, k, largest, seed), RESULT)
+    asked = sound(queries).where(F.size("embedding") == dims)
+    n_blocks = -(-n // BLOCK_ROWS)
+    stripes = -(-TASKS_PER_CORE * spark.sparkContext.defaultParallelism // n_blocks)
+    hashed = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    held = rows.where(F.size("embedding") == dims).select(hashed(n_blocks).alias("block"), every(stripes).alias("stripe"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    asking = asked.select(every(n_blocks).alias("block"), hashed(stripes).alias("stripe"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    parts = held.unionAll(asking).select((F.col("block") * stripes + F.col("stripe")).alias("part"), "asks", F.col("vec_id").alias("id"), "embedding")
+    parts = parts.repartitionById(n_blocks * stripes, F.col("part").cast("int")).sortWithinPartitions("part", "asks", "id")
+    found = parts.mapInArrow(lambda batches: search(batches, k, dims, largest, seed), RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

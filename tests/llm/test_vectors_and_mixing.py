@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,23 @@ def test_ann_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_ann_blocks_and_stripes(spark, tmp_path):
+    """100,000 vectors in seven blocks: recall against brute force, whatever the number of stripes."""
+    vectors = np.random.default_rng(3).normal(size=(100_000, 48))
+    column = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), 48).cast(pa.list_(pa.float64()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(vectors)), "embedding": column}), tmp_path / "v.parquet")
+    frame = spark.read.parquet(str(tmp_path / "v.parquet"))
+    found = {}
+    for r in ann.nearest(frame, frame.where("vec_id % 1000 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = range(0, 100_000, 1000)
+    score = vectors[list(asked)] @ vectors.T
+    score[np.arange(len(asked)), list(asked)] = -np.inf
+    truth = {q: set(np.argsort(-s)[:20]) for q, s in zip(asked, score)}
+    assert set(found) == set(truth) and all(len(x) == 20 for x in found.values())
+    assert sum(len(found[q] & truth[q]) for q in truth) / (20 * len(truth)) >= 0.95
+
+
 def test_ann_edges(spark):
     nan = float("nan")
     rows = [(i, [1.0, 0.0], 1) for i in range(40, 10, -1)] + [(1, None, 1), (2, [0.0, 0.0], 1), (3, [nan, 1.0], 1), (4, [1.0, None], 1), (5, [float("inf"), 0.0], 1), (6, [], 1), (7, [1.0, 2.0, 3.0], 1), (None, [1.0, 0.0], 1), (20, [1.0, 0.0], 1)]
