@@ -1,19 +1,23 @@
 """Licence scan by a trained paragraph classifier, with DataFrame operations only.
 
 Paragraphs are lines. A multinomial logistic regression over hashed word n-grams (one to three words), trained on the
-templates below and on shortened forms of them, names a licence family or `unknown`; its probabilities are calibrated
-by a temperature chosen on held-out forms. A family counts if its calibrated probability reaches a threshold and the
-paragraph shares enough word pairs with one of the family's templates.
+templates below and on shortened forms of them, names a licence family or `unknown`. Its probabilities are calibrated by
+a temperature chosen on templates that a first fit has not seen. A family counts if its calibrated probability reaches a
+threshold and the paragraph shares enough word pairs with one of the family's templates.
+
+The classifier reads every line that shares enough word pairs with a template of any family, and every line with a cue.
+Other lines can't be confirmed, whatever it would say of them, so none that it would name is lost.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, SQLTransformer
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,22 +25,22 @@ from pyspark.sql import functions as F
 UNKNOWN = "unknown"
 # Short notices by which texts name their licence, and sentences that only sound alike.
 TEMPLATES = {
-    "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "mit": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU General Public License along with this program.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "bsd": ["Distributed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "isc": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC"],
+    "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache 2.0 license.", "Distributed under the terms of the Apache License 2.0."],
+    "mit": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT", "Licensed under the MIT License.", "Distributed under the terms of the MIT license."],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU General Public License along with this program.", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GPL, version 3 or later.", "Licensed under the GNU GPL, version 2."],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later", "Released under the LGPL, version 3 or later.", "Distributed under the terms of the GNU LGPL."],
+    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only", "Released under the AGPL, version 3 or later.", "Distributed under the terms of the GNU AGPL."],
+    "bsd": ["Distributed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD 3-Clause License.", "Released under the terms of the BSD license."],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0", "Released under the MPL 2.0.", "Distributed under the terms of the Mozilla Public License."],
+    "isc": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC", "Licensed under the ISC License.", "Distributed under the terms of the ISC license."],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0.", "Released under CC0 1.0 Universal, dedicated to the public domain."],
     "unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
-    UNKNOWN: ["Copyright 2020 the authors, all rights reserved.", "No part of this publication may be reproduced without permission of the publisher.", "She renewed her driving licence at the office.", "The licence plate of the car was covered in mud.", "The vendor offers a warranty of two years on all parts.", "Please ask for permission before you enter the garden.", "The city council issued a liquor license to the new bar.", "Version 2 of the report was released to the public last week.", "The software is licensed to the customer for internal use only."],
+    UNKNOWN: ["Copyright 2020 the authors, all rights reserved.", "No part of this publication may be reproduced without permission of the publisher.", "She renewed her driving licence at the office.", "The licence plate of the car was covered in mud.", "The vendor offers a warranty of two years on all parts.", "Please ask for permission before you enter the garden.", "The city council issued a liquor license to the new bar.", "Version 2 of the report was released to the public last week.", "The software is licensed to the customer for internal use only.", "The committee granted permission for the march through the old town.", "You can redistribute the chairs along the wall before the guests arrive.", "The terms of the general agreement were published by the foundation last year.", "A copy of the letter can be found in the file on her desk.", "All or substantial portions of the harvest were lost to the storm.", "The source of the river is subject to the terms of a border treaty.", "Admission is free of charge to any person under the age of twelve.", "His work was dedicated to the public library of the town.", "The use of this path is governed by the rules of the park.", "Released under pressure from the board, the figures surprised everyone.", "The band shared a common creative streak and a public stage.", "To the extent possible, please use the stairs.", "The above notice shall be read aloud at every meeting.", "MIT and other universities published the study together.", "The bar sells food and drink with or without a reservation.", "Distribution of the leaflets starts at noon in the square."],
 }
-#: A paragraph without any of these is no licence text by definition.
+#: Lines with any of these are reported even if they are like no template, then mostly as unknown.
 CUES = r"(?i)licen[cs]|copyright|warrant|permission|permitted|redistribut|public domain|creative commons|spdx|\bgpl|\bcc0|\bcc[ -]by|unencumbered|free software"
 FEATURES, FORMS, SEED = 1 << 14, 24, 7
 
@@ -51,19 +55,42 @@ def forms(words: list[str], source: random.Random, n: int) -> list[str]:
     return out
 
 
-def training_rows(held_out: bool) -> list[tuple[str, float]]:
-    source = random.Random(SEED + held_out)
-    return [(form, float(i)) for i, family in enumerate(TEMPLATES) for t in TEMPLATES[family] for form in forms(t.split(), source, FORMS)]
+def held_out(templates: list[str]) -> list[str]:
+    """Every third template, from the third on, of a family that has as many."""
+    return templates[2::3]
+
+
+def training_rows(choose: Callable[[list[str]], list[str]]) -> list[tuple[str, float]]:
+    source = random.Random(SEED)
+    return [(form, float(i)) for i, family in enumerate(TEMPLATES) for t in choose(TEMPLATES[family]) for form in forms(t.split(), source, FORMS)]
+
+
+def split_words(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+")
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+"), lambda w: w != "")
+    return F.filter(split_words(text), lambda w: w != "")
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with the column, as a generator's output: no filter or projection above it repeats the expression."""
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def neighbours(words: Column, joined: Callable[[Column, Column], Column]) -> Column:
+    """Neighbouring words without closing stops; the last word's has null for the second."""
+    bare = lambda w: F.rtrim(w, F.lit("."))
+    return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: joined(bare(a), bare(b)))
 
 
-def pairs_of(text: Column) -> Column:
-    """Distinct neighbouring words, without closing stops."""
-    words = F.transform(words_of(text), lambda w: F.rtrim(w, F.lit(".")))
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+def pair_keys(words: Column) -> Column:
+    return neighbours(words, F.xxhash64)
+
+
+def pairs_of(words: Column) -> Column:
+    """Distinct neighbouring words."""
+    return F.array_distinct(F.filter(neighbours(words, lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull()))
 
 
 def with_grams(rows: DataFrame) -> DataFrame:
@@ -74,37 +101,89 @@ def with_grams(rows: DataFrame) -> DataFrame:
 
 
 class Classifier:
+    """The fitted regression, its temperature, and the templates' word pairs as literals of some hundred words."""
+
     def __init__(self, spark: SparkSession):
         self.families = list(TEMPLATES)
-        rows = lambda held: with_grams(spark.createDataFrame(training_rows(held), "paragraph string, label double").coalesce(1))
+        rows = lambda choose: with_grams(spark.createDataFrame(training_rows(choose), "paragraph string, label double").coalesce(1))
         tf = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
         regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, probabilityCol="p", rawPredictionCol="raw")
-        self.model = Pipeline(stages=[SQLTransformer(statement="SELECT * FROM __THIS__"), tf, regression]).fit(rows(False))
-        held = [(list(r["raw"]), int(r["label"])) for r in self.model.transform(rows(True)).select("raw", "label").collect()]  # some thousand template forms
-        self.temperature = min((0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0), key=lambda t: sum(math.log(sum(math.exp((x - max(raw)) / t) for x in raw)) - (raw[y] - max(raw)) / t for raw, y in held))
-        templates = [(f, t) for f in TEMPLATES if f != UNKNOWN for t in TEMPLATES[f]]
-        self.templates = spark.createDataFrame(templates, "family string, paragraph string").select("family", pairs_of(F.col("paragraph")).alias("own")).groupBy("family").agg(F.collect_list("own").alias("templates"))
-
-    def classify(self, paragraphs: DataFrame, threshold: float, similarity: float) -> DataFrame:
-        raw = self.model.transform(with_grams(paragraphs)).withColumn("z", F.transform(vector_to_array("raw"), lambda x: x / self.temperature))
+        pipeline = Pipeline(stages=[tf, regression])
+        first = pipeline.fit(rows(lambda templates: [t for t in templates if t not in held_out(templates)]))
+        held = [(list(r["raw"]), int(r["label"])) for r in first.transform(rows(held_out)).select("raw", "label").collect()]  # some hundred template forms
+        loss = lambda t: sum(math.log(sum(math.exp((x - max(raw)) / t) for x in raw)) - (raw[y] - max(raw)) / t for raw, y in held)
+        self.temperature = min((0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0), key=loss)
+        self.model = pipeline.fit(rows(lambda templates: templates))
+        templates = spark.createDataFrame([(f, t) for f in TEMPLATES if f != UNKNOWN for t in TEMPLATES[f]], "family string, paragraph string")
+        templates = templates.select("family", words_of(F.col("paragraph")).alias("words")).select("family", pairs_of(F.col("words")).alias("own"), pair_keys(F.col("words")).alias("keys")).collect()
+        self.keys = sorted({key for t in templates for key in t.keys[:-1]})
+        self.pairs = sorted({pair for t in templates for pair in t.own})
+        self.templates = [(t.family, t.own) for t in templates]
+
+    def like(self, words: Column) -> Column:
+        """Whether any word pair of a template stands in the line; by hashes, so others may pass."""
+        return F.arrays_overlap(pair_keys(words), F.lit(self.keys))
+
+    def templates_as(self) -> Column:
+        return F.array(*[F.struct(F.lit(family).alias("family"), F.lit(own).alias("own")) for family, own in self.templates])
+
+    def near(self, common: Column, size: Column, similarity: float) -> Column:
+        """Whether a template shares enough pairs; where all shared pairs together are too few for it, none are compared."""
+        enough = lambda t: similarity * F.greatest(F.lit(1), F.least(F.size(t.own), size))
+        return F.exists(self.templates_as(), lambda t: (F.size(common) >= enough(t)) & (F.size(F.array_intersect(t.own, common)) >= enough(t)))
+
+    def likeness(self, common: Column, size: Column) -> Column:
+        """(family, share) structs: shared word pairs over the smaller of a template's and the line's number of them."""
+        share = lambda t: F.size(F.array_intersect(t.own, common)) / F.greatest(F.lit(1), F.least(F.size(t.own), size))
+        return F.transform(self.templates_as(), lambda t: F.struct(t.family.alias("family"), share(t).alias("share")))
+
+    def compared(self, lines: DataFrame, similarity: float) -> DataFrame:
+        """Lines (words, cue, ..) that have a cue or share enough word pairs with a template, with their likeness to each."""
+        rows = once(lines, "own", pairs_of(F.filter("words", lambda w: w != ""))).drop("words")
+        rows = once(rows, "common", F.array_intersect("own", F.lit(self.pairs)))
+        rows = rows.where(F.col("cue") | self.near(F.col("common"), F.size("own"), similarity)).drop("cue")
+        return once(rows, "likeness", self.likeness(F.col("common"), F.size("own"))).drop("own", "common")
+
+    def classify(self, rows: DataFrame, threshold: float, similarity: float) -> DataFrame:
+        """Rows (paragraph, likeness, ..) with family, probability and similarity in place of likeness."""
+        kept = [c for c in rows.columns if c != "likeness"]
+        raw = self.model.transform(with_grams(rows)).withColumn("z", F.transform(vector_to_array("raw"), lambda x: x / self.temperature))
         e = F.transform("z", lambda x: F.exp(x - F.array_max("z")))
         p = F.array_max(e) / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
         named = F.element_at(F.array(*map(F.lit, self.families)), F.array_position("z", F.array_max("z")).cast("int"))
-        rows = raw.select(*paragraphs.columns, named.alias("family"), p.alias("probability"), pairs_of(F.col("paragraph")).alias("own"))
-        rows = rows.join(F.broadcast(self.templates), "family", "left")  # one row a family of TEMPLATES
-        alike = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.greatest(F.lit(1), F.least(F.size(t), F.size("own")))))
+        rows = raw.select(*kept, "likeness", named.alias("family"), p.alias("probability"))
+        alike = F.array_max(F.transform(F.filter("likeness", lambda x: x.family == F.col("family")), lambda x: x.share))
         rows = rows.withColumn("similarity", F.coalesce(alike, F.lit(0.0)))
         sure = (F.col("probability") >= threshold) & (F.col("similarity") >= similarity)
-        return rows.select(*paragraphs.columns, F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), "probability", "similarity")
+        return rows.select(*kept, F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), "probability", "similarity")
+
+
+#: The fitted classifier of each application.
+FITTED: dict[str, Classifier] = {}
+
+
+def classifier(spark: SparkSession) -> Classifier:
+    key = spark.sparkContext.applicationId
+    if key not in FITTED:
+        FITTED[key] = Classifier(spark)
+    return FITTED[key]
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, line, paragraph, words, cue of every line of every text."""
+    line = lambda x: F.struct(x.alias("paragraph"), split_words(x).alias("words"))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.posexplode_outer(F.transform(F.split("text", "\n"), line)).alias("line", "of"))
+    return texts.select("doc_id", "line", "of.paragraph", "of.words", F.rlike("of.paragraph", F.lit(CUES)).alias("cue"))
 
 
 def scan_licences(docs: DataFrame, threshold: float = 0.5, similarity: float = 0.6) -> DataFrame:
-    """doc_id, line (from 0), paragraph, family, probability, similarity of every line with a licence cue.
+    """doc_id, line (from 0), paragraph, family, probability, similarity of every line with a licence cue or like a template.
 
     family is one of TEMPLATES, or 'unknown' if the calibrated probability or the likeness to the family's templates is
-    too low. Null, empty and cue-less texts give no row. Repeated rows and null ids stay. Every line of a very long text
-    is read. Other columns, whatever their names, are ignored. An empty table gives an empty result.
+    too low. Null and empty texts, and lines without a cue that share less than `similarity` of their word pairs with
+    every template, give no row. Repeated rows and null ids stay. Every line of a very long text is read. Other columns,
+    whatever their names, are ignored. An empty table gives an empty result.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.rlike("text", F.lit(CUES)))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).where(F.rlike("paragraph", F.lit(CUES)))
-    return Classifier(docs.sparkSession).classify(lines, threshold, similarity)
+    model = classifier(docs.sparkSession)
+    lines = lines_of(docs)
+    return model.classify(model.compared(lines.where(F.col("cue") | model.like(F.col("words"))), similarity), threshold, similarity)

@@ -218,6 +218,18 @@ def test_licences(spark):
     assert licences.scan_licences(frame.limit(0)).count() == 0
 
 
+def test_licences_read_every_line_that_could_be_named(spark):
+    """Named rows are those that the classifier and the templates name over all lines, gate or no gate."""
+    rows = [(-1, "Distributed under the BSD 3-Clause terms."), (-2, "of the\nterms of the\n\n..."), (-3, "You may not use this file except in compliance with it"), (-4, "This Source Code Form is subject to the terms of the Mozilla Public"), (-5, "a path like this one is subject to the terms of the park")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame(rows, "doc_id long, text string"))
+    model = licences.classifier(spark)
+    every = model.classify(model.compared(licences.lines_of(docs).withColumn("cue", F.lit(True)), 0.6), 0.5, 0.6)
+    named = lambda found: sorted((r.doc_id, r.line, r.family, round(r.probability, 9), r.similarity) for r in found.where("family != 'unknown'").collect())
+    got = named(licences.scan_licences(docs))
+    assert got == named(every) and len(got) > 3
+    assert {(-1, "bsd"), (-4, "mpl")} <= {(d, f) for d, _, f, _, _ in got} and not {-2, -5} & {d for d, *_ in got}
+
+
 QUESTION = "a farmer called Anna has 12 apples and gives 5 apples to her friend Ben before lunch. How many apples does Anna keep after she sold 12 pears to the shop for 3 dollars?"
 
 
