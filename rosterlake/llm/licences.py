@@ -2,8 +2,9 @@
 
 Paragraphs are lines. A multinomial logistic regression over hashed word n-grams (one to three words), trained on the
 templates below and on shortened forms of them, names a licence family or `unknown`. Its probabilities are calibrated by
-a temperature chosen on templates that a first fit has not seen. A family counts if its calibrated probability reaches a
-threshold and the paragraph shares enough word pairs with one of the family's templates.
+a temperature chosen for a first fit, on templates it has not seen and on new forms of those it has. A family counts if
+its calibrated probability reaches a threshold and the paragraph shares enough word pairs with one of the family's
+templates.
 
 The classifier reads every line that shares enough word pairs with a template of any family, and every line with a cue.
 Other lines can't be confirmed, whatever it would say of them, so none that it would name is lost.
@@ -60,8 +61,12 @@ def held_out(templates: list[str]) -> list[str]:
     return templates[2::3]
 
 
-def training_rows(choose: Callable[[list[str]], list[str]]) -> list[tuple[str, float]]:
-    source = random.Random(SEED)
+def others(templates: list[str]) -> list[str]:
+    return [t for t in templates if t not in held_out(templates)]
+
+
+def training_rows(choose: Callable[[list[str]], list[str]], seed: int = SEED) -> list[tuple[str, float]]:
+    source = random.Random(seed)
     return [(form, float(i)) for i, family in enumerate(TEMPLATES) for t in choose(TEMPLATES[family]) for form in forms(t.split(), source, FORMS)]
 
 
@@ -105,15 +110,16 @@ class Classifier:
 
     def __init__(self, spark: SparkSession):
         self.families = list(TEMPLATES)
-        rows = lambda choose: with_grams(spark.createDataFrame(training_rows(choose), "paragraph string, label double").coalesce(1))
+        rows = lambda forms: with_grams(spark.createDataFrame(forms, "paragraph string, label double").coalesce(1))
         tf = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
-        regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, probabilityCol="p", rawPredictionCol="raw")
+        regression = LogisticRegression(family="multinomial", regParam=1e-2, maxIter=60, probabilityCol="p", rawPredictionCol="raw")
         pipeline = Pipeline(stages=[tf, regression])
-        first = pipeline.fit(rows(lambda templates: [t for t in templates if t not in held_out(templates)]))
-        held = [(list(r["raw"]), int(r["label"])) for r in first.transform(rows(held_out)).select("raw", "label").collect()]  # some hundred template forms
+        first = pipeline.fit(rows(training_rows(others)))
+        unseen = training_rows(held_out) + training_rows(others, SEED + 1)
+        held = [(list(r["raw"]), int(r["label"])) for r in first.transform(rows(unseen)).select("raw", "label").collect()]  # some thousand forms
         loss = lambda t: sum(math.log(sum(math.exp((x - max(raw)) / t) for x in raw)) - (raw[y] - max(raw)) / t for raw, y in held)
         self.temperature = min((0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0), key=loss)
-        self.model = pipeline.fit(rows(lambda templates: templates))
+        self.model = pipeline.fit(rows(training_rows(lambda templates: templates)))
         templates = spark.createDataFrame([(f, t) for f in TEMPLATES if f != UNKNOWN for t in TEMPLATES[f]], "family string, paragraph string")
         templates = templates.select("family", words_of(F.col("paragraph")).alias("words")).select("family", pairs_of(F.col("words")).alias("own"), pair_keys(F.col("words")).alias("keys")).collect()
         self.keys = sorted({key for t in templates for key in t.keys[:-1]})
