@@ -220,7 +220,7 @@ def test_licences(spark):
 
 def test_licences_read_every_line_that_could_be_named(spark):
     """Named rows are those that the classifier and the templates name over all lines, gate or no gate."""
-    rows = [(-1, "Distributed under the BSD 3-Clause terms."), (-2, "of the\nterms of the\n\n..."), (-3, "You may not use this file except in compliance with it"), (-4, "This Source Code Form is subject to the terms of the Mozilla Public"), (-5, "a path like this one is subject to the terms of the park")]
+    rows = [(-1, "Distributed under the BSD 3-Clause terms."), (-2, "of the\nterms of the\n\n..."), (-3, "You may not use this file except in compliance with it"), (-4, "This Source Code Form is subject to the terms of the Mozilla Public"), (-5, "a path like this one is subject to the terms of the park"), (-6, "some words\nReleased under the MIT License.\nmore"), (-7, "Licensed under the Apache License, Version 2.0.")]
     short = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 400").select("doc_id", "text")
     docs = short.unionAll(spark.createDataFrame(rows, "doc_id long, text string"))
     model = licences.classifier(spark)
