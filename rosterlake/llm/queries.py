@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, licences, mixing, pii, simhash, substring_dedup, token_frames, toxicity, url_filters
+from . import ann, decontamination, filter_audit, kd_shards, licences, mixing, periodic_runs, pii, simhash, substring_dedup, token_frames, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,18 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op11_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.rolled(table(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +91,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_substring_dedup, op2_url_filters, op3_pii, op4_token_output, op5_license_scan, op6_toxicity, op7_mixing, op8_simhash, op9_decontamination, op10_ann, pipeline)
+    own = (
+        op1_substring_dedup, op2_url_filters, op3_pii, op4_token_output, op5_license_scan, op6_toxicity, op7_mixing, op8_simhash, op9_decontamination, op10_ann,
+        op11_kd_sharding, op12_filter_audit, op13_periodic_runs, pipeline,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -115,4 +130,29 @@ def oracle_sql() -> dict[str, str]:
               FROM split s LEFT JOIN rules r ON ('.' || s.host) LIKE ('%.' || r.host) AND starts_with(s.path, r.path))
             SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(rule, n) AS rule, coalesce(arg_max(verdict, n), 'allow') AS verdict
             FROM fits GROUP BY page_id""",
+        "op12_filter_audit": f"""
+            WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS words FROM documents),
+            tags AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+            first AS (SELECT t, min(doc_id) AS doc_id FROM docs GROUP BY t),
+            fails AS (SELECT d.part, coalesce(g.good, false) AS good, coalesce(g.toxic, false) AS toxic,
+                (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+                + 4 * (100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 2 * length(d.t))::INT
+                + 8 * regexp_matches(d.t, '[#$%&*|]')::INT + 16 * coalesce(f.doc_id < d.doc_id, false)::INT AS mask
+                FROM docs d JOIN first f ON f.t = d.t LEFT JOIN tags g ON g.doc_id = d.doc_id),
+            masks AS (SELECT part, mask, good, toxic, count(*)::BIGINT AS n FROM fails GROUP BY ALL),
+            letter(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+            orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS o, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letter a, letter b, letter c, letter d, letter e
+                WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+            steps AS (SELECT o, s::INT AS s, bits[s] AS own, list_sum(bits[:s - 1])::INT AS before FROM orders, range(1, 6) r(s)),
+            counted AS (SELECT part, o, s, own,
+                sum(n) FILTER (WHERE mask & (own | coalesce(before, 0)) = 0) AS kept,
+                sum(n) FILTER (WHERE mask & own > 0 AND mask & coalesce(before, 0) = 0) AS removed,
+                sum(n) FILTER (WHERE mask & own > 0 AND mask & coalesce(before, 0) > 0) AS redundant,
+                sum(n) FILTER (WHERE mask = own) AS unique_fails,
+                sum(n) FILTER (WHERE mask & own > 0 AND mask & coalesce(before, 0) = 0 AND good) AS good_lost,
+                sum(n) FILTER (WHERE mask & own > 0 AND mask & coalesce(before, 0) = 0 AND toxic) AS toxic_lost
+                FROM masks, steps GROUP BY ALL)
+            SELECT part, o AS filter_order, s AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+                coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+                coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley FROM counted""",
     }
