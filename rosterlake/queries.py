@@ -540,6 +540,24 @@ def snapshot_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh.latest_per_key(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "value")
 
 
+@query("""WITH landed AS (SELECT event_id, value, (user_id % 17 + 1)::INT AS file_week, date_trunc('week', ts) AS modified FROM events)
+    SELECT event_id, value, 2025 AS file_year, file_week FROM (SELECT *, max(modified) OVER (PARTITION BY file_week) AS newest FROM landed) WHERE modified = newest""")
+def snapshot_late_landings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as snapshots of 17 weeks, landed anew each calendar week; the newest land in the first run, the others later."""
+    folder = new_folder(spark, "landed")
+    rows = table(spark, sf_dir, "events").select("event_id", "value", F.lit(2025).alias("file_year"), (F.col("user_id") % 17 + 1).cast("int").alias("file_week"), F.date_trunc("week", F.col("ts").cast("timestamp")).alias("modified"))
+    snapshot = ["file_year", "file_week", "modified"]
+    rows = staged(rows, "snapshots")
+    log = staged(rows.select(*snapshot).distinct().withColumn("path", F.date_format("modified", "yyyy-MM-dd")), "landings")
+    newest = F.max("modified").over(Window.partitionBy("file_year", "file_week"))
+    log = log.withColumn("late", F.col("modified") < newest)
+    for late in (False, True):
+        log.where(F.col("late") == late).drop("late").write.mode("append").parquet(f"{folder}/log")
+        stream = spark.readStream.schema(refresh.LANDED).parquet(f"{folder}/log")
+        refresh.replace_weeks(stream, f"{folder}/weeks", f"{folder}/checkpoint", lambda winners: rows.join(winners.select(*snapshot), snapshot, "left_semi").drop("modified")).awaitTermination()
+    return spark.read.parquet(f"{folder}/weeks").select("event_id", "value", "file_year", "file_week")
+
+
 @query("SELECT o_orderkey, (year(o_orderdate) - CASE WHEN month(o_orderdate) IN (1, 2) THEN 1 ELSE 0 END)::INT AS season FROM orders")
 def season_year_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", times.season_year(F.col("o_orderdate")).alias("season"))

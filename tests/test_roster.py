@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 import time
 from datetime import date, datetime
@@ -256,6 +257,33 @@ def test_refresh_replaces_weeks(spark, tmp_path):
     assert sorted((r.player, r.file_week, r.salary) for r in spark.read.parquet(target).collect()) == [("B", 2, 6000), ("C", 1, 7000)]
 
 
+def test_refresh_keeps_newer_files(spark, tmp_path):
+    """An older file that lands in a later run changes nothing; nor does one that lands beside a newer one."""
+    landing, target = tmp_path / "in", f"{tmp_path}/out"
+    landing.mkdir()
+
+    def land(name, player, at):
+        (landing / name).write_text(f"player,position,team,opponent,salary\n{player},QB,KC,BUF,5000\n")
+        os.utime(landing / name, (at, at))
+
+    def rows():
+        refresh.refresh(spark, str(landing), target, f"{tmp_path}/c", SALARY).awaitTermination()
+        return sorted((r.player, r.file_week) for r in spark.read.parquet(target).collect())
+
+    land("new_2025_w5.csv", "NEW", 2_000_000)
+    land("one_2025_w6.csv", "ONE", 1_000_000)
+    assert rows() == [("NEW", 5), ("ONE", 6)]
+    land("old_2025_w5.csv", "OLD", 1_500_000)
+    land("two_2025_w6.csv", "TWO", 1_000_002)
+    land("three_2025_w6.csv", "THREE", 1_000_001)
+    land("notes.csv", "NOTES", 9_000_000)
+    assert rows() == [("NEW", 5), ("TWO", 6)]
+    land("old2_2025_w6.csv", "OLD", 1_000_000)
+    assert rows() == rows() == [("NEW", 5), ("TWO", 6)]
+    land("tie_2025_w5.csv", "TIE", 2_000_000)  # equally new: the greater name
+    assert rows() == [("TIE", 5), ("TWO", 6)]
+
+
 def test_refresh_takes_overwritten_files(spark, tmp_path):
     landing, target, manifest = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/manifest"
     landing.mkdir()
@@ -269,7 +297,7 @@ def test_refresh_takes_overwritten_files(spark, tmp_path):
     (landing / "s_2025_w5.csv").write_text(head + "C,QB,KC,BUF,5000\n")
     assert run() == 1 and run() == 0 and rows() == [("B", 6), ("C", 5)]
     (landing / "older_2025_w6.csv").write_text(head + "D,QB,KC,BUF,5000\n")
-    __import__("os").utime(landing / "older_2025_w6.csv", (1, 1))
+    os.utime(landing / "older_2025_w6.csv", (1, 1))
     assert run() == 0 and rows() == [("B", 6), ("C", 5)]
 
 
