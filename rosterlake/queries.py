@@ -15,7 +15,7 @@ from .operators import locks, pool, stats
 from .operators.locks import KEY, Request
 from .plans import lineups, solver
 from .schema import LOOSE_GRADES, POOL_COLUMNS, POSITIONS, STATS, STRICT_GRADES, TEAMS, position_order
-from .sources import pages, snapshots
+from .sources import landed, pages, snapshots
 from .staging import new_folder, staged
 from .streaming import refresh
 
@@ -616,6 +616,28 @@ def page_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_urls(rows, "http://host").select("event_id", "url")
 
 
+@query("""SELECT event_id, 'http://host/' || kind || '/' || CASE WHEN kind = 'rankings' THEN 'dst.php?year=2024&week=' || week ELSE 'dst.php?year=2024&' || CASE WHEN kind = 'snap' THEN 'range=custom&start=' || week || '&end=' || week ELSE 'range=week&week=' || week END || '&scoring=PPR' END AS url
+    FROM (SELECT event_id, (event_id % 17 + 1)::INT AS week, ['rankings', 'stats', 'snap'][user_id % 3 + 1] AS kind FROM events)""")
+def page_url_single_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit("DST").alias("position"), F.lit(2024).alias("year"), (F.col("event_id") % 17 + 1).cast("int").alias("week"), spread(F.col("user_id"), ("rankings", "stats", "snap")).alias("kind"))
+    return pages.page_urls(rows, "http://host", single_week=True).select("event_id", "url")
+
+
+@query("""SELECT event_id, 'stats' AS kind, 'RB' AS position, (user_id % 17 + 1)::INT AS week, CASE WHEN event_id % 2 = 0 THEN 'week' ELSE 'range' END AS span,
+        '/stats/rb.php?year=2025&range=' || CASE WHEN event_id % 2 = 0 THEN 'week&week=' || (user_id % 17 + 1) ELSE 'custom&start_week=' || (user_id % 17 - 3) || '&end_week=' || (user_id % 17) END || '&scoring=PPR' AS url, value AS fpts
+    FROM events""")
+def landed_pages_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the rows of landed statistics pages, in both spans, beside pages of a kind that the filter leaves out."""
+    folder = new_folder(spark, "pages")
+    rows = table(spark, sf_dir, "events").select("event_id", "value", (F.col("user_id") % 17 + 1).cast("int").alias("week"), F.when(F.col("event_id") % 2 == 0, "week").otherwise("range").alias("span"))
+    landing = html_of(rows.withColumn("page", F.struct("week", "span")), "page", "event_id", [F.lit("#"), F.col("event_id"), F.col("value")])
+    landing = landing.select(F.explode(F.array(F.lit("stats"), F.lit("advanced"))).alias("kind"), F.lit("RB").alias("position"), F.lit(2025).alias("year"), "page.*", "html")
+    landed.land_pages(landing, folder)
+    found = landed.read_pages(spark, folder).where("kind = 'stats' and position in ('RB', 'WR')")
+    cells = pages.table_rows(found.select("kind", "position", "week", "span", "url", "html"))
+    return cells.select(F.col("cells")[0].cast("long").alias("event_id"), "kind", "position", "week", "span", "url", F.col("cells")[1].cast("double").alias("fpts"))
+
+
 @query("SELECT l_orderkey, l_linenumber, printf('%.2f', l_extendedprice) AS shown, upper(l_linestatus[1]) || lower(l_linestatus[2:]) AS place FROM lineitem")
 def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.fixed2(F.col("l_extendedprice")).alias("shown"), text.display_position(F.lower("l_linestatus")).alias("place"))

@@ -15,7 +15,7 @@ from rosterlake.operators import locks, pool, stats
 from rosterlake.operators.locks import Request
 from rosterlake.plans import lineups, solver
 from rosterlake.schema import ADVANCED, LIMITS, POOL, POSITIONS, PROJECTIONS, RED_ZONE, SALARY, SNAPS, STATS, leader_columns
-from rosterlake.sources import pages, snapshots
+from rosterlake.sources import landed, pages, snapshots
 from rosterlake.streaming import refresh
 
 
@@ -145,6 +145,59 @@ def test_salary_page_and_slates(spark):
     assert [(r.player, r.opponent, r.salary, r.slate) for r in got] == [("A", "BUF", 8600, "Fri-Mon")]
 
 
+def test_page_urls_agree(spark):
+    """The reader's addresses are those of the column, in both spans."""
+    rows = [(k, p, 2025, 7) for k in ("rankings", "stats", "snap", "advanced") for p in POSITIONS]
+    frame = spark.createDataFrame(rows, "kind string, position string, year int, week int")
+    for span in landed.SPANS:
+        got = {(r.kind, r.position): r.url for r in pages.page_urls(frame, "http://h/", single_week=span == "week").collect()}
+        assert got == {(k, p): landed.page_url("http://h", k, p, y, w, span) for k, p, y, w in rows}
+
+
+def test_pages_are_pruned(spark, tmp_path):
+    folder = str(tmp_path / "pages")
+    rows = [(k, p, 2025, w, "range", f"<table id='data'><tr><td>{k} é</td></tr>\n<tr><td>{p}{w}</td></tr></table>") for k in ("stats", "snap") for p in ("QB", "RB") for w in (3, 4, 5)]
+    landed.land_pages(spark.createDataFrame(rows, "kind string, position string, year int, week int, span string, html string"), folder)
+    found = landed.read_pages(spark, folder)
+    chosen = found.where("kind = 'stats' and week in (4, 5) and position = 'RB' and length(html) > 3")
+    assert (found.rdd.getNumPartitions(), chosen.rdd.getNumPartitions()) == (12, 2)
+    assert sorted((r.week, r.html.strip()) for r in chosen.collect()) == [(w, next(x[5] for x in rows if x[:4] == ("stats", "RB", 2025, w))) for w in (4, 5)]
+    assert found.where("kind = 'snap' and kind = 'stats'").count() == 0
+    reader = landed.PageReader({"path": folder})
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    kept = list(reader.pushFilters([EqualTo(("kind",), "snap"), In(("week",), (3, 4)), In(("week",), (4, 9)), GreaterThan(("year",), 2000), EqualTo(("html",), "x")]))
+    assert [type(f).__name__ for f in kept] == ["GreaterThan", "EqualTo"]
+    assert [(p.kind, p.position, p.week) for p in reader.partitions()] == [("snap", "QB", 4), ("snap", "RB", 4)]
+
+
+def test_pages_from_a_server(spark):
+    """Fetched by address, single weeks and ranges."""
+    import http.server
+    import threading
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(f"<p>{self.path}</p>".encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        landed.register(spark)
+        options = {"base": f"http://127.0.0.1:{server.server_port}", "kinds": "stats,snap,rankings", "positions": "WR,QB", "years": "2025", "weeks": "6,7", "spans": "week,range"}
+        rows = spark.read.format("rosterlake_pages").options(**options).load().where("week = 7").collect()
+    finally:
+        server.shutdown()
+    assert len(rows) == 12 and all(r.html == f"<p>{r.url.removeprefix(options['base'])}</p>" for r in rows)
+    assert {r.html for r in rows if (r.kind, r.position) == ("stats", "WR")} == {"<p>/stats/wr.php?year=2025&range=week&week=7&scoring=PPR</p>", "<p>/stats/wr.php?year=2025&range=custom&start_week=3&end_week=6&scoring=PPR</p>"}
+
+
 def test_pool_build(spark):
     rankings = spark.createDataFrame([("QB", "Al Bo II", "QB", 2025, 5, 1, "A", 20.0), ("QB", "Cy", "QB", 2025, 5, 2, "F", 9.0), ("DST", "Buffalo Bills", "DST", 2025, 5, 1, None, 8.0), ("RB", "No Pay", "RB", 2025, 5, 1, "A", 8.0)], "page_position string, player string, position string, year int, week int, rank int, grade string, proj_fpts double").withColumns({"file_year": F.lit(2025), "file_week": F.lit(5)})
     averages = spark.createDataFrame([("QB", "Al Bo II", 18.5), ("RB", "Al Bo II", 1.0)], "position string, player string, avg_fpts double")
