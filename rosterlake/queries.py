@@ -501,7 +501,29 @@ def optimal_infeasible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("status = 'INFEASIBLE'").select("slate", "status")
 
 
-@query()
+def sql_lineups() -> str:
+    """The roster itself: as sql_objective, with the players of every partial roster. Most points, then least salary, then
+    the first players in pool order; of equal (salary, points) the smallest list, which concatenation preserves."""
+    rows = [SCORED.removeprefix(", ")]
+    for p, most in MOST.items():
+        rows.append(f"c_{p}_0 AS (SELECT DISTINCT slate, variant, 0 AS salary, {{'p': 0::BIGINT, 'ids': []::INT[]}} AS b FROM scored)")
+        for k in range(1, most + 1):
+            tables = ", ".join(f"scored t{i}" for i in range(k))
+            joins = " AND ".join([f"t{i}.position = '{p}'" for i in range(k)] + [f"t{i}.slate = t0.slate AND t{i}.variant = t0.variant AND t{i - 1}.idx < t{i}.idx" for i in range(1, k)])
+            total = " + ".join(f"t{i}.points" for i in range(k))
+            rows.append(f"c_{p}_{k} AS (SELECT t0.slate, t0.variant, {' + '.join(f't{i}.salary' for i in range(k))} AS salary, min({{'p': -({total}), 'ids': [{', '.join(f't{i}.idx' for i in range(k))}]}}) AS b FROM {tables} WHERE {joins} GROUP BY ALL)")
+    rows.append(f"comps AS ({DEFAULT.format(', (2, 3, 2)')}), s0 AS (SELECT slate, variant, cap, n_qb, n_rb, n_wr, n_te, n_dst, 0 AS salary, {{'p': 0::BIGINT, 'ids': []::INT[]}} AS b FROM comps)")
+    for i, (p, most) in enumerate(MOST.items()):
+        union = " UNION ALL ".join(f"SELECT *, {k} AS k FROM c_{p}_{k}" for k in range(most + 1))
+        rows.append(f"f{i} AS (SELECT slate, variant, k, salary, b FROM (SELECT *, min(b.p) OVER (PARTITION BY slate, variant, k ORDER BY salary ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ({union})) WHERE top IS NULL OR b.p < top)")
+        rows.append(f"s{i + 1} AS (SELECT s.slate, s.variant, cap, n_qb, n_rb, n_wr, n_te, n_dst, s.salary + f.salary AS salary, min({{'p': s.b.p + f.b.p, 'ids': list_concat(s.b.ids, f.b.ids)}}) AS b FROM s{i} s JOIN f{i} f ON s.slate = f.slate AND s.variant = f.variant AND f.k = s.n_{p.lower()} AND s.salary + f.salary <= s.cap GROUP BY ALL)")
+    best = "best AS (SELECT slate, variant, min({'p': b.p, 'salary': salary, 'ids': b.ids}).ids AS ids FROM s5 GROUP BY ALL), picked AS (SELECT slate, variant, unnest(ids) AS idx FROM best)"
+    shown = ", ".join({"proj_fpts": "shown AS proj_fpts"}.get(c, c) for c in POOL_COLUMNS)
+    pooled = f"pooled AS (SELECT *, {BLEND} AS shown, row_number() OVER (PARTITION BY slate, variant ORDER BY list_position(['QB','RB','WR','TE','DST'], position), rank, player, team, salary)::INT AS idx FROM pool, variants)"
+    return f"WITH {POOL}, {VARIANTS}, {', '.join(rows)}, {best}, {pooled} SELECT variant, 'OPTIMAL' AS status, idx, {shown} FROM pooled JOIN picked USING (slate, variant, idx)"
+
+
+@query(sql_lineups())
 def optimal_lineup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineups.optimal_lineups(pool_of(spark, sf_dir), [Request()]).select("variant", "status", "idx", *POOL_COLUMNS)
 
