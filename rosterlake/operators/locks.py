@@ -29,6 +29,7 @@ class Request:
     variants: tuple[tuple[float, float], ...] = field(default=VARIANTS)
 
 
+#: What a request has; a table of requests may also have slate, the one it is for.
 REQUEST = "request string, dst string, one_te boolean, excluded array<string>, included array<string>, variant int, w_proj double, w_avg double"
 
 
@@ -38,6 +39,17 @@ def request_rows(spark: SparkSession, requests: list[Request]) -> DataFrame:
     return spark.createDataFrame(rows, REQUEST)
 
 
+def request_table(rows: DataFrame, variants: tuple[tuple[float, float], ...] = VARIANTS) -> DataFrame:
+    """Requests that are rows themselves: slate, request, and of dst, one_te, excluded, included those that there are.
+
+    A request has a row of REQUEST and slate for each variant; (slate, request) tells requests apart."""
+    have = lambda name, otherwise: F.coalesce(F.col(name), otherwise) if name in rows.columns else otherwise
+    nobody = F.array().cast("array<string>")
+    weights = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("variant"), F.lit(float(a)).alias("w_proj"), F.lit(float(b)).alias("w_avg")) for i, (a, b) in enumerate(variants)]))
+    out = rows.select("slate", F.col("request").cast("string").alias("request"), have("dst", F.lit(None).cast("string")).alias("dst"), have("one_te", F.lit(False)).alias("one_te"), have("excluded", nobody).alias("excluded"), F.array_distinct(have("included", nobody)).alias("included"), weights.alias("w"))
+    return out.select("slate", "request", "dst", "one_te", "excluded", "included", "w.variant", "w.w_proj", "w.w_avg")
+
+
 KEY = ["slate", "request", "variant"]
 
 
@@ -53,10 +65,12 @@ def candidates(pool: DataFrame, requests: DataFrame, included: DataFrame | None
     """Pool rows of every request and variant, without excluded players, with idx (pool order), points and locked.
 
     A variant without weight on averages keeps the projection as it is. A defense is locked if it is the first match of
-    `dst`, unless it is excluded or included by name; included names that no candidate has change nothing. Requests are a list made by hand: every task gets all of them.
-    Names that come from data go into `included` (slate, request, player) instead, which is joined."""
+    `dst`, unless it is excluded or included by name; included names that no candidate has change nothing. Requests with
+    a slate are joined to it, however many they are; those without one are a list made by hand, for every slate, and each
+    task gets all of them. Names that come from data go into `included` (slate, request, player) instead, which is joined."""
     order = Window.partitionBy("slate").orderBy(position_order(F.col("position")), "rank", "player", "team", "salary")
-    rows = pool.withColumn("idx", F.row_number().over(order)).crossJoin(F.broadcast(requests))  # requests are a driver-made list
+    rows = pool.withColumn("idx", F.row_number().over(order))
+    rows = rows.join(requests, "slate") if "slate" in requests.columns else rows.crossJoin(F.broadcast(requests))  # a driver-made list
     rows = rows.where(F.col("player").isNull() | ~F.coalesce(F.array_contains("excluded", F.col("player")), F.lit(False)))
     points = F.when(F.col("w_avg") > 0, text.blend(F.col("proj_fpts"), F.col("avg_fpts"), (F.col("w_proj"), F.col("w_avg")))).otherwise(F.col("proj_fpts"))
     rows = rows.withColumn("proj_fpts", points)

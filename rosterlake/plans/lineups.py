@@ -12,16 +12,21 @@ from ..staging import staged
 from .solver import SCALE, micro, solve
 
 
-def solved(pool: DataFrame, requests: list[Request], included: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Requests made by hand, for every slate, or a table of them; see request_table.
+Requests = list[Request] | DataFrame
+
+
+def solved(pool: DataFrame, requests: Requests, included: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates with picks, residuals, best filling)."""
-    rows = staged(candidates(pool, request_rows(pool.sparkSession, requests), included), "candidates")
+    asked = requests if isinstance(requests, DataFrame) else request_rows(pool.sparkSession, requests)
+    rows = staged(candidates(pool, asked, included), "candidates")
     left = staged(residuals(rows), "residuals")
     free = rows.where("not locked and not dst_missing").join(rows.where("locked").select(*KEY, "player").distinct(), [*KEY, "player"], "left_anti")
     best = solve(free.select(*KEY, "position", "idx", "salary", micro(F.col("proj_fpts")).alias("points")), compositions(left.where("not dst_missing")))
     return rows, left, staged(best, "best")
 
 
-def optimal_lineups(pool: DataFrame, requests: list[Request], included: DataFrame | None = None) -> DataFrame:
+def optimal_lineups(pool: DataFrame, requests: Requests, included: DataFrame | None = None) -> DataFrame:
     """KEY, status, and the 11 pool columns of every roster row.
 
     Rows are the locked players and the best filling; without a filling, the locked rows with status INFEASIBLE; with an
@@ -34,7 +39,7 @@ def optimal_lineups(pool: DataFrame, requests: list[Request], included: DataFram
     return lineup.select(*KEY, F.coalesce("_status", F.lit("INFEASIBLE")).alias("status"), "idx", *POOL_COLUMNS)
 
 
-def summaries(pool: DataFrame, requests: list[Request], included: DataFrame | None = None) -> DataFrame:
+def summaries(pool: DataFrame, requests: Requests, included: DataFrame | None = None) -> DataFrame:
     """KEY, status (OPTIMAL, INFEASIBLE or DST_NOT_FOUND), and totals of the filling: points and salary."""
     _, left, best = solved(pool, requests, included)
     status = F.when(F.col("dst_missing"), "DST_NOT_FOUND").when(F.col("points").isNull(), "INFEASIBLE").otherwise("OPTIMAL")

@@ -432,7 +432,7 @@ def dominance_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = free_rows(spark, sf_dir)
     most = F.create_map(*[x for p, n in MOST.items() for x in (F.lit(p), F.lit(n))])
     limits = rows.select(*KEY, "position").distinct().withColumn("mx", most[F.col("position")])
-    return solver.dominance_prune(rows.drop("player"), limits).select("slate", "position", "idx", "salary", "points")
+    return solver.dominance_prune(rows.drop("player"), limits, [*KEY, "position"]).select("slate", "position", "idx", "salary", "points")
 
 
 FRONT = "SELECT slate, salary, points FROM (SELECT slate, salary, points, max(points) OVER (PARTITION BY slate ORDER BY salary ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {}) WHERE top IS NULL OR points > top"
@@ -440,14 +440,14 @@ FRONT = "SELECT slate, salary, points FROM (SELECT slate, salary, points, max(po
 
 @query(f"WITH {POOL}, {NUMBERED}, best AS (SELECT slate, salary, max(points) AS points FROM numbered WHERE position = 'WR' GROUP BY ALL) {FRONT.format('best')}")
 def pareto_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = free_rows(spark, sf_dir).where("position = 'WR'").withColumn("ids", F.array("idx"))
-    return solver.frontier(rows, KEY).select("slate", "salary", "points")
+    rows = free_rows(spark, sf_dir).where("position = 'WR'")
+    return solver.frontier(rows.select(*KEY, "salary", "points", F.array("idx").alias("ids")), KEY).select("slate", "salary", "points")
 
 
 @query(f"WITH {POOL}, {NUMBERED}, pairs AS (SELECT a.slate, a.salary + b.salary AS salary, max(a.points + b.points) AS points FROM numbered a JOIN numbered b ON a.slate = b.slate AND a.position = 'RB' AND b.position = 'RB' AND a.idx < b.idx GROUP BY ALL) {FRONT.format('pairs')}")
 def pair_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = free_rows(spark, sf_dir).withColumn("mx", F.lit(2))
-    return solver.combinations(rows, "RB", [2]).select("slate", "salary", "points")
+    rows = free_rows(spark, sf_dir).where("position = 'RB'").withColumn("mx", F.lit(2))
+    return solver.combinations(rows, [2], KEY).select("slate", "salary", "points")
 
 
 def sql_objective(source: str, comps: str, extra: str = "") -> str:
@@ -484,6 +484,24 @@ def optimal_objective_one_te(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objective(spark, sf_dir, Request("one_te", one_te=True))
 
 
+ASKED = """asked AS (SELECT c_custkey, (c_custkey % (SELECT max(slate) + 1 FROM pool))::INT AS slate, c_nationkey % 3 + 1 AS dropped, c_custkey % 2 AS one FROM customer),
+    scored AS (SELECT p.slate, v.dropped * 2 + v.one AS variant, position, player, salary, round(proj_fpts * 1000000)::BIGINT AS points, row_number() OVER (PARTITION BY p.slate, v.dropped, v.one ORDER BY list_position(['QB','RB','WR','TE','DST'], position), rank, player, team, salary)::INT AS idx
+               FROM pool p, (SELECT DISTINCT dropped, one FROM asked) v WHERE NOT (position = 'RB' AND rank = v.dropped))"""
+ASKED_COMPS = "SELECT DISTINCT slate, variant, 50000 AS cap, 1 AS n_qb, n_rb, n_wr, n_te, 1 AS n_dst FROM scored, (VALUES (3, 3, 1), (2, 4, 1), (2, 3, 2)) t(n_rb, n_wr, n_te) WHERE variant % 2 = 0 OR n_te = 1"
+
+
+@query(f"SELECT 'c' || a.c_custkey AS request, a.slate, o.status, o.free_points FROM ({sql_objective('scored', ASKED_COMPS, ', ' + ASKED)}) o JOIN (WITH {POOL}, {ASKED} SELECT * FROM asked) a ON a.slate = o.slate AND a.dropped * 2 + a.one = o.variant")
+def optimal_request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request of every customer for one of the slates: without one of its three best RBs, every other with one TE."""
+    rows = pool_of(spark, sf_dir)
+    slates = rows.agg((F.max("slate") + 1).alias("n"))
+    backs = rows.where("position = 'RB'").select("slate", "rank", "player")
+    key = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").join(F.broadcast(slates)).select(F.concat(F.lit("c"), key).alias("request"), (key % F.col("n")).cast("int").alias("slate"), (F.col("c_nationkey") % 3 + 1).alias("rank"), (key % 2 == 1).alias("one_te"))
+    asked = asked.join(backs, ["slate", "rank"], "left").select("slate", "request", "one_te", F.when(F.col("player").isNotNull(), F.array("player")).alias("excluded"))
+    return lineups.summaries(rows, locks.request_table(asked, ((1.0, 0.0),))).select("request", "slate", "status", "free_points")
+
+
 ONE = f", {LOCKED}, scored AS (SELECT slate, 1 AS variant, position, player, salary, {TENTHS} AS points, row_number() OVER (PARTITION BY slate ORDER BY list_position(['QB','RB','WR','TE','DST'], position), rank, player, team, salary)::INT AS idx FROM pool WHERE (slate, player) NOT IN (SELECT (slate, player) FROM locked))"
 RESIDUAL_COMPS = "SELECT slate, 1 AS variant, cap, 1 AS n_qb, greatest(n_rb, 0) + x AS n_rb, greatest(n_wr, 0) + y AS n_wr, 1 + z AS n_te, n_dst FROM residual, (VALUES (1, 0, 0), (0, 1, 0), (0, 0, 1)) t(x, y, z)"
 

@@ -7,6 +7,8 @@ import random
 import time
 from datetime import date, datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,14 +254,125 @@ def test_solver_is_exact(spark, seed):
         assert sum(r.proj_fpts for r in own) == pytest.approx(got[key][1])
 
 
+def best_by_table(rows, comps):
+    """The same optimum, KEY and points only, by a dynamic programme over (counts, salary) in one task per key.
+
+    A cross-check of solve()."""
+    def run(left, right):
+        empty = pd.DataFrame({"slate": [], "request": [], "variant": [], "points": []})
+        if not len(right):
+            return empty
+        cap = int(right["cap"].iloc[0])
+        best = None
+        size = cap + 1
+        tables = {}
+        for p in POSITIONS:
+            own = left[left["position"] == p]
+            top = int(right[f"n_{p.lower()}"].max())
+            table = np.full((top + 1, size), np.iinfo(np.int64).min // 4)
+            table[0, 0] = 0
+            for s, x in zip(own["salary"].to_numpy(int), own["points"].to_numpy(np.int64)):
+                if s <= cap:
+                    for k in range(top, 0, -1):
+                        table[k, s:] = np.maximum(table[k, s:], table[k - 1, : size - s] + x)
+            tables[p] = table
+        for _, c in right.iterrows():
+            state = np.array([[0, 0]])
+            for p in POSITIONS:
+                row = tables[p][int(c[f"n_{p.lower()}"])]
+                at = np.flatnonzero(row > np.iinfo(np.int64).min // 8)
+                pairs = np.stack([(state[:, :1] + at[None]).ravel(), (state[:, 1:] + row[at][None]).ravel()], axis=1)
+                pairs = pairs[pairs[:, 0] <= cap]
+                pairs = pairs[np.lexsort((-pairs[:, 1], pairs[:, 0]))]
+                top_so_far = np.maximum.accumulate(pairs[:, 1]) if len(pairs) else pairs[:, 1]
+                keep = np.ones(len(pairs), bool)
+                keep[1:] = pairs[1:, 1] > top_so_far[:-1]
+                state = pairs[keep]
+            if len(state):
+                best = int(state[:, 1].max()) if best is None else max(best, int(state[:, 1].max()))
+        if best is None:
+            return empty
+        return pd.DataFrame({**{k: [right[k].iloc[0]] for k in locks.KEY}, "points": [best]})
+
+    return rows.groupBy(*locks.KEY).cogroup(comps.groupBy(*locks.KEY)).applyInPandas(run, "slate string, request string, variant int, points long")
+
+
 def test_table_solver_agrees(spark):
     frame = pool_frame(spark, week(5))
     rows, left, best = lineups.solved(frame, [Request()])
     free = rows.select(*locks.KEY, "position", "idx", "salary", solver.micro(F.col("proj_fpts")).alias("points"))
-    table = solver.best_by_table(free, locks.compositions(left))
+    table = best_by_table(free, locks.compositions(left))
     assert {(r.variant, r.points) for r in table.collect()} == {(r.variant, r.points) for r in best.collect()}
 
 
+def rosters_by_hand(rows, counts, cap):
+    """Every filling of one composition under the cap: (-points, salary, ids)."""
+    by = {p: [(i, salary, points) for i, q, salary, points in rows if q == p] for p in POSITIONS}
+    for sets in itertools.product(*[list(itertools.combinations(by[p], n)) for p, n in zip(POSITIONS, counts)]):
+        chosen = [x for s in sets for x in s]
+        if sum(x[1] for x in chosen) <= cap:
+            yield -sum(x[2] for x in chosen), sum(x[1] for x in chosen), sorted(x[0] for x in chosen)
+
+
+def test_best_roster_is_canonical(spark):
+    """Salaries and points from few values, so that many rosters tie: most points, least salary, smallest list of players."""
+    source, rows, comps, want = random.Random(9), [], [], {}
+    for slate in range(12):
+        own, cap = [], source.choice([9, 10, 11, 12])
+        for p, k in zip(POSITIONS, (2, 5, 5, 3, 2)):
+            own += [(len(own) + i + 1, p, source.choice([1, 1, 2]), source.choice([1, 2, 2, 3])) for i in range(k)]
+        asked = [(2, 2, 1), (1, 3, 1), (1, 2, 2)]
+        rows += [(str(slate), "r", 1, p, i, salary, points) for i, p, salary, points in own]
+        comps += [(str(slate), "r", 1, cap, n, 1, *x, 1) for n, x in enumerate(asked)]
+        want[str(slate)] = min(y for x in asked for y in rosters_by_hand(own, (1, *x, 1), cap))
+    frame = spark.createDataFrame(rows, "slate string, request string, variant int, position string, idx int, salary int, points long")
+    needs = spark.createDataFrame(comps, "slate string, request string, variant int, cap int, comp int, n_qb int, n_rb int, n_wr int, n_te int, n_dst int")
+    assert {r.slate: (-r.points, r.salary, list(r.ids)) for r in solver.solve(frame, needs).collect()} == want
+
+
+def test_bounds_rule_out_most(spark):
+    """Over whole weeks: the k-sets that are formed shrink tenfold, and no optimum is lost (the table agrees)."""
+    from math import comb
+
+    frame = spark.createDataFrame([], POOL).withColumn("slate", F.lit(""))
+    for seed in range(4):
+        frame = frame.unionByName(pool_frame(spark, week(seed, (15, 38, 48, 16, 15)), f"s{seed}"))
+    rows, left, best = lineups.solved(frame, [Request(variants=((1.0, 0.0),))])
+    free = rows.select(*locks.KEY, "position", "idx", "salary", solver.micro(F.col("proj_fpts")).alias("points"))
+    comps = locks.compositions(left)
+    assert {(r.slate, r.points) for r in best_by_table(free, comps).collect()} == {(r.slate, r.points) for r in best.collect()}
+    players, needs, _ = solver.problems(free, comps)
+    most = solver.most_of(needs)
+    kept = solver.dominance_prune(players, most, ["sig"]).drop("mx")
+    bounded = solver.bounded(needs, solver.best_at(kept, most, solver.prices(kept)), ["problem"])
+    assert bounded.where("bound < floor").count() == 0 and bounded.where("floor is null").count() == 0
+    sets = lambda f: sum(comb(r.n, k) for r in f.join(most, "sig").groupBy("sig", "mx").agg(F.count("idx").alias("n")).collect() for k in range(2, r.mx + 1))
+    assert sets(kept) >= 10 * sets(solver.worthwhile(kept, bounded))
+
+
+def test_ten_thousand_requests(spark):
+    """One plan for a table of requests equals one at a time, and equal problems are solved once."""
+    pool = pool_frame(spark, week(11, (3, 5, 6, 3, 3)), "a").unionByName(pool_frame(spark, week(12, (3, 5, 6, 3, 3)), "b"))
+    names = [f"{p}{i}" for p, k in zip(POSITIONS, (3, 5, 6, 3, 3)) for i in range(k)]
+    source = random.Random(4)
+    asked = []
+    for i in range(10_000):
+        out, own = source.sample(names, 2)
+        asked.append(("ab"[i % 2], f"q{i}", source.choice([None, "dst1", "none"]), i % 3 == 0, [out] if i % 5 else [], ["RB0", "RB1", "RB2", "RB3"] if i % 999 == 1 else [own, own] if i % 7 == 0 else []))
+    table = spark.createDataFrame(asked, "slate string, request string, dst string, one_te boolean, excluded array<string>, included array<string>")
+    requests = locks.request_table(table, ((1.0, 0.0),))
+    got = {(r.slate, r.request): (r.status, r.free_points, r.free_salary) for r in lineups.summaries(pool, requests).collect()}
+    assert len(got) == 10_000 and {s for s, _, _ in got.values()} == {"OPTIMAL", "INFEASIBLE", "DST_NOT_FOUND"}
+    some = [x for x in asked if int(x[1][1:]) % 1999 == 7] + asked[:2]
+    for slate, name, dst, one, out, own in some:
+        alone = lineups.summaries(pool.where(F.col("slate") == slate), [Request(name, dst, one, tuple(out), tuple(own), ((1.0, 0.0),))]).first()
+        assert got[slate, name] == (alone.status, alone.free_points, alone.free_salary)
+    rows = locks.candidates(pool, requests)
+    free = rows.where("not locked and not dst_missing").select(*locks.KEY, "position", "idx", "salary", solver.micro(F.col("proj_fpts")).alias("points"))
+    players, needs, of_key = solver.problems(free, locks.compositions(locks.residuals(rows)))
+    assert of_key.count() > 20 * needs.select("problem").distinct().count() and players.select("sig").distinct().count() < 500
+
+
 def test_locks_and_failures(spark):
     rows = week(7)
     frame = pool_frame(spark, rows)
