@@ -1,13 +1,16 @@
 """Nearest neighbours by collision-counting hashing.
 
 Every projection is one sorted array of the vectors' projections. A query counts, for all vectors, in how many
-projections they fall in the window around its own projection. Virtual rehashing widens all windows together until
-enough vectors have reached the collision threshold; those are verified by the exact measure.
-
-Vectors are dealt into blocks of bounded size. A block's arrays are built once, in the task that holds the block, and the
-queries stream past them batch by batch; the best of each block merge by rank. Where there are fewer blocks than cores,
-a block is held by several tasks, each for a stripe of the queries. Inner product becomes distance by the usual extra coordinate sqrt(M**2 - |x|**2), where M is the
-largest norm, so the nearest vectors have the largest inner products.
+projections they fall in the window around its own projection. Virtual rehashing widens all windows together; vectors that
+reach the collision threshold are verified by the exact measure, until the windows are so wide that a vector as near
+as the k-th verified one would have reached the threshold with a margin of Z standard deviations.
+
+Inner product becomes distance by an extra coordinate sqrt(M**2 - |x|**2), where M is the largest norm of a block, for
+queries scaled to norm M; so the nearest vectors have the largest inner products. Blocks hold a narrow range of norms,
+longest first, and the best found so far counts in the next: it ends a block's windows early, and a block whose norm times the
+query's can't reach it is not looked at. The arrays of several blocks, a part, are built once in the task that holds them, and
+queries stream past them; the best of each part merge by rank. Where there are fewer parts than cores, a part is held by
+several tasks, each for a stripe of the queries.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import ship, staged
 
-BLOCK_ROWS = 16_384
-#: Projections, share of a block that has to reach the threshold before widening ends, and the threshold's share of projections.
-PROJECTIONS, VERIFIED, COLLISIONS = 130, 0.02, 0.85
-#: The first windows that are counted hold this share of a block on average; each step widens them by GROWTH.
-FIRST, GROWTH = 0.7, 1.15
+#: Vectors of a part and of a block, and the largest ratio of norms in a block.
+PART_ROWS, BLOCK_ROWS, NORMS = 65_536, 16_384, 2**0.25
+#: Projections; the half-width of windows over a distance at which they are wide enough, in standard deviations of a
+#: projection, and the chance that a vector at that distance falls into one; margin of the threshold.
+PROJECTIONS, WIDTH, CHANCE, Z = 130, 1.44, 0.8501, 0.5
+THRESHOLD = int(np.floor(PROJECTIONS * CHANCE - Z * np.sqrt(PROJECTIONS * CHANCE * (1 - CHANCE))))
+#: Each step widens the windows by GROWTH; a block's first query begins START steps from width 1.
+GROWTH, START = 1.15, -8
 #: Tasks of the search for each core, at least.
 TASKS_PER_CORE = 2
 RESULT = "query_id long, vec_id long, score double"
@@ -35,86 +41,132 @@ def matrix(column: pa.ListArray, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
-class Block:
-    """One block's sorted projections."""
+def norms_of(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean norms without overflow."""
+    largest = np.abs(vectors).max(axis=1)
+    scale = np.where(largest > 0, largest, 1)
+    return np.sqrt(((vectors / scale[:, None]) ** 2).sum(axis=1)) * largest
 
-    def __init__(self, vectors: np.ndarray, largest: float, seed: int):
-        self.vectors = vectors
-        dims = vectors.shape[1]
-        extra = np.sqrt(np.maximum(0, largest**2 - (vectors**2).sum(axis=1)))
-        lines = np.random.default_rng(seed).normal(size=(-(-PROJECTIONS // (dims + 1)), dims + 1, dims + 1))
-        self.lines = np.concatenate([np.linalg.qr(x)[0] for x in lines], axis=1)[:, :PROJECTIONS]
-        values = np.column_stack([vectors, extra]) @ self.lines
+
+class Block:
+    """One block's sorted projections. Vectors are scaled so that their largest norm is 1; so are queries."""
+
+    def __init__(self, vectors: np.ndarray, norms: np.ndarray, rows: np.ndarray, lines: np.ndarray):
+        self.rows, self.largest, self.level = rows, float(norms[rows].max()), START
+        if len(rows) <= PROJECTIONS or not self.largest:
+            self.order = None  # too few to be worth arrays: all are verified
+            return
+        unit = vectors[rows] / self.largest
+        extra = np.sqrt(np.maximum(0, 1 - (norms[rows] / self.largest) ** 2))
+        values = np.column_stack([unit, extra]) @ lines
         order = np.argsort(values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(values, order, axis=0).T.copy()
         self.order = order.T.astype(np.int32)
 
-    def windows(self, at: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
-        """First and end place in every sorted projection of the windows around the queries' projections."""
-        low = np.stack([np.searchsorted(s, x - width) for s, x in zip(self.sorted, at.T)], axis=1)
-        return low, np.stack([np.searchsorted(s, x + width, "right") for s, x in zip(self.sorted, at.T)], axis=1)
-
-    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """In how many windows each vector stands; wide windows are counted by what stands outside."""
-        n, m = len(self.vectors), len(self.order)
-        if 2 * (high - low).sum() < n * m:
-            return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high)]), minlength=n)
+    def collisions(self, at: np.ndarray, width: float) -> tuple[np.ndarray, bool]:
+        """In how many windows each vector stands, and whether the windows hold everything; wide ones are counted by what
+        stands outside."""
+        n, m = len(self.rows), len(self.order)
+        low = [s.searchsorted(x - width) for s, x in zip(self.sorted, at)]
+        high = [s.searchsorted(x + width, "right") for s, x in zip(self.sorted, at)]
+        inside = sum(high) - sum(low)
+        if 2 * inside < n * m:
+            return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high)]), minlength=n), inside == n * m
         outside = [x for o, a, b in zip(self.order, low, high) for x in (o[:a], o[b:])]
-        return m - np.bincount(np.concatenate(outside), minlength=n)
-
-    def candidates(self, queries: np.ndarray, enough: int):
-        """(query number, vectors over the threshold), after the widening at which at least `enough` are."""
-        n, m = len(self.vectors), len(self.order)
-        at = np.column_stack([queries, np.zeros(len(queries))]) @ self.lines
-        enough, need = min(enough, n), int(np.ceil(COLLISIONS * m))
-        width = max(float(np.median(self.sorted.std(axis=1))) * 0.5, 1e-12)
-        waiting = np.arange(len(queries))
-        while len(waiting):
-            low, high = self.windows(at[waiting], width)
-            share = (high - low).sum(axis=1) / (n * m)
-            left = []
-            for i, query in enumerate(waiting):
-                if share[i] >= FIRST:
-                    over = np.flatnonzero(self.collisions(low[i], high[i]) >= need)
-                    if len(over) >= enough or share[i] == 1:
-                        yield query, over
-                        continue
-                left.append(query)
-            waiting, width = np.array(left, int), width * GROWTH
-
-
-def best_of_block(block: Block, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
-    """Each query's k best in the block, ties to the smaller id."""
-    enough = max(4 * (k + 1), int(VERIFIED * len(ids)))
-    out_q, out_v, out_s = [], [], []
-    for i, near in block.candidates(queries, enough):
-        near = near[ids[near] != query_ids[i]]
-        score = (block.vectors[near] * queries[i]).sum(axis=1)
-        best = np.lexsort((ids[near], -score))[:k]
-        out_q.append(np.full(len(best), query_ids[i]))
-        out_v.append(ids[near][best])
-        out_s.append(score[best])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
-
-
-def search(batches: Iterator[pa.RecordBatch], k: int, dims: int, largest: float, seed: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, asks, id, embedding), each part's vectors before the queries that ask it. Holds one block at a time."""
-    current, ids, vectors, block = None, [], [], None
+        return m - np.bincount(np.concatenate(outside), minlength=n), inside == n * m
+
+
+class Part:
+    """A task's vectors as blocks, longest first."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, exponent: int, seed: int):
+        self.vectors, self.ids, self.exponent = vectors, ids, exponent
+        dims = vectors.shape[1]
+        lines = np.random.default_rng(seed).normal(size=(-(-PROJECTIONS // (dims + 1)), dims + 1, dims + 1))
+        self.lines = np.concatenate([np.linalg.qr(x)[0] for x in lines], axis=1)[:, :PROJECTIONS]
+        scaled = np.ldexp(vectors, -exponent)
+        norms = norms_of(scaled)
+        order = np.argsort(-norms, kind="stable")
+        self.blocks, at = [], 0
+        while at < len(order):
+            end = int(np.searchsorted(-norms[order], -norms[order[at]] / NORMS, "right"))
+            end = min(max(end, at + 1), at + BLOCK_ROWS)
+            self.blocks.append(Block(scaled, norms, order[at:end], self.lines))
+            at = end
+        self.verified = 0
+
+    def products(self, rows: np.ndarray, query: np.ndarray, scaled: np.ndarray) -> np.ndarray:
+        """Inner products of the original vectors; where a term overflows, the scaled product tells which infinity it is."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            out = (self.vectors[rows] * query).sum(axis=1)
+            wild = np.flatnonzero(~np.isfinite(out))
+            out[wild] = np.ldexp(np.ldexp(self.vectors[rows[wild]], -self.exponent) @ scaled, 2 * self.exponent)
+        return out
+
+    def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the best k found, by score, then id; and their scores."""
+        scaled = np.ldexp(query, -self.exponent)
+        norm = norms_of(scaled[None])[0]
+        direction = scaled / norm if norm else scaled
+        at = direction @ self.lines[:-1]
+        rows, scores, reach = np.zeros(0, np.int64), np.zeros(0), -np.inf
+        for block in self.blocks:
+            if reach >= block.largest:
+                break  # neither this block nor a shorter one has a larger product
+            seen = np.zeros(len(block.rows), bool)
+            level = block.level
+            while True:
+                if block.order is None:
+                    over, whole = np.ones(len(seen), bool), True
+                    width = 0.0
+                else:
+                    width = GROWTH**level / np.sqrt(len(direction) + 1)
+                    counts, whole = block.collisions(at, width)
+                    over = counts >= THRESHOLD
+                new = block.rows[over & ~seen]
+                seen |= over
+                new = new[self.ids[new] != query_id]
+                self.verified += len(new)
+                rows = np.concatenate([rows, new])
+                scores = np.concatenate([scores, self.products(new, query, scaled)])
+                best = np.lexsort((self.ids[rows], -scores))[:k]
+                rows, scores = rows[best], scores[best]
+                if len(rows) == k:
+                    reach = float(np.ldexp(self.vectors[rows[-1]], -self.exponent) @ direction)
+                # The distance, in the block's scale, at which a vector would equal the k-th best.
+                distance = np.sqrt(max(0.0, 2 - 2 * reach / block.largest)) if np.isfinite(reach) and block.largest else np.inf
+                if whole or width * np.sqrt(len(direction) + 1) >= WIDTH * distance:
+                    break
+                level += 1
+            block.level = level - 1  # the next query begins a step before
+        return rows, scores
+
+
+def best_of_part(part: Part, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
+    """Each query's k best in the part, ties to the smaller id."""
+    found = [part.nearest(i, q, k) for i, q in zip(query_ids, queries)]
+    sizes = [len(rows) for rows, _ in found]
+    columns = [np.repeat(query_ids, sizes), np.concatenate([part.ids[rows] for rows, _ in found]), np.concatenate([scores for _, scores in found])]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "vec_id", "score"])
+
+
+def search(batches: Iterator[pa.RecordBatch], k: int, dims: int, exponent: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, asks, id, embedding), each part's vectors before the queries that ask it. Holds one part at a time."""
+    current, ids, vectors, held = None, [], [], None
     for batch in batches:
         part, asks, row_ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "asks", "id"))
         embedding = matrix(batch.column("embedding"), dims)
         starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (asks[1:] != asks[:-1])]) if len(part) else []
         for a, b in zip(starts, [*starts[1:], len(part)]):
             if part[a] != current:
-                current, ids, vectors, block = part[a], [], [], None
+                current, ids, vectors, held = part[a], [], [], None
             if not asks[a]:
                 ids.append(row_ids[a:b])
                 vectors.append(embedding[a:b])
             elif ids:
-                if block is None:
-                    block, ids = Block(np.concatenate(vectors), largest, seed), [np.concatenate(ids)]
-                    vectors = []
-                yield best_of_block(block, ids[0], row_ids[a:b], embedding[a:b], k)
+                if held is None:
+                    held, vectors = Part(np.concatenate(vectors), np.concatenate(ids), exponent, seed), []
+                yield best_of_part(held, row_ids[a:b], embedding[a:b], k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 42) -> DataFrame:
@@ -122,8 +174,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 42)
 
     vectors, queries: vec_id, embedding. Rows whose embedding is null, empty, zero, or holds a null or non-finite
     component, or whose id is null, take no part; nor do those whose length isn't the commonest one (the longer on a
-    tie). Of rows that share an id one takes part, the one of the smallest embedding. Ties go to the smaller vec_id. With fewer than k candidates
-    all are found. Other columns, whatever their names, are ignored. Empty tables give an empty result.
+    tie). Of rows that share an id one takes part, the one of the smallest embedding. Ties go to the smaller vec_id. With
+    fewer than k candidates all are found. Large finite components take part: lengths are compared after scaling by a power
+    of two, and a score too large for a double is infinite. Other columns, whatever their names, are ignored. Empty
+    tables give an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -135,21 +189,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 42)
         return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
     rows = staged(sound(vectors), "vectors")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    shapes = rows.groupBy(F.size("embedding").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("largest")).orderBy(F.desc("n"), F.desc("dims")).first()
+    largest = F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x)))).alias("largest")
+    shapes = rows.groupBy(F.size("embedding").alias("dims")).agg(F.count(F.lit(1)).alias("n"), largest).orderBy(F.desc("n"), F.desc("dims")).first()
     result = "query_id long, rank int, vec_id long, score double"
     if shapes is None:
         return spark.createDataFrame([], result)
-    dims, n, largest = shapes
+    dims, n, exponent = shapes.dims, shapes.n, int(np.frexp(shapes.largest)[1])
     asked = sound(queries).where(F.size("embedding") == dims)
-    n_blocks = -(-n // BLOCK_ROWS)
-    stripes = -(-TASKS_PER_CORE * spark.sparkContext.defaultParallelism // n_blocks)
+    n_parts = -(-n // PART_ROWS)
+    stripes = -(-TASKS_PER_CORE * spark.sparkContext.defaultParallelism // n_parts)
     hashed = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts))
     every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-    held = rows.where(F.size("embedding") == dims).select(hashed(n_blocks).alias("block"), every(stripes).alias("stripe"), F.lit(False).alias("asks"), "vec_id", "embedding")
-    asking = asked.select(every(n_blocks).alias("block"), hashed(stripes).alias("stripe"), F.lit(True).alias("asks"), "vec_id", "embedding")
-    parts = held.unionAll(asking).select((F.col("block") * stripes + F.col("stripe")).alias("part"), "asks", F.col("vec_id").alias("id"), "embedding")
-    parts = parts.repartitionById(n_blocks * stripes, F.col("part").cast("int")).sortWithinPartitions("part", "asks", "id")
-    found = parts.mapInArrow(lambda batches: search(batches, k, dims, largest, seed), RESULT)
+    held = rows.where(F.size("embedding") == dims).select(hashed(n_parts).alias("of"), every(stripes).alias("stripe"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    asking = asked.select(every(n_parts).alias("of"), hashed(stripes).alias("stripe"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    parts = held.unionAll(asking).select((F.col("of") * stripes + F.col("stripe")).alias("part"), "asks", F.col("vec_id").alias("id"), "embedding")
+    parts = parts.repartitionById(n_parts * stripes, F.col("part").cast("int")).sortWithinPartitions("part", "asks", "id")
+    found = parts.mapInArrow(lambda batches: search(batches, k, dims, exponent, seed), RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -37,7 +37,7 @@ def test_ann_recall(spark):
 
 
 def test_ann_blocks_and_stripes(spark, tmp_path):
-    """100,000 vectors in seven blocks: recall against brute force, whatever the number of stripes."""
+    """100,000 vectors in two parts of several blocks: recall against brute force, whatever the number of stripes."""
     vectors = np.random.default_rng(3).normal(size=(100_000, 48))
     column = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), 48).cast(pa.list_(pa.float64()))
     pq.write_table(pa.table({"vec_id": np.arange(len(vectors)), "embedding": column}), tmp_path / "v.parquet")
@@ -53,6 +53,65 @@ def test_ann_blocks_and_stripes(spark, tmp_path):
     assert sum(len(found[q] & truth[q]) for q in truth) / (20 * len(truth)) >= 0.95
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def distributions():
+    rng = np.random.default_rng(7)
+    gauss = rng.normal(size=(8192, 64))
+    outlier = unit(gauss)
+    outlier[5] *= 20
+    yield "unit", unit(gauss)
+    yield "gaussian", gauss
+    for spread in (0.2, 0.3, 0.5, 1.0):
+        yield f"lognormal({spread})", unit(gauss) * np.exp(spread * rng.normal(size=(8192, 1)))
+    yield "outlier", outlier
+    yield "clusters", unit(rng.normal(size=(50, 64)))[rng.integers(0, 50, 8192)] + 0.1 * rng.normal(size=(8192, 64))
+    yield "rank 6", rng.normal(size=(8192, 6)) @ rng.normal(size=(6, 64))
+    yield "8 dimensions", rng.normal(size=(8192, 8))
+    yield "copies", np.repeat(unit(rng.normal(size=(16, 64))), 512, axis=0)
+    yield "negative", -np.abs(gauss) * np.where(rng.random((8192, 1)) < 0.1, -1, 1)
+    yield "all lengths", gauss * 10.0 ** rng.integers(-140, 140, (8192, 1))
+
+
+@pytest.mark.parametrize("name, vectors", list(distributions()), ids=lambda x: x if isinstance(x, str) else "")
+def test_ann_recall_by_distribution(name, vectors):
+    """Recall against the exact order, for norms that are equal, spread or extreme; and most vectors are not verified."""
+    exponent = int(np.frexp(np.abs(vectors).max())[1])
+    part, scaled, hits, asked = ann.Part(vectors, np.arange(len(vectors)), exponent, 42), np.ldexp(vectors, -exponent), 0, range(0, len(vectors), 211)
+    for q in asked:
+        rows, scores = part.nearest(q, vectors[q], 20)
+        exact = scaled @ (scaled[q] / ann.norms_of(scaled[q][None])[0])
+        exact[q] = -np.inf
+        least = np.sort(exact)[-20]
+        assert len(set(rows)) == 20 and q not in rows and (np.diff(scores) <= 0).all()
+        hits += (exact[rows] >= least - 1e-12 * abs(least)).sum()
+    assert hits / (20 * len(asked)) >= 0.95
+    assert part.verified <= 0.4 * len(asked) * len(vectors)
+
+
+def test_ann_lengths_end_to_end(spark):
+    """Norms that differ, in several parts and stripes; and components whose squares overflow, which end all the same."""
+    rng = np.random.default_rng(5)
+    vectors = unit(rng.normal(size=(4000, 32))) * np.exp(0.5 * rng.normal(size=(4000, 1)))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(frame, frame.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    score = vectors @ vectors.T
+    np.fill_diagonal(score, -np.inf)
+    assert sum(len(found[q] & set(np.argsort(-score[q])[:20])) for q in range(0, 4000, 20)) / (20 * 200) >= 0.95
+    huge = spark.createDataFrame([(i, (vectors[i] * 1e200).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    got = ann.nearest(huge, huge.where("vec_id = 20")).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 21)) and all(r.score == math.inf for r in got)
+    half = spark.createDataFrame([(i, (vectors[i] * 1e150).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    got = ann.nearest(half, half.where("vec_id = 20")).orderBy("rank").collect()
+    exact = (vectors[:300] * 1e150) @ (vectors[20] * 1e150)
+    exact[20] = -np.inf
+    assert [r.vec_id for r in got] == np.argsort(-exact)[:20].tolist()
+
+
 def test_ann_edges(spark):
     nan = float("nan")
     rows = [(i, [1.0, 0.0], 1) for i in range(40, 10, -1)] + [(1, None, 1), (2, [0.0, 0.0], 1), (3, [nan, 1.0], 1), (4, [1.0, None], 1), (5, [float("inf"), 0.0], 1), (6, [], 1), (7, [1.0, 2.0, 3.0], 1), (None, [1.0, 0.0], 1), (20, [1.0, 0.0], 1)]
