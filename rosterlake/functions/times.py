@@ -26,3 +26,12 @@ def schedule_table(spark: SparkSession) -> DataFrame:
     days = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("weekday")
     hourly = hours.select(F.lit("projections").alias("job"), days, "hour")
     return spark.range(1).select(F.lit("salaries").alias("job"), F.lit(1).alias("weekday"), F.lit(9).alias("hour")).unionByName(hourly).withColumn("zone", F.lit(ZONE))
+
+
+def due(rows: DataFrame, at: str, zone: str | None = None) -> DataFrame:
+    """rows with the job whose weekly trigger falls in the hour of their timestamp `at`, one row a job; others are left out.
+
+    With zone, `at` is UTC and is read in that zone; without, it is local time already."""
+    local = F.from_utc_timestamp(at, zone) if zone else F.col(at)
+    jobs = schedule_table(rows.sparkSession).select("job", F.col("weekday").alias("_weekday"), F.col("hour").alias("_hour"))
+    return rows.join(F.broadcast(jobs), (F.weekday(local) == F.col("_weekday")) & (F.hour(local) == F.col("_hour"))).drop("_weekday", "_hour")

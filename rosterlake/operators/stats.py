@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import ADVANCED, PROJECTIONS, RED_ZONE, SNAPS, STATS, leader_columns
+from ..sources.quarantine import Checked, checked, judged_numbers
 
 TEXT = {"player", "team", "position"}
 
@@ -46,6 +47,11 @@ def renamed(rows: DataFrame, columns: list[str], rename: Callable[[str], str] =
     return rows.select("year", *out)
 
 
+def checked_cells(rows: DataFrame, columns: list[str]) -> Checked:
+    """Page rows (year, cells) parted into those that `columns` can be read from, and the others with their reason."""
+    return checked(judged_numbers(rows, columns, TEXT), "cells")
+
+
 def keyed(rows: DataFrame, position: str, week: int | Column) -> DataFrame:
     week = F.lit(week) if isinstance(week, int) else week
     return rows.withColumns({"position": F.lit(position.upper()), "season": F.col("year"), "week": week.cast("int")}).drop("year")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import text, times
 from .operators import locks, pool, stats
 from .operators.locks import KEY, Request
-from .plans import lineups, solver
+from .plans import incremental, lineups, solver
 from .schema import LOOSE_GRADES, POOL_COLUMNS, POSITIONS, STATS, STRICT_GRADES, TEAMS, position_order
 from .sources import landed, pages, snapshots
 from .staging import new_folder, staged
@@ -260,8 +260,33 @@ def script_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 5 = 0) AS absent, count(*) FILTER (WHERE event_id % 5 <> 0 AND event_id % 7 = 0) AS nulls FROM events")
 def script_json_null_vs_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = script_pages(table(spark, sf_dir, "events")).select(F.explode(pages.script_players(F.col("html"))).alias("m"))
-    there = F.map_contains_key("m", "r2p_pts")
-    return m.agg(F.count(F.lit(1)).alias("n"), F.count_if(~there).alias("absent"), F.count_if(there & F.try_element_at("m", F.lit("r2p_pts")).isNull()).alias("nulls"))
+    points = F.try_variant_get("m", "$.r2p_pts", "variant")
+    return m.agg(F.count(F.lit(1)).alias("n"), F.count_if(points.isNull()).alias("absent"), F.count_if(F.is_variant_null(points)).alias("nulls"))
+
+
+@query("""SELECT 'P' || event_id AS player, CASE event_id % 5 WHEN 0 THEN 7 WHEN 1 THEN 7 WHEN 2 THEN 7 ELSE 8 END AS rank, event_id % 5 AS kind, value AS proj_fpts FROM events WHERE event_id % 6 < 5 AND event_id % 5 <> 4""")
+def script_json_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks as 7, "7", 7.9, 8.0 and, of a fifth of the players, "7.5", which is no whole number; every sixth has none."""
+    key = F.col("event_id")
+    rank = F.element_at(F.array(*map(F.lit, ("7", '"7"', "7.9", "8.0", '"7.5"'))), (key % 5 + 1).cast("int"))
+    player = F.concat(F.lit('{"player_name":"P'), key.cast("string"), F.lit('","player_position_id":"RB",'), F.when(key % 6 < 5, F.concat(F.lit('"rank_ecr":'), rank, F.lit(","))).otherwise(""), F.lit('"rank_min":1,"rank_max":"9","rank_ave":"2.5","rank_std":3,"start_sit_grade":"A","r2p_pts":'), F.col("value").cast("string"), F.lit("}"))
+    rows = table(spark, sf_dir, "events").groupBy(F.floor(key / 50).cast("int").alias("week")).agg(F.array_join(F.collect_list(player), ",").alias("body"))
+    html = F.concat(F.lit('<script type="text/javascript">var ecrData = {"players":['), "body", F.lit("]};</script>"))
+    found = pages.weekly_rankings(rows.select(F.lit("RB").alias("position"), F.lit(2025).alias("year"), "week", html.alias("html")))
+    return found.select("player", "rank", (F.substring("player", 2, 20).cast("long") % 5).alias("kind"), "proj_fpts")
+
+
+@query("""SELECT CASE WHEN event_id % 3 = 0 THEN 'rank_ecr is no number' ELSE 'r2p_pts is null' END AS reason, count(*) AS n, (SELECT count(*) FROM events) AS rows, (SELECT count(*) FROM events WHERE event_id % 3 = 0 OR event_id % 7 = 0) AS rejected
+    FROM events WHERE event_id % 3 = 0 OR event_id % 7 = 0 GROUP BY 1""")
+def rankings_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players that can't be taken, by the first reason, beside the counters of the pass that parted them."""
+    key = F.col("event_id")
+    rank, points = F.when(key % 3 == 0, '"n/a"').otherwise("4"), F.when(key % 7 == 0, "null").otherwise(F.col("value").cast("string"))
+    player = F.concat(F.lit('{"player_name":"P'), key.cast("string"), F.lit('","player_position_id":"RB","rank_ecr":'), rank, F.lit(',"rank_min":1,"rank_max":"9","rank_ave":"2.5","rank_std":3,"start_sit_grade":"A","r2p_pts":'), points, F.lit("}"))
+    rows = table(spark, sf_dir, "events").groupBy(F.floor(key / 50).cast("int").alias("week")).agg(F.array_join(F.collect_list(player), ",").alias("body"))
+    html = F.concat(F.lit('<script type="text/javascript">var ecrData = {"players":['), "body", F.lit("]};</script>"))
+    found = pages.checked_rankings(rows.select(F.lit("RB").alias("position"), F.lit(2025).alias("year"), "week", html.alias("html")))
+    return found.by_reason().select("reason", "n", F.lit(found.counts["rows"]).alias("rows"), F.lit(found.counts["rejected"]).alias("rejected"))
 
 
 def html_of(rows: DataFrame, key: str, order: str, cells: list[Column], table_id: str = "data", head: int = 1) -> DataFrame:
@@ -323,6 +348,22 @@ def adv_stats_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("player", F.col("avg_rec_yds").alias("avg_rec_yds_ignored"), "rec_yds/rec")
 
 
+@query(f"SELECT trim(string_split({PLAYER}, '(')[1]) AS player, 'WR' AS position, trunc(l_discount * 100) AS tgt_perc, (l_linenumber - 1)::DOUBLE AS games FROM lineitem")
+def advanced_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .schema import ADVANCED
+
+    rows = stats.advanced(stat_cells(table(spark, sf_dir, "lineitem"), ADVANCED["WR"]), "WR", (1, 4))
+    return rows.select("player", "position", "tgt_perc", "games")
+
+
+@query(f"SELECT trim(string_split({PLAYER}, '(')[1]) AS player, 'RB' AS position, " + ", ".join(f"trunc(l_discount * 100) AS {c}" for c in ("rz_rush_perc", "rz_rec_perc", "rz_tgt_perc", "rost")) + " FROM lineitem")
+def red_zone_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .schema import RED_ZONE
+
+    rows = stats.red_zone(stat_cells(table(spark, sf_dir, "lineitem"), RED_ZONE["RB"]), "RB", (1, 4))
+    return rows.select("player", "position", "rz_rush_perc", "rz_rec_perc", "rz_tgt_perc", "rost")
+
+
 @query(f"SELECT trim(string_split({PLAYER}, '(')[1]) AS player, {sql_average(1)} AS avg_rz_cmp, {sql_average(4)} AS avg_rz_pass_yds, 5 AS week FROM lineitem")
 def rz_stats_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .schema import RED_ZONE
@@ -450,7 +491,7 @@ def pair_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solver.combinations(rows, [2], KEY).select("slate", "salary", "points")
 
 
-def sql_objective(source: str, comps: str, extra: str = "") -> str:
+def sql_objective(source: str, comps: str, extra: str = "", rows_of: str = POOL) -> str:
     """Best points of each (slate, variant): k-sets by self-joins, best points by salary, joined under the cap."""
     sets = [f"c_{p}_0 AS (SELECT DISTINCT slate, variant, 0 AS salary, 0::BIGINT AS points FROM {source})" for p in POSITIONS]
     for p, most in MOST.items():
@@ -463,7 +504,7 @@ def sql_objective(source: str, comps: str, extra: str = "") -> str:
         union = " UNION ALL ".join(f"SELECT *, {k} AS k FROM c_{p}_{k}" for k in range(most + 1))
         rows += f""", f{i} AS (SELECT slate, variant, k, salary, points FROM (SELECT *, max(points) OVER (PARTITION BY slate, variant, k ORDER BY salary ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ({union})) WHERE top IS NULL OR points > top),
             s{i + 1} AS (SELECT s.slate, s.variant, cap, n_qb, n_rb, n_wr, n_te, n_dst, s.salary + f.salary AS salary, max(s.points + f.points) AS points FROM s{i} s JOIN f{i} f ON s.slate = f.slate AND s.variant = f.variant AND f.k = s.n_{p.lower()} AND s.salary + f.salary <= s.cap GROUP BY ALL)"""
-    return f"WITH {POOL}, {VARIANTS}{extra}, {rows} SELECT k.slate, k.variant, CASE WHEN max(points) IS NULL THEN 'INFEASIBLE' ELSE 'OPTIMAL' END AS status, max(points) / 1000000::DOUBLE AS free_points FROM (SELECT DISTINCT slate, variant FROM comps) k LEFT JOIN s5 ON k.slate = s5.slate AND k.variant = s5.variant GROUP BY ALL"
+    return f"WITH {rows_of}, {VARIANTS}{extra}, {rows} SELECT k.slate, k.variant, CASE WHEN max(points) IS NULL THEN 'INFEASIBLE' ELSE 'OPTIMAL' END AS status, max(points) / 1000000::DOUBLE AS free_points FROM (SELECT DISTINCT slate, variant FROM comps) k LEFT JOIN s5 ON k.slate = s5.slate AND k.variant = s5.variant GROUP BY ALL"
 
 
 SCORED = f", scored AS (SELECT slate, variant, position, player, salary, round({BLEND} * 1000000)::BIGINT AS points, row_number() OVER (PARTITION BY slate, variant ORDER BY list_position(['QB','RB','WR','TE','DST'], position), rank, player, team, salary)::INT AS idx FROM pool, variants)"
@@ -546,6 +587,31 @@ def optimal_lineup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineups.optimal_lineups(pool_of(spark, sf_dir), [Request()]).select("variant", "status", "idx", *POOL_COLUMNS)
 
 
+RECORD = "{" + ", ".join(f"'{c}': {c}" for c in POOL_COLUMNS) + "}"
+
+
+@query(f"SELECT variant, to_json(list({RECORD} ORDER BY idx))::VARCHAR AS json FROM ({sql_lineups()}) WHERE week = (WITH {POOL} SELECT max(week) FROM pool) GROUP BY variant")
+def served_lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rosters of the newest week of stored pools, as the service answers a request."""
+    folder = new_folder(spark, "csv")
+    snapshots.write_snapshots(pool_of(spark, sf_dir).drop("slate"), folder, "pool")
+    return lineups.RosterService(spark, f"{folder}/*").lineups_json()
+
+
+@query(sql_objective("scored", DEFAULT.format(", (2, 3, 2)"), SCORED, POOL.replace("pool AS (", "whole AS (") + ", pool AS (SELECT * FROM whole WHERE NOT (slate = (SELECT max(slate) FROM whole) AND position = 'WR' AND rank <= 6))") + " HAVING k.variant = 1")
+def rosters_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after a second run, for which the newest week had lost its first receivers; only that week is solved anew."""
+    store, one = new_folder(spark, "rosters"), [Request(variants=((1.0, 0.0),))]
+    rows = pool_of(spark, sf_dir)
+    newest = rows.agg(F.max("slate").alias("newest"))
+    later = rows.join(F.broadcast(newest)).where("not (slate = newest and position = 'WR' and rank <= 6)").drop("newest")
+    incremental.refresh_rosters(rows, one, store)
+    incremental.refresh_rosters(later, one, store)
+    found = incremental.kept_rosters(spark, store).groupBy("slate", "variant", "status").agg(F.sum(F.col("proj_fpts").cast("decimal(18,6)")).cast("double").alias("free_points"))
+    every = later.select("slate").distinct().withColumn("variant", F.lit(1))
+    return every.join(found, ["slate", "variant"], "left").select("slate", "variant", F.coalesce("status", F.lit("INFEASIBLE")).alias("status"), "free_points")
+
+
 @query(f"WITH {POOL} SELECT slate, position, round(sum(proj_fpts::DECIMAL(18, 1))::DOUBLE, 2) AS points, sum(salary)::BIGINT AS salary, count(*) AS players, (50000 - sum(salary))::BIGINT AS remaining FROM pool WHERE rank <= 2 GROUP BY ALL")
 def lineup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pool_of(spark, sf_dir).where("rank <= 2").withColumns({"request": F.lit("top"), "variant": F.col("position"), "proj_fpts": F.col("proj_fpts").cast("decimal(18,1)")})
@@ -608,9 +674,15 @@ def next_tuesday_noon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", times.next_tuesday_noon(F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("deadline"))
 
 
-@query("SELECT 'salaries' AS job, 1 AS weekday, 9 AS hour, 'America/New_York' AS zone UNION ALL SELECT 'projections', d.range::INT, h.range::INT, 'America/New_York' FROM range(1, 4) d, range(10, 21) h")
+SCHEDULE = "schedule AS (SELECT 'salaries' AS job, 1 AS weekday, 9 AS hour, 'America/New_York' AS zone UNION ALL SELECT 'projections', d.range::INT, h.range::INT, 'America/New_York' FROM range(1, 4) d, range(10, 21) h)"
+
+
+@query(f"WITH {SCHEDULE} SELECT job, weekday, hour, zone, count(event_id) AS events FROM schedule LEFT JOIN events ON isodow(ts) - 1 = weekday AND hour(ts) = hour GROUP BY ALL")
 def schedule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return times.schedule_table(spark)
+    """The weekly triggers, each with the events in its hour."""
+    at = F.col("ts").cast("timestamp")
+    met = times.due(table(spark, sf_dir, "events").withColumn("at", at), "at").groupBy("job", F.weekday("at").alias("weekday"), F.hour("at").alias("hour")).agg(F.count("event_id").alias("events"))
+    return times.schedule_table(spark).join(met, ["job", "weekday", "hour"], "left").withColumn("events", F.coalesce("events", F.lit(0).cast("long")))
 
 
 @query(f"WITH {POOL} SELECT slate, player, rank, list_position(['QB','RB','WR','TE','DST'], position)::INT AS place FROM pool WHERE rank = 1")

@@ -45,12 +45,11 @@ PROJECTIONS = {
     "TE": "player proj_rec proj_rec_yds proj_rec_tds proj_fl proj_fpts".split(),
     "DST": "player proj_sack proj_int proj_fr proj_ff proj_dst_td proj_safety proj_pass_att proj_yds_allowed proj_fpts".split(),
 }
-GAINS = "10_plus 20_plus 30_plus 40_plus 50_plus".split()
 ADVANCED = {
-    "QB": ["player", "games", *"cmp att cmp_perc pass_yds pass_yds/att pass_air_yds pass_air_yds/att".split(), *(f"pass_{g}" for g in GAINS), *"pkt_time sacks knockdowns hurries blitz poor_pass drops rz_att rtg".split()],
-    "RB": ["player", "games", *"rush rush_yds rush_yds/rush rush_yds_bcon rush_yds_bcon/rush rush_yds_acon rush_yds_acon/rush brkn_tkl tkl_loss tkl_loss_yds lng_td".split(), *(f"rush_{g}" for g in GAINS), *"rush_lng rec tgt rz_tgt rec_yds_acon".split()],
-    "WR": ["player", "games", *"rec rec_yds rec_yds/rec rec_yds_bc rec_yds_bc/rec rec_air_yds rec_air_yds/rec rec_yds_ac rec_yds_ac/rec rec_yds_acon rec_yds_acon/rec brkn_tkl tgt tgt_perc catchable drops rz_tgt".split(), *(f"rec_{g}" for g in GAINS), "rec_lng"],
-}
+    "QB": "player games cmp att cmp_perc pass_yds pass_yds/att pass_air_yds pass_air_yds/att pass_10_plus pass_20_plus pass_30_plus pass_40_plus pass_50_plus pkt_time sacks knockdowns hurries blitz poor_pass drops rz_att rtg".split(),
+    "RB": "player games rush rush_yds rush_yds/rush rush_yds_bcon rush_yds_bcon/rush rush_yds_acon rush_yds_acon/rush brkn_tkl tkl_loss tkl_loss_yds lng_td rush_10_plus rush_20_plus rush_30_plus rush_40_plus rush_50_plus rush_lng rec tgt rz_tgt rec_yds_acon".split(),
+    "WR": "player games rec rec_yds rec_yds/rec rec_yds_bc rec_yds_bc/rec rec_air_yds rec_air_yds/rec rec_yds_ac rec_yds_ac/rec rec_yds_acon rec_yds_acon/rec brkn_tkl tgt tgt_perc catchable drops rz_tgt rec_10_plus rec_20_plus rec_30_plus rec_40_plus rec_50_plus rec_lng".split(),
+}
 ADVANCED["TE"] = ADVANCED["WR"]
 SNAPS = "player team games snaps snaps/game snap_perc snap_rush_perc snap_tgt_perc touch_perc util_perc fpts fpts/100_snaps".split()
 RED_ZONE = {

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions import text, times
 from rosterlake.operators import locks, pool, stats
 from rosterlake.operators.locks import Request
-from rosterlake.plans import lineups, solver
+from rosterlake.plans import incremental, lineups, solver
 from rosterlake.schema import ADVANCED, LIMITS, POOL, POSITIONS, PROJECTIONS, RED_ZONE, SALARY, SNAPS, STATS, leader_columns
 from rosterlake.sources import landed, pages, snapshots
 from rosterlake.streaming import refresh
@@ -60,6 +60,12 @@ def test_scalars(spark, column, expected):
 
 def test_schedule(spark):
     assert times.schedule_table(spark).count() == 34
+    at = [datetime(2025, 9, 2, 13, 30), datetime(2025, 9, 2, 14, 0), datetime(2025, 9, 4, 0, 30), datetime(2025, 9, 5, 15, 0), datetime(2025, 12, 2, 14, 59)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(at)], "id int, at timestamp")
+    local = {(r.id, r.job) for r in times.due(rows, "at").collect()}
+    assert local == {(0, "projections"), (1, "projections"), (4, "projections")}
+    # Nine o'clock in New York is 13 UTC in summer and 14 in winter.
+    assert {(r.id, r.job) for r in times.due(rows, "at", times.ZONE).collect()} == {(0, "salaries"), (1, "projections"), (2, "projections"), (4, "salaries")}
 
 
 def test_salary_files_with_padding_and_crlf(spark, tmp_path):
@@ -85,6 +91,47 @@ def test_rankings_page(spark):
     assert [(r.player, r.grade, r.proj_fpts, r.rank) for r in rows] == [("A", "A+", 20.1, 1), ("B", "None", 20.1, 1), ("C", "A+", 0.0, 1)]
 
 
+def test_rankings_keep_numbers_apart(spark):
+    """1.5 counts as 1, "1.5" can't be taken; every rejected row has its reason, and the counters agree."""
+    good = {"player_name": "A", "player_position_id": "QB", "rank_ecr": 1, "rank_min": "1", "rank_max": 3, "rank_ave": "1.5", "rank_std": 0.5, "start_sit_grade": "A+", "r2p_pts": "20.1"}
+    changes = [{}, {"rank_ecr": 1.5}, {"rank_ecr": "1.5"}, {"rank_ecr": None}, {"rank_ave": "x"}, {"r2p_pts": None}, {"player_name": None, "start_sit_grade": 5}, {"rank_min": " 2 "}]
+    players = [{**good, **c} for c in changes] + [{k: v for k, v in good.items() if k != "rank_std"}]
+    html = f'<script type="text/javascript">var ecrData = {json.dumps({"players": players})};</script>'
+    frame = spark.createDataFrame([("QB", 2025, 5, html), ("RB", 2025, 5, "<html></html>"), ("WR", 2025, 5, html.replace("A+", "A+\\")), ("TE", 2025, 5, html.replace(json.dumps(players), "[]"))], "position string, year int, week int, html string")
+    found = pages.checked_rankings(frame)
+    assert sorted((r.place, r.player, r.grade, r.rank, r.min_rank) for r in found.rows.collect()) == [(0, "A", "A+", 1, 1), (1, "A", "A+", 1, 1), (6, "None", "5", 1, 1), (7, "A", "A+", 1, 2)]
+    reasons = {(r.page_position, r.place): r.reason for r in found.rejected.collect()}
+    assert reasons == {
+        ("QB", 2): "rank_ecr is no number", ("QB", 3): "rank_ecr is null", ("QB", 4): "rank_ave is no number", ("QB", 5): "r2p_pts is null", ("QB", 8): "rank_std is absent",
+        ("RB", None): "the page has no players", ("WR", None): "the page has no players", ("TE", None): "the page's players are none",
+    }
+    assert (found.counts["rows"], found.counts["sound"], found.counts["rejected"]) == (12, 4, 8)
+    assert {r.reason: r.n for r in found.by_reason().collect()}["the page has no players"] == 2
+    assert sorted(map(tuple, pages.weekly_rankings(frame).collect()), key=str) == sorted(map(tuple, found.rows.collect()), key=str)
+
+
+def test_rejected_table_rows(spark):
+    columns = PROJECTIONS["TE"]
+    rows = [["A KC", "1", "2", "3", "", "1,004.5"], ["B KC", "1", "x", "3", "4", "5"], ["", "1", "2", "3", "4", "5"], ["C KC", "1"]]
+    frame = pages.table_rows(spark.createDataFrame([(2025, page(columns, rows, lead=False))], "year int, html string"), skip_columns=0)
+    found = stats.checked_cells(frame, columns)
+    assert {r.row_idx: r.reason for r in found.rejected.collect()} == {1: "proj_rec_yds is no number", 2: "player is empty", 3: "the row has too few cells"}
+    assert [(r.player, r.proj_fpts) for r in stats.weekly_projections(found.rows, "TE", 3).collect()] == [("A", 1004.5)] and found.counts["rejected"] == 3
+    html = page(["x"] * 6, [["head"] * 6, ["A", "x", "QB", "KC", "@BUF", "$8,600"], ["B", "x", "QB", "KC", "@BUF", "soon"], ["C", "x", "QB"]], "prj-main-table", lead=False)
+    money = pages.checked_salaries(spark.createDataFrame([(2025, 5, "Sat-Sun", html)], "year int, week int, slate string, html string"))
+    assert [(r.player, r.salary) for r in money.rows.collect()] == [("A", 8600)]
+    assert {r.player: r.reason for r in money.rejected.collect()} == {"B": "salary is no amount", "C": "the row has too few cells"}
+
+
+def test_tables_of_many_pages(spark):
+    """More pages than are parsed at once, with nulls and pages without a table between them."""
+    sizes = [i % 5 for i in range(300)]
+    rows = [(i, None if i % 50 == 49 else page(["player", "x"], [[f"p{i}.{j}", ""] for j in range(n)]) if i % 7 else "<p>none</p>", [i]) for i, n in enumerate(sizes)]
+    got = pages.table_rows(spark.createDataFrame(rows, "id int, html string, more array<int>").repartition(2)).collect()
+    want = [(i, [i], j, [f"p{i}.{j}", None]) for i, n in enumerate(sizes) if i % 7 and i % 50 != 49 for j in range(n)]
+    assert sorted((r.id, r.more, r.row_idx, r.cells) for r in got) == want
+
+
 def page(columns, rows, table_id="data", lead=True):
     head = "<thead><tr><th>#</th>" + "<th>x</th>" * len(columns) + "</tr></thead>"
     body = "".join("<tr>" + ("<td>1</td>" if lead else "") + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows)
@@ -373,6 +420,33 @@ def test_ten_thousand_requests(spark):
     assert of_key.count() > 20 * needs.select("problem").distinct().count() and players.select("sig").distinct().count() < 500
 
 
+def test_only_changed_weeks_are_solved(spark, tmp_path):
+    store = f"{tmp_path}/store"
+    weeks = {s: week(20 + i, (3, 4, 5, 3, 2)) for i, s in enumerate("abc")}
+    both = [Request(variants=((1.0, 0.0),)), Request("one", one_te=True, variants=((1.0, 0.0),))]
+
+    def run(requests=both):
+        pool = pool_frame(spark, weeks["a"], "a")
+        for s in list(weeks)[1:]:
+            pool = pool.unionByName(pool_frame(spark, weeks[s], s))
+        n = incremental.refresh_rosters(pool.repartition(3), requests, store)
+        columns = ["slate", "request", "variant", "status", "idx", "player", "salary"]
+        kept = sorted(map(tuple, incremental.kept_rosters(spark, store).select(columns).collect()))
+        assert kept == sorted(map(tuple, lineups.optimal_lineups(pool, requests).select(columns).collect()))
+        return n
+
+    assert (run(), run()) == (3, 0)
+    weeks["b"] = [r if i else (*r[:9], r[9] + 5.0, r[10]) for i, r in enumerate(weeks["b"])]
+    assert (run(), run()) == (1, 0)
+    assert run(both[:1]) == 3  # other requests
+    del weeks["c"]
+    assert (run(both[:1]), run(both[:1])) == (0, 0)
+    table = locks.request_table(spark.createDataFrame([("a", "x", True), ("b", "y", False)], "slate string, request string, one_te boolean"), ((1.0, 0.0),))
+    assert run(table) == 2
+    other = locks.request_table(spark.createDataFrame([("a", "x", True), ("b", "y", True)], "slate string, request string, one_te boolean"), ((1.0, 0.0),))
+    assert run(other) == 1
+
+
 def test_locks_and_failures(spark):
     rows = week(7)
     frame = pool_frame(spark, rows)
