@@ -90,6 +90,6 @@ class RosterService:
         return optimal_lineups(pool, [request]).orderBy("variant", "idx")
 
     def lineups_json(self, request: Request = Request()) -> DataFrame:
-        """variant, json: each roster as a JSON array of records."""
+        """variant, json: each roster as a JSON array of records of the pool columns."""
         rows = optimal_lineups(self.pool(), [request]).select("variant", "idx", *POOL_COLUMNS)
-        return records(rows, ["variant"], [F.col("idx")])
+        return records(rows, ["variant"], [F.col("idx")], POOL_COLUMNS)

@@ -68,10 +68,11 @@ def export_csv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def records(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """keys, json: the rows of each key as one JSON array, in order. A key's rows are one roster or one week's pool."""
+def records(rows: DataFrame, keys: list[str], order: list, columns: list[str] | None = None) -> DataFrame:
+    """keys, json: the rows of each key as one JSON array, in order, with `columns`, or all others. A key's rows are one
+    roster or one week's pool."""
     ordered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(0)).orderBy(*order)))
-    body = F.struct(*[c for c in rows.columns if c not in keys])
+    body = F.struct(*(columns or [c for c in rows.columns if c not in keys]))
     listed = F.array_sort(F.collect_list(F.struct("_n", body.alias("row"))))
     return ordered.groupBy(*keys).agg(F.to_json(F.transform(listed, lambda x: x["row"])).alias("json"))
 
