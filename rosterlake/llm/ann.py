@@ -28,12 +28,15 @@ from .common import ship, staged
 PART_ROWS, BLOCK_ROWS, NORMS = 65_536, 16_384, 2**0.25
 #: Projections; the half-width of windows over a distance at which they are wide enough, in standard deviations of a
 #: projection, and the chance that a vector at that distance falls into one; margin of the threshold.
-PROJECTIONS, WIDTH, CHANCE, Z = 130, 1.44, 0.8501, 0.5
+PROJECTIONS, WIDTH, CHANCE, Z = 130, 1.44, 0.8501, 1.0
 THRESHOLD = int(np.floor(PROJECTIONS * CHANCE - Z * np.sqrt(PROJECTIONS * CHANCE * (1 - CHANCE))))
-#: Each step widens the windows by GROWTH; a block's first query begins START steps from width 1.
-GROWTH, START = 1.15, -8
+#: Half-width at which a block's first queries begin, for vectors of length 1; each step widens the windows by GROWTH. Later
+#: ones begin at what half of those before them needed.
+START, GROWTH = 0.05, 1.15
+#: Queries whose windows are found together.
+TOGETHER = 64
 #: Tasks of the search for each core, at least.
-TASKS_PER_CORE = 2
+TASKS_PER_CORE = 1
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -52,28 +55,29 @@ class Block:
     """One block's sorted projections. Vectors are scaled so that their largest norm is 1; so are queries."""
 
     def __init__(self, vectors: np.ndarray, norms: np.ndarray, rows: np.ndarray, lines: np.ndarray):
-        self.rows, self.largest, self.level = rows, float(norms[rows].max()), START
-        if len(rows) <= PROJECTIONS or not self.largest:
-            self.order = None  # too few to be worth arrays: all are verified
+        self.rows, self.largest, self.start = rows, float(norms[rows].max()), START
+        self.few = len(rows) <= PROJECTIONS or not self.largest  # not worth arrays: all are verified
+        if self.few:
             return
         unit = vectors[rows] / self.largest
         extra = np.sqrt(np.maximum(0, 1 - (norms[rows] / self.largest) ** 2))
         values = np.column_stack([unit, extra]) @ lines
         order = np.argsort(values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(values, order, axis=0).T.copy()
-        self.order = order.T.astype(np.int32)
+        self.order = order.T.astype(np.uint16)  # BLOCK_ROWS is below 2**16
 
-    def collisions(self, at: np.ndarray, width: float) -> tuple[np.ndarray, bool]:
-        """In how many windows each vector stands, and whether the windows hold everything; wide ones are counted by what
-        stands outside."""
+    def windows(self, at: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end place in every sorted projection of the windows around the queries' projections."""
+        low = np.stack([s.searchsorted(x - width) for s, x in zip(self.sorted, at.T)], axis=1)
+        return low, np.stack([s.searchsorted(x + width, "right") for s, x in zip(self.sorted, at.T)], axis=1)
+
+    def over(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which vectors stand in THRESHOLD windows; wide windows are counted by what stands outside."""
         n, m = len(self.rows), len(self.order)
-        low = [s.searchsorted(x - width) for s, x in zip(self.sorted, at)]
-        high = [s.searchsorted(x + width, "right") for s, x in zip(self.sorted, at)]
-        inside = sum(high) - sum(low)
-        if 2 * inside < n * m:
-            return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high)]), minlength=n), inside == n * m
+        if 2 * (high - low).sum() < n * m:
+            return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high)]), minlength=n) >= THRESHOLD
         outside = [x for o, a, b in zip(self.order, low, high) for x in (o[:a], o[b:])]
-        return m - np.bincount(np.concatenate(outside), minlength=n), inside == n * m
+        return np.bincount(np.concatenate(outside), minlength=n) <= m - THRESHOLD
 
 
 class Part:
@@ -103,50 +107,59 @@ class Part:
             out[wild] = np.ldexp(np.ldexp(self.vectors[rows[wild]], -self.exponent) @ scaled, 2 * self.exponent)
         return out
 
-    def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the best k found, by score, then id; and their scores."""
-        scaled = np.ldexp(query, -self.exponent)
-        norm = norms_of(scaled[None])[0]
-        direction = scaled / norm if norm else scaled
-        at = direction @ self.lines[:-1]
-        rows, scores, reach = np.zeros(0, np.int64), np.zeros(0), -np.inf
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query, the places of the best k found, by score, then id, and their scores."""
+        scaled = np.ldexp(queries, -self.exponent)
+        norms = norms_of(scaled)
+        directions = scaled / np.where(norms > 0, norms, 1)[:, None]
+        at, root = directions @ self.lines[:-1], np.sqrt(queries.shape[1] + 1)
+        found = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        reach = np.full(len(queries), -np.inf)  # scaled product of the k-th best found
+
+        def verify(q: int, rows: np.ndarray) -> None:
+            rows = rows[self.ids[rows] != query_ids[q]]
+            self.verified += len(rows)
+            rows, scores = np.concatenate([found[q][0], rows]), np.concatenate([found[q][1], self.products(rows, queries[q], scaled[q])])
+            best = np.lexsort((self.ids[rows], -scores))[:k]
+            found[q] = rows[best], scores[best]
+            if len(best) == k:
+                reach[q] = np.ldexp(self.vectors[rows[best[-1]]], -self.exponent) @ directions[q]
+
         for block in self.blocks:
-            if reach >= block.largest:
+            waiting = np.flatnonzero(reach < block.largest)
+            if not len(waiting):
                 break  # neither this block nor a shorter one has a larger product
-            seen = np.zeros(len(block.rows), bool)
-            level = block.level
-            while True:
-                if block.order is None:
-                    over, whole = np.ones(len(seen), bool), True
-                    width = 0.0
-                else:
-                    width = GROWTH**level / np.sqrt(len(direction) + 1)
-                    counts, whole = block.collisions(at, width)
-                    over = counts >= THRESHOLD
-                new = block.rows[over & ~seen]
-                seen |= over
-                new = new[self.ids[new] != query_id]
-                self.verified += len(new)
-                rows = np.concatenate([rows, new])
-                scores = np.concatenate([scores, self.products(new, query, scaled)])
-                best = np.lexsort((self.ids[rows], -scores))[:k]
-                rows, scores = rows[best], scores[best]
-                if len(rows) == k:
-                    reach = float(np.ldexp(self.vectors[rows[-1]], -self.exponent) @ direction)
-                # The distance, in the block's scale, at which a vector would equal the k-th best.
-                distance = np.sqrt(max(0.0, 2 - 2 * reach / block.largest)) if np.isfinite(reach) and block.largest else np.inf
-                if whole or width * np.sqrt(len(direction) + 1) >= WIDTH * distance:
-                    break
-                level += 1
-            block.level = level - 1  # the next query begins a step before
-        return rows, scores
+            # The width that is enough, by the distance at which a vector would equal the k-th best.
+            needed = lambda q: WIDTH * np.sqrt(np.maximum(0, 2 - 2 * reach[q] / block.largest)) / root if block.largest else np.full(len(q), np.inf)  # noqa: E731, B023
+            for asked in np.split(waiting, range(TOGETHER, len(waiting), TOGETHER)):
+                if block.few:
+                    for q in asked:
+                        verify(q, block.rows)
+                    continue
+                width = needed(asked)
+                width[np.isinf(width)] = block.start
+                seen = np.zeros((len(asked), len(block.rows)), bool)
+                active = np.arange(len(asked))
+                while len(active):
+                    low, high = block.windows(at[asked[active]], width[active])
+                    for i, a, b in zip(active, low, high):
+                        over = block.over(a, b)
+                        verify(asked[i], block.rows[over & ~seen[i]])
+                        seen[i] |= over
+                    enough = needed(asked[active])
+                    whole = (high - low).sum(axis=1) == block.order.size
+                    more = ~whole & (width[active] < enough * (1 - 1e-12))
+                    active, enough = active[more], enough[more]
+                    width[active] = np.minimum(width[active] * GROWTH, np.where(np.isinf(enough), np.inf, enough))
+                used = needed(asked)
+                block.start = float(np.median(used[np.isfinite(used)])) if np.isfinite(used).any() else block.start
+        return found
 
 
 def best_of_part(part: Part, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
     """Each query's k best in the part, ties to the smaller id."""
-    found = [part.nearest(i, q, k) for i, q in zip(query_ids, queries)]
-    sizes = [len(rows) for rows, _ in found]
-    columns = [np.repeat(query_ids, sizes), np.concatenate([part.ids[rows] for rows, _ in found]), np.concatenate([scores for _, scores in found])]
+    found = part.nearest(query_ids, queries, k)
+    columns = [np.repeat(query_ids, [len(rows) for rows, _ in found]), np.concatenate([part.ids[rows] for rows, _ in found]), np.concatenate([scores for _, scores in found])]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "vec_id", "score"])
 
 

@@ -80,8 +80,8 @@ def test_ann_recall_by_distribution(name, vectors):
     """Recall against the exact order, for norms that are equal, spread or extreme; and most vectors are not verified."""
     exponent = int(np.frexp(np.abs(vectors).max())[1])
     part, scaled, hits, asked = ann.Part(vectors, np.arange(len(vectors)), exponent, 42), np.ldexp(vectors, -exponent), 0, range(0, len(vectors), 211)
-    for q in asked:
-        rows, scores = part.nearest(q, vectors[q], 20)
+    found = part.nearest(np.array(asked), vectors[list(asked)], 20)
+    for q, (rows, scores) in zip(asked, found):
         exact = scaled @ (scaled[q] / ann.norms_of(scaled[q][None])[0])
         exact[q] = -np.inf
         least = np.sort(exact)[-20]
