@@ -5,8 +5,12 @@ the templates are hash-joined with the benchmark's; of every document and item t
 of windows is sought that stands in the same order in both, and slots are checked over the whole chain: equal words in
 the item's slots must stand for equal words in the document's.
 
-Words lose leading and trailing ASCII punctuation and their case. A word with a digit and a number word are numbers; one
-of UNITS is a unit; one with a capital first letter that doesn't begin a sentence or line is a name.
+Words lose leading and trailing ASCII punctuation and their case. A word with a digit and a number word are numbers, and
+count by their value: 1,200 is 1200, twenty-one and "twenty one" are 21; one of UNITS is a unit; one with a capital first
+letter of any script that doesn't begin a sentence or line is a name.
+
+Items whose templates have the same tokens and the same equal slots hold each other by definition: they are one class, and
+one of them, its head, is sought for all. The others are sought by their own words alone.
 
 The join is exact and free of common windows: a document that holds `similarity` of an item's n windows holds one of any
 n - ceil(similarity * n) + 1 of them, so only an item's rarest that many are joined. Rareness is counted over all documents.
@@ -15,11 +19,13 @@ n - ceil(similarity * n) + 1 of them, so only an item's rarest that many are joi
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +41,13 @@ NUMBER_WORDS = {
     "zero": 0, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17,
     "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1000, "million": 1000000,
 }
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBER_WORDS |= {f"{ten}-{word}": NUMBER_WORDS[ten] + i + 1 for ten in TENS for i, word in enumerate("one two three four five six seven eight nine".split())}
 LITERAL, NUMBER, NAME, UNIT = range(4)
+#: By code point: the lower-case letter, where both take two bytes in UTF-8; and whether it is a capital.
+LOWER = np.array([ord(c.lower()) if c >= "\x80" and len(c.lower()) == 1 and "\x80" <= c.lower() < "\u0800" else ord(c) for c in map(chr, range(0x800))], np.uint16)
+CAPITAL = np.array([chr(c).isupper() or chr(c).istitle() for c in range(0x10000)])
+GROUPED = re.compile(rb"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?")
 PLACEHOLDERS = mixed(np.array([10, 11, 12, 13], np.uint64))
 #: Benchmarks of at most so many windows are also sent to every task, to drop windows before the join (8 bytes each).
 PREFILTER_LIMIT = 2_000_000
@@ -50,6 +62,10 @@ def plain_hash(words: list[str]) -> np.ndarray:
     return word_hashes(data, np.append(0, ends[:-1]), ends)
 
 
+COUNTED = list(NUMBER_WORDS.values())
+SPOKEN = plain_hash(list(NUMBER_WORDS)), plain_hash([str(n) for n in COUNTED])
+
+
 @dataclass
 class Texts:
     """Words and template tokens of some texts. A token is a word, or a run of numbers or names."""
@@ -63,6 +79,29 @@ class Texts:
     tokens: np.ndarray  # n+1 first-token numbers of the texts
 
 
+def first_letters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points that begin at some bytes; 0 beyond the basic plane."""
+    b0, b1, b2 = (data[np.minimum(at + i, len(data) - 1)].astype(np.int64) for i in range(3))
+    two, three = (b0 & 0x1F) << 6 | b1 & 0x3F, (b0 & 0xF) << 12 | (b1 & 0x3F) << 6 | b2 & 0x3F
+    return np.where(b0 < 0x80, b0, np.where(b0 & 0xE0 == 0xC0, two, np.where(b0 & 0xF0 == 0xE0, three, 0)))
+
+
+def spoken_number(parts: list[int]) -> int | None:
+    """The value of numbers that follow each other as one numeral (two hundred fifty, 3 million), None where they don't."""
+    total, group, least = 0, 0, 10**9  # least: what the next part has to stay below, inside a group
+    scale = 10**12
+    for i, n in enumerate(parts):
+        if n == 100 and 0 < group < 100 and i:
+            group, least = group * 100, 100
+        elif n in (1000, 1000000) and i and 0 < group < 1000 and n < scale:
+            total, group, least, scale = total + group * n, 0, 10**9, n
+        elif n < least and (n < 1000 if not i or total else n < 100) and not (group and n == 0):
+            group, least = group + n, 10 if 20 <= n < 100 and n % 10 == 0 else 0
+        else:
+            return None
+    return total + group
+
+
 def read(data: np.ndarray, offsets: np.ndarray) -> Texts:
     starts, ends, bounds = word_bounds(data, offsets)
     if not len(starts):
@@ -70,9 +109,9 @@ def read(data: np.ndarray, offsets: np.ndarray) -> Texts:
         return Texts(none, bounds, none, none, np.zeros(0, bool), np.zeros(0, np.int64), bounds)
     lower = data.copy()
     lower[(data >= 65) & (data <= 90)] += 32
-    latin = np.zeros(len(data), bool)
-    latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-    lower[latin] += 32
+    lead = np.flatnonzero(data & 0xE0 == 0xC0)
+    small = LOWER[(data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F]
+    lower[lead], lower[lead + 1] = 0xC0 | small >> 6, 0x80 | small & 0x3F
     kind = np.zeros(256, np.uint8)
     kind[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
     punctuation = kind[data] == 1
@@ -87,9 +126,9 @@ def read(data: np.ndarray, offsets: np.ndarray) -> Texts:
     stop = np.isin(data[ends - 1], np.frombuffer(b".!?:", np.uint8))
     opens[1:] = stop[:-1] | (breaks[starts[1:]] > breaks[ends[:-1]])
     opens[bounds[:-1][bounds[:-1] < len(a)]] = True
-    capital = ((data[a] >= 65) & (data[a] <= 90)) | ((data[a] == 0xC3) & latin[np.minimum(a + 1, len(data) - 1)])
+    capital = CAPITAL[first_letters(data, a)]
     own = word_hashes(lower, a, b)
-    spoken, figures = plain_hash(list(NUMBER_WORDS)), plain_hash([str(n) for n in NUMBER_WORDS.values()])
+    spoken, figures = SPOKEN
     order = np.argsort(spoken)
     place = order[np.minimum(np.searchsorted(spoken[order], own), len(order) - 1)]
     in_words = spoken[place] == own
@@ -98,12 +137,28 @@ def read(data: np.ndarray, offsets: np.ndarray) -> Texts:
     kinds[np.isin(own, plain_hash(UNITS))] = UNIT
     kinds[(digits[b] > digits[a]) | in_words] = NUMBER
     value = np.where(in_words, figures[place], own)
+    commas = np.append(0, np.cumsum(data == 44))
+    grouped = [i for i in np.flatnonzero((commas[b] > commas[a]) & (digits[b] > digits[a])) if GROUPED.fullmatch(data[a[i] : b[i]].tobytes())]
+    if grouped:
+        value[grouped] = plain_hash([data[a[i] : b[i]].tobytes().replace(b",", b"").decode() for i in grouped])
     begins = np.ones(len(own), bool)
     begins[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == LITERAL) | (kinds[1:] == UNIT)
     begins[bounds[:-1][bounds[:-1] < len(own)]] = True
     first = np.flatnonzero(begins)
     slot = kinds[first] != LITERAL
-    runs = span_hashes(prefix_sums(value, WORD_BASE), first, np.append(first[1:], len(own)), WORD_BASE)
+    after = np.append(first[1:], len(own))
+    runs = span_hashes(prefix_sums(value, WORD_BASE), first, after, WORD_BASE)
+    # Runs that are one numeral count by its value. Punctuation between two numbers parts them.
+    numerals = {}
+    for j in np.flatnonzero((kinds[first] == NUMBER) & (after - first > 1) & (np.add.reduceat(in_words, first) > 0)):
+        at = range(first[j], min(after[j], first[j] + 12))
+        texts = [data[a[i] : b[i]].tobytes() for i in at]
+        if after[j] - first[j] <= 12 and all(ends[i] == b[i] for i in at[:-1]) and all(w or t.isdigit() for w, t in zip(in_words[first[j] : after[j]], texts)):
+            number = spoken_number([COUNTED[place[i]] if in_words[i] else int(t) for i, t in zip(at, texts)])
+            if number is not None:
+                numerals[j] = number
+    if numerals:
+        runs[list(numerals)] = mixed(plain_hash([str(n) for n in numerals.values()]))
     return Texts(own, bounds, np.where(slot, PLACEHOLDERS[kinds[first]], own[first]), runs, slot, first, np.searchsorted(first, bounds))
 
 
@@ -309,14 +364,35 @@ def held_keys(widths: tuple[int, ...], keys: np.ndarray | None):
     return run
 
 
+def template_key(item: Item) -> bytes | None:
+    """What items of one class share: their template's tokens, and which of its slots are equal; None without telling windows."""
+    if not (item.token >= 0).any():
+        return None
+    values = item.texts.value[item.texts.slot]
+    _, first, which = np.unique(values, return_index=True, return_inverse=True)
+    return xxhash.xxh3_128_digest(item.texts.shape.tobytes() + first[which].astype(np.int64).tobytes())
+
+
+def templates(width: int, literals: int):
+    """Items -> with template."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [template_key(Item(text, width, literals)) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("item_id", "rep", "text")), pa.array(keys, pa.binary())], ["item_id", "rep", "text", "template"])
+
+    return run
+
+
 def windows_of_items(width: int, literals: int):
-    """Items -> (item_id, pos, n, width, key) of their windows: one row for the plain and one for the typed hash of each."""
+    """Items -> (item_id, pos, n, width, key) of their windows: one row for the plain and, of heads, one for the typed hash of
+    each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+            for item_id, text, head in zip(*(batch.column(c).to_pylist() for c in ("item_id", "text", "head"))):
                 item = Item(text, width, literals)
-                n, typed = len(item.plain), np.flatnonzero(item.token >= 0)
+                n, typed = len(item.plain), np.flatnonzero((item.token >= 0) & head)
                 pos, key = np.append(np.arange(n), typed), np.append(item.plain, item.typed[typed])
                 yield pa.RecordBatch.from_arrays([np.full(len(pos), item_id, np.int64), pos.astype(np.int32), np.full(len(pos), n, np.int32), np.full(len(pos), item.width, np.int32), key.view(np.int64)], ["item_id", "pos", "n", "width", "key"])
 
@@ -333,6 +409,8 @@ def check(width: int, literals: int, similarity: float):
                 doc = Document(t, i)
                 for x in items:
                     item = Item(x["text"], width, literals)
+                    if not x["head"]:
+                        item.token[:] = -1  # its head is sought by the template
                     found = align(item, doc, similarity)
                     if found:
                         out.append((doc_id, x["item_id"], found[0], len(item.plain), *found[1:]))
@@ -342,8 +420,26 @@ def check(width: int, literals: int, similarity: float):
     return run
 
 
+def with_heads(one: DataFrame, named: DataFrame, width: int, literals: int) -> DataFrame:
+    """one (item_id, rep, text) with head, whether it stands for its class, and n_items, the item_ids of the class (1 for others)."""
+    typed = staged(one.mapInArrow(templates(width, literals), "item_id long, rep long, text string, template binary"), "templates")
+    sizes = typed.where("template is not null").join(named.groupBy("text").agg(F.count_distinct("item_id").alias("ids")), "text")
+    classes = staged(sizes.groupBy("template").agg(F.min(F.struct("rep", "item_id")).alias("first"), F.sum("ids").alias("n")), "classes")
+    rows = typed.join(classes, "template", "left").withColumn("head", F.coalesce(F.col("first.item_id") == F.col("item_id"), F.lit(True)))
+    return staged(rows.select("item_id", "text", "head", F.when(F.col("head"), F.coalesce("n", F.lit(1))).otherwise(1).cast("long").alias("n_items")), "texts")
+
+
+def class_of(items: DataFrame, width: int = 5, literals: int = 3) -> DataFrame:
+    """item_id, head_id: of every item the smallest item_id of its class, its own where it has no telling window."""
+    ship(items.sparkSession)
+    named = items.select(F.col("item_id").cast("long"), F.col("item_id").cast("long").alias("rep"), "text").where("item_id is not null and text is not null").distinct()
+    typed = staged(named.mapInArrow(templates(width, literals), "item_id long, rep long, text string, template binary"), "templates")
+    heads = typed.where("template is not null").groupBy("template").agg(F.min("item_id").alias("head_id"))
+    return typed.join(heads, "template", "left").select("item_id", F.coalesce("head_id", "item_id").alias("head_id"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, similarity: float = 0.8, literals: int = 3) -> DataFrame:
-    """doc_id, item_id, start, n_windows, n_matched, containment, kind: the items that documents hold.
+    """doc_id, item_id, start, n_windows, n_matched, containment, kind, n_items: the items that documents hold.
 
     An item's windows are those of `width` template tokens with `literals` literal words or more; an item without any is
     matched word for word by all its windows; one of fewer than `width` words is one window. A window is matched by its
@@ -356,6 +452,10 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, similarity:
     document's word where it would begin, kind 'exact' if all that count stand there in the item's own words, else
     'reparameterised'. Otherwise the search goes on behind the chain.
 
+    Items of one class have one row by their template: that of the head, the class's smallest item_id; n_items is the number
+    of item_ids in the class. A member whose own words the document holds has a row of its own besides, of kind 'exact' and
+    with n_items 1. class_of tells the members. So many items of one template don't multiply the rows.
+
     Null items and null or empty texts match nothing; rows without a doc_id or item_id take no part. Repeated rows of a
     document or item give one result row, that of most matches. Very long texts are handled alone, whole. Other columns,
     whatever their names, are ignored. Empty tables give an empty result. Benchmarks beyond PREFILTER_LIMIT windows are
@@ -365,10 +465,11 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, similarity:
     ship(spark)
     named = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
     named = staged(named.withColumn("rep", F.min("item_id").over(Window.partitionBy("text"))), "items")
-    one = named.where("item_id = rep").select("item_id", "text").distinct()
+    one = named.where("item_id = rep").select("item_id", "rep", "text").distinct()
     # An item_id with several texts has them told apart by their hash.
     unlike = Window.partitionBy("item_id").orderBy("text")
-    one = staged(one.withColumn("item_id", F.when(F.count(F.lit(1)).over(Window.partitionBy("item_id")) == 1, F.xxhash64("item_id")).otherwise(F.xxhash64("item_id", F.row_number().over(unlike)))), "texts")
+    one = one.withColumn("item_id", F.when(F.count(F.lit(1)).over(Window.partitionBy("item_id")) == 1, F.xxhash64("item_id")).otherwise(F.xxhash64("item_id", F.row_number().over(unlike))))
+    one = with_heads(one, named, width, literals)
     targets = staged(one.mapInArrow(windows_of_items(width, literals), "item_id long, pos int, n int, width int, key long"), "targets")
     widths = tuple(sorted(r[0] for r in targets.select("width").distinct().collect()))  # at most `width` numbers
     known = targets.select("key").distinct().limit(PREFILTER_LIMIT + 1).toPandas()["key"].to_numpy(np.int64)
@@ -388,13 +489,14 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, similarity:
     rarest = staged(targets.join(rarest, ["item_id", "pos"]).select("item_id", "key").distinct(), "rarest")
     pairs = staged(hits.join(rarest, "key").select("id", "item_id").distinct(), "pairs")
     chunks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("id")) / ITEMS_AT_ONCE)
-    asked = pairs.withColumn("chunk", F.pmod(F.xxhash64("item_id"), chunks)).join(one, "item_id").groupBy("id", "chunk").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    asked = pairs.withColumn("chunk", F.pmod(F.xxhash64("item_id"), chunks)).join(one, "item_id").groupBy("id", "chunk").agg(F.collect_list(F.struct("item_id", "text", "head")).alias("items"))
     found = staged(texts.join(staged(asked.select("id", "items"), "asked"), "id").mapInArrow(check(width, literals, similarity), RESULT), "found")
     # Back to all items of each text.
-    plain = one.select(F.col("item_id").alias("own"), "text")
-    members = named.join(plain, "text").select("own", "item_id")
+    plain = one.select(F.col("item_id").alias("own"), "text", "n_items")
+    members = named.join(plain, "text").select("own", "item_id", "n_items")
     full = found.withColumnRenamed("item_id", "own").join(members, "own")
-    best = F.max(F.struct("n_matched", "n_exact", (-F.col("start")).alias("back"), "n_windows")).alias("best")
-    rows = full.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.back")).alias("start"), "best.n_windows", "best.n_matched", "best.n_exact")
+    best = F.max(F.struct("n_matched", "n_exact", (-F.col("start")).alias("back"), "n_windows", "n_items")).alias("best")
+    rows = full.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.back")).alias("start"), "best.n_windows", "best.n_matched", "best.n_exact", "best.n_items")
     kind = F.when(F.col("n_exact") == F.col("n_matched"), "exact").otherwise("reparameterised")
-    return rows.select("doc_id", "item_id", "start", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("containment"), kind.alias("kind"))
+    return rows.select("doc_id", "item_id", "start", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("containment"), kind.alias("kind"), "n_items")
+

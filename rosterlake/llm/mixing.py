@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
-#: Words of a block; words, or rows if they are very short, of a shard.
-BLOCK, SHARD_WORDS, SHARD_ROWS = 64, 2_000_000, 100_000
+#: Words of a block; words, or rows if they are very short, of a shard; rows of one id and text that share a hash.
+BLOCK, SHARD_WORDS, SHARD_ROWS, ALIKE = 64, 2_000_000, 100_000, 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -61,13 +61,28 @@ def apportion(votes: DataFrame, group: list[str], vote: str, seats: str, order:
     return (out.withColumn("quota", F.least("quota", most)) if most else out).select(*keys, "quota")
 
 
+def hashed(docs: DataFrame, seed: int, key: str | None) -> DataFrame:
+    """doc_id, source, size, h and the key of every row: h is a hash of id and text, of which no more than about ALIKE rows
+    have the same. Rows that are equal are counted, and each ALIKE of them have another hash; with a key they are dealt by it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), *([F.col(key).alias("_key")] if key else []))
+    again = F.when(F.col("part") > 0, F.xxhash64("h", "part")).otherwise(F.col("h"))
+    counted = rows.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("n"))
+    if not key:
+        parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / ALIKE))))
+        own = F.least(F.lit(ALIKE).cast("long"), F.col("n") - F.col("part") * ALIKE)
+        return parts.select("doc_id", "source", "size", again.alias("h"), F.explode(F.array_repeat(F.lit(0), own.cast("int"))).alias("_")).drop("_")
+    many = staged(counted.where(F.col("n") > ALIKE).select(F.col("h").alias("_h"), "n"), "alike").groupBy("_h").agg(F.sum("n").alias("n"))
+    rows = rows.join(many, F.col("h") == F.col("_h"), "left")
+    part = F.coalesce(F.pmod(F.xxhash64("_key"), F.ceil(F.col("n") / ALIKE)), F.lit(0).cast("long"))
+    return rows.withColumn("part", part).select("doc_id", "source", "size", again.alias("h"), "_key")
+
+
 def quotas_of(docs: DataFrame, seed: int, share: float, epochs: int, weights: tuple[int, ...], key: str | None) -> tuple[DataFrame, DataFrame]:
     """(documents with shard, cells): a cell is a source's shard with its words, quota, passes over all of it, and rest.
 
-    Shards are of about SHARD_WORDS words, by hash of id and text, so that rows of one id are spread too; a longer
-    document makes its shard longer."""
-    own = [F.col(key).alias("_key")] if key else []
-    sized = staged(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), *own), "sizes")
+    Shards are of about SHARD_WORDS words, by hash of id and text, so that rows of one id are spread too, as are rows of one
+    id and text; a longer document makes its shard longer. Sources are dealt with in one task: one row a source."""
+    sized = staged(hashed(docs, seed, key), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     aims = staged(targets(totals, share, epochs, weights), "targets")
     quotas = apportion(aims.withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / BLOCK).cast("long")), [], "target", "blocks", [F.asc_nulls_last("source")])
@@ -91,7 +106,7 @@ def mix(docs: DataFrame, seed: int = 42, share: float = SHARE, epochs: int = EPO
 
     Sources in order of code points, null last, weigh `weights`, repeating; a null source is one of its own. taken counts
     the words that the mix takes of a document, repeats included, at most `epochs` times its size. A null or empty text
-    has size 0 and takes 0. Rows with equal ids and texts fall in the same shard, side by side. A source's taken
+    has size 0 and takes 0. Rows with equal ids and texts stand side by side in a shard, ALIKE of them at most. A source's taken
     words come within a block and a shard's rounding of its target. Reruns, and other partitionings, agree. Very long
     texts span many blocks. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """

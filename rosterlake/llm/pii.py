@@ -9,8 +9,8 @@ Bootstrapping: base spans are seeds. Patterns are the two whole words before a v
 Every round induces, for each kind, the patterns that enough distinct known values of it have, scores them by the
 confidence of their values over all places in the corpus where another word stands next to the pattern, and scores
 values (words with a digit or @) by noisy-or of the trusted patterns around them. Values that reach the threshold are
-known from then on and induce patterns in the next round. Those of the last round are spans of their kind wherever
-they stand.
+known from then on and induce patterns in the next round, until nothing grows any more. Those of the last round are spans of
+their kind wherever they stand.
 """
 
 from __future__ import annotations
@@ -27,8 +27,12 @@ LOCAL = r"A-Za-z0-9._%+-"
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 EXTRA = "array<struct<start:int,order:int,kind:string,end:int,value:string,left:string,right:string>>"
-#: Distinct known values that a pattern needs, rounds, the score that makes a pattern trusted, and the one that makes a value known.
-MIN_SUPPORT, ROUNDS, TRUST, THRESHOLD = 5, 4, 0.5, 0.9
+#: Distinct known values that a pattern needs, the score that makes a pattern trusted, and the one that makes a value known.
+MIN_SUPPORT, TRUST, THRESHOLD = 5, 0.5, 0.9
+#: Rounds end where confidences grow by less than this share, and no value or pattern is new.
+SETTLED = 1e-3
+#: Up to so many patterns are sent to every task; two words each, so a few megabytes.
+SENT_PATTERNS = 50_000
 #: Elements that a running sum takes at a time; private-use characters that stand for a blank or full stop, and for a hyphen.
 CHUNK, MASK, MASK_2 = 128, "\ue000", "\ue001"
 
@@ -175,15 +179,25 @@ def scan(docs: DataFrame) -> DataFrame:
 def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """side, pair, total: how often each pair of words stands before another word (left) or behind one (right).
 
-    Every pair of neighbouring words is probed against the patterns; Spark picks the join by the size of their table."""
+    Every pair of neighbouring words is probed against the patterns. Where they are too many to be sent to each task, pairs
+    are counted before they are shuffled, so a frequent one is a row a task, not a row a place."""
     texts = docs.select(words(F.lower("text")).alias("words")).where(F.size("words") > 2)
     n = F.size("words") - 1
     pairs = texts.select(n.alias("n"), F.posexplode(F.arrays_zip(F.slice("words", F.lit(1), n).alias("one"), F.slice("words", F.lit(2), n).alias("two"))).alias("at", "pair"))
     pairs = pairs.select(F.concat_ws(" ", "pair.one", "pair.two").alias("pair"), (F.col("at") < F.col("n") - 1).cast("long").alias("left"), (F.col("at") > 0).cast("long").alias("right"))
-    sums = pairs.join(patterns.select("pair").distinct(), "pair").groupBy("pair").agg(F.sum("left").alias("left"), F.sum("right").alias("right"))
+    wanted, counts = patterns.select("pair").distinct(), [F.sum(c).alias(c) for c in ("left", "right")]
+    if wanted.count() <= SENT_PATTERNS:
+        sums = pairs.join(F.broadcast(wanted), "pair").groupBy("pair").agg(*counts)
+    else:
+        sums = pairs.groupBy("pair").agg(*counts).join(wanted, "pair")
     return sums.unpivot("pair", ["left", "right"], "side", "total").where("total > 0")
 
 
+def grown(now: tuple[int, float, int], before: tuple[int, float, int]) -> bool:
+    """Whether a round has found more known values or trusted patterns, or raised the confidences by SETTLED in all."""
+    return now[0] > before[0] or now[2] > before[2] or now[1] > before[1] * (1 + SETTLED)
+
+
 def bootstrap(docs: DataFrame, seen: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
     """value, kind of the identifiers that trusted patterns discover; None if there are none.
 
@@ -198,8 +212,8 @@ def bootstrap(docs: DataFrame, seen: DataFrame, min_support: int = MIN_SUPPORT,
     places = staged(edges.groupBy(*key).agg(F.sum("n").alias("places")), "places")
     sure = edges.where("kind is not null").withColumn("confidence", F.lit(1.0))
     unsure = edges.where("kind is null").drop("kind")
-    totals, values = None, None
-    for _ in range(ROUNDS):
+    totals, values, known = None, None, (0, 0.0, 0)
+    while True:
         believed = sure if values is None else sure.unionByName(unsure.join(values, "value").select(*sure.columns))
         support = F.count_distinct(F.when(F.col("confidence") >= threshold, F.col("value"))).alias("support")
         patterns = believed.groupBy(*key, "kind").agg(support, F.sum(F.col("n") * F.col("confidence")).alias("weight"))
@@ -213,8 +227,13 @@ def bootstrap(docs: DataFrame, seen: DataFrame, min_support: int = MIN_SUPPORT,
             return None
         trusted = patterns.join(totals, key).select(*key, "kind", F.least(F.lit(0.999), F.col("weight") / F.col("total")).alias("score")).where(F.col("score") >= TRUST)
         values = staged(unsure.join(trusted, key).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("confidence")), "values")
-        if values.where(F.col("confidence") >= threshold).isEmpty():
+        sums = [F.count_if(F.col("confidence") >= threshold).alias("found"), F.sum("confidence").alias("total")]
+        state = (*values.agg(*sums).first(), trusted.count())
+        if not state[0]:
             return None
+        if not grown(state, known):
+            break
+        known = state
     return values.where(F.col("confidence") >= threshold).groupBy("value").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
 
 
@@ -225,7 +244,8 @@ def find_pii(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float =
     and empty texts have none. Repeated rows give equal results each, and count each in the graph; rows that share a
     doc_id but not a text are told apart by the text. Null ids stay. Very long texts are scanned whole, without
     recursion, in time that grows with their length. Patterns and values that tie keep the last kind by name. Other
-    columns, whatever their names, are ignored. An empty table gives an empty result.
+    columns, whatever their names, are ignored. An empty table gives an empty result. Contexts are followed over as many
+    rounds as add values, patterns or confidence.
     """
     seen = staged(scan(docs), "spans")
     found = bootstrap(docs.select("text"), seen, min_support, threshold)

@@ -1,6 +1,7 @@
 """Toxicity by a weighted lexicon.
 
-Texts and lexicon are folded alike: case, look-alike letters of other scripts, and digits or signs in place of letters.
+Texts and lexicon are folded alike: compatibility forms, accents and case, look-alike letters of other scripts, digits or
+signs in place of letters, doubled letters, and letters spelled one by one.
 One Aho-Corasick automaton finds all entries, whole words and word beginnings, in one pass; hits inside an exception
 phrase don't count. The sum of weights is normalised by the text's length and turned into a probability by a logistic
 curve. Weights, exception phrases and curve are learned from labelled rows; a short fixed list serves without labels.
@@ -9,6 +10,8 @@ curve. Weights, exception phrases and curve are learned from labelled rows; a sh
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,13 +27,48 @@ from .common import ship, slices, staged
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 LOOK_ALIKE = dict(
     zip(
-        "абвгеёзикмнорстухуѕіјԁԛԝьАВЕЗКМНОРСТУХЅІЈαβεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ０１３４５７",
-        "abbreeeukmhopctyxysijdqwbabeekmhopctyxsijabeikvoptuxabezhikmnoptyxoieast",
+        "абвгеёзикмнорстухуѕіјԁԛԝьАВЕЗКМНОРСТУХЅІЈһѵԍӏαβεικνορτυχηωγΑΒΕΖΗΙΚΜΝΟΡΤΥΧոսօցհլվᏀᎠᎢᎪᎬᎷᏒᏚᏞᏟᏢᏴ",
+        "abbreeeukmhopctyxysijdqwbabeekmhopctyxsijhvgiabeikvoptuxnwyabezhikmnoptyxnuoqhlvcdtaemrslcpb",
     )
 )
-SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "$": "s", "@": "a", "|": "i", "l": "i", "L": "i", "​": None, "‌": None, "‍": None, "­": None}
-FOLD = {ord(c): " " for c in "\t\n\x0b\x0c\r!\"#%&'()*+,-./:;<=>?[\\]^_`{}~–—“”„«»…¿¡"}
-FOLD |= {c: chr(c + 32) for c in range(65, 91)} | {ord(k): v for k, v in (LOOK_ALIKE | SIGNS).items()}
+SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "$": "s", "@": "a", "|": "i", "!": "i", "l": "i", "L": "i", "€": "e", "£": "l"}
+#: Between words, or at the end of one, where signs are no letters.
+STOPS = "\"#%&'()*+,-./:;<=>?[\\]^_`{}~–—“”„«»…¿¡"
+#: Letters with strokes, hooks or without dots, small capitals, and letters in circles or squares, by their names.
+NAMED = re.compile(r"(?:LATIN (?:SMALL|CAPITAL) LETTER (?:DOTLESS |LONG |OPEN |TURNED |REVERSED )?([A-Z])(?: WITH .*)?|LATIN LETTER SMALL CAPITAL ([A-Z])|(?:NEGATIVE )?(?:CIRCLED|SQUARED) LATIN CAPITAL LETTER ([A-Z])|REGIONAL INDICATOR SYMBOL LETTER ([A-Z]))")
+
+
+def letter(c: str) -> str | None:
+    """The Latin letter that a character stands for, or None for those without a form (marks, joiners)."""
+    plain = unicodedata.normalize("NFKD", c)
+    out = "".join(LOOK_ALIKE.get(x, x) for x in plain if unicodedata.category(x) not in ("Mn", "Me", "Cf"))
+    if len(out) == 1 and ord(out) > 127:
+        named = NAMED.fullmatch(unicodedata.name(out, ""))
+        out = next(x for x in named.groups() if x).lower() if named else out
+    return "".join(LOOK_ALIKE.get(x, SIGNS.get(x, x)) for x in out.lower()) or None
+
+
+class Folding(dict):
+    """Code point -> what it counts as, found out when it is first met."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        found = " " if c in "\t\n\x0b\x0c\r " or c in STOPS or unicodedata.category(c)[0] == "Z" else letter(c)
+        self[code] = found
+        return found
+
+
+FOLD = Folding()
+#: Signs at the end of a word end it; letters spelled one by one are a word.
+ENDING, SPELLED = re.compile(r"[!|$]+(?=[\s\"').,;:?!|$]|$)"), re.compile(r"(?<= )\w(?: \w){2,}(?= )")
+
+
+def single(text: str) -> str:
+    """Latin letters that follow themselves count once."""
+    ascii = text.isascii()
+    codes = np.frombuffer(text.encode("ascii" if ascii else "utf-32-le"), np.uint8 if ascii else "<u4")
+    again = np.flatnonzero((codes[1:] == codes[:-1]) & (codes[1:] >= 97) & (codes[1:] <= 122))
+    return np.delete(codes, again + 1).tobytes().decode("ascii" if ascii else "utf-32-le") if len(again) else text
 #: Without labels: plain insults, all of one weight.
 DEFAULT_LEXICON = {w: 5.0 for w in "idiot moron stupid loser scum worthless pathetic disgusting imbecile bastard".split()}
 #: Without labels: harmless phrases around such words.
@@ -40,7 +78,9 @@ PREFIX = 5
 
 
 def fold(text: str) -> str:
-    return f" {text.translate(FOLD).lower()} "
+    """Look-alikes by their letter, without accents and marks, in lower case; "i d i o t", "iidiot" and "id!ot" are one word."""
+    out = f" {ENDING.sub(' ', text).translate(FOLD)} "
+    return SPELLED.sub(lambda m: m[0].replace(" ", ""), single(out))
 
 
 @dataclass(frozen=True)

@@ -215,6 +215,20 @@ def test_pii_discovered_values_induce_patterns(spark):
     assert found[300] == found[301] == [("phone", "ext-99")] and 302 not in found and all(found[d] == [("phone", f"ext-{d % 100}5")] for d in (*range(100, 106), *range(200, 206)))
 
 
+def test_pii_follows_a_long_chain_of_contexts(spark, monkeypatch):
+    """Seven contexts, each induced by the values of the one before; with patterns sent to the tasks and without."""
+    rows = [(i, f"my direct line {'+1 (988) 555-%d' % (1000 + i)} x{i} y{i}") for i in range(60)] + [(100 + i, f"my direct line e{i}0 end{i}") for i in range(6)]
+    letters = lambda n: "".join(chr(97 + int(x)) for x in str(n))
+    for step in range(6):
+        left, known = f"s{letters(step)} t{letters(step)}", [f"{left_} e{i}{step} u{letters(1000 * step + 20 * i + j)} v{letters(1000 * step + 20 * i + j)}" for left_ in [f"s{letters(step)} t{letters(step)}"] for i in range(6) for j in range(20)]
+        rows += [(1000 * (step + 1) + n, text) for n, text in enumerate(known)] + [(9000 + 10 * step + i, f"{left} e{i}{step + 1} off{letters(10 * step + i)}") for i in range(6)]
+    want = {f"e{i}{step}" for i in range(6) for step in range(7)}
+    for sent in (pii.SENT_PATTERNS, 0):
+        monkeypatch.setattr(pii, "SENT_PATTERNS", sent)
+        got = pii.find_pii(frame(spark, rows), threshold=0.6).select(F.explode("extra.value").alias("v")).distinct().collect()
+        assert {r.v for r in got} == want
+
+
 def brute_words(text, last):
     glued, own = text and text[-1 if last else 0] not in " \t\n\x0b\x0c\r", words(text)
     own = (own[:-1] if last else own[1:]) if glued else own
@@ -245,7 +259,8 @@ def brute_discovery(texts, min_support, threshold):
     for k, v, *key in instances:
         if totals.get(tuple(key)):
             at.setdefault(tuple(key), []).append((k, v))
-    for _ in range(pii.ROUNDS):
+    known = (0, 0.0, 0)
+    while True:
         scores = {}
         for key, there in at.items():
             options = []
@@ -261,8 +276,10 @@ def brute_discovery(texts, min_support, threshold):
             kind, score = scores[key]
             miss[kind, v] = miss.get((kind, v), 1.0) * (1 - score)
         confidence = {key: 1 - m for key, m in miss.items()}
-        if not any(c >= threshold for c in confidence.values()):
+        state = sum(c >= threshold for c in confidence.values()), sum(confidence.values()), len(scores)
+        if not state[0] or not pii.grown(state, known):
             break
+        known = state
     return {v: max((c, k) for (k, w), c in confidence.items() if w == v)[1] for (_, v), c in confidence.items() if c >= threshold}
 
 

@@ -169,6 +169,56 @@ def test_mixing_edges(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def seats(votes, n):
+    """Sainte-Laguë by its definition: seat after seat; ties to the earlier."""
+    won = [0] * len(votes)
+    for _ in range(n):
+        best = max(range(len(votes)), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
+        if not votes[best]:
+            break
+        won[best] += 1
+    return won
+
+
+def test_mixing_takes_what_the_definition_says(spark, monkeypatch):
+    """taken of every row, by the same hashes, over several shards, with equal rows and a group of them beyond ALIKE."""
+    for name, value in (("SHARD_WORDS", 3000), ("SHARD_ROWS", 120), ("ALIKE", 30)):
+        monkeypatch.setattr(mixing, name, value)
+    rng = random.Random(11)
+    rows = [(rng.choice([i, i, None]), "w " * rng.choice([0, 1, 5, 40, 130, 300]), rng.choice(["a", "a", "b", None])) for i in range(260)] + [(None, "hot row", "b")] * 200 + [(5, "x " * 30, "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted((tuple(r) for r in mixing.mix(docs).select("doc_id", "source", "size", "target", "taken").collect()), key=str)
+    line = [tuple(r) for r in mixing.hashed(docs, 42, None).select("doc_id", "source", "size", "h", F.xxhash64(F.lit(44), "h").alias("o")).collect()]
+    assert max(sum(x[3] == h for x in line) for h in {x[3] for x in line}) <= 30
+    names = sorted({x[1] for x in line}, key=lambda s: (s is None, s))
+    size = {s: sum(x[2] for x in line if x[1] == s) for s in names}
+    target = {s: next(r[3] for r in got if r[1] == s) for s in names}
+    blocks = round(sum(target.values()) / 64)
+    quota = dict(zip(names, seats([target[s] for s in names], blocks)))
+    want = []
+    for s in names:
+        own = [x for x in line if x[1] == s]
+        n = max(1, math.ceil(max(size[s] / 3000, len(own) / 120)))
+        shards = [[x for x in own if x[3] % n == k] for k in range(n)]
+        used = [k for k in range(n) if shards[k]]
+        share = dict(zip(used, seats([sum(x[2] for x in shards[k]) for k in used], quota[s])))
+        for k in used:
+            shard = sorted(shards[k], key=lambda x: (x[4], x[0] is not None, x[0] or 0, x[3], x[2]))
+            words = sum(x[2] for x in shard)
+            need = min(share[k] * 64, words * 2)
+            passes, rest = divmod(need, words) if words else (0, 0)
+            order = spark.range(-(-words // 64)).select("id", F.xxhash64(F.lit(43), F.lit("\0" if s is None else s), F.lit(k).cast("long"), "id").alias("o")).orderBy("o", "id").collect() if rest else []
+            gives = {}
+            for b in order:
+                gives[b.id] = min(64, words - b.id * 64, rest - sum(gives.values()))
+            at = 0
+            for d, _, z, _, _ in shard:
+                extra = sum(max(0, min(at + z, b * 64 + g) - max(at, b * 64)) for b, g in gives.items())
+                want.append((d, s, z, target[s], passes * z + extra))
+                at += z
+    assert got == sorted(want, key=str)
+
+
 def test_pipeline_mix_takes_rows_without_or_with_equal_ids(spark):
     rows = [(None, f"a{i} " * 50, "a") for i in range(400)] + [(7, f"b{i} " * (30 + i % 40), "b") for i in range(400)] + [(1000 + i, "c " * 50, "c") for i in range(400)]
     rows += [(None, "same words here", "a")] * 300 + [(None, "", "a"), (3, None, "b"), (4, " ", "c")]
@@ -249,6 +299,71 @@ def test_toxicity_fold_and_exceptions(spark):
     assert toxicity.score(rows.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("spelling", ["ｉｄｉｏｔ", "ídiot", "𝐢𝐝𝐢𝐨𝐭", "𝓲𝓭𝓲𝓸𝓽", "id!ot", "iidiot", "i d i o t", "i.d.i.o.t", "IDIOT", "ıdiot", "ⓘⓓⓘⓞⓣ", "🅸🅳🅸🅾🆃", "i\u200bd\u00adiot", "ɪᴅɪᴏᴛ", "1d10t", "iđiot", "idiot!!", "i̇d̶i̇o̶t̶"])
+def test_toxicity_spellings(spelling):
+    automaton = toxicity.default_model().automaton()
+    plain = toxicity.strength("well you are an idiot so there it is", automaton)
+    assert plain > 0 and toxicity.strength(f"well you are an {spelling} so there it is", automaton) == plain
+    assert toxicity.fold("It is a fine day! A big tree, 7 oaks") == toxicity.fold("it is a fine day a big tre t oaks").replace("day", "day ").replace("tre", "tre ")
+
+
+def strength_by_hand(text, model):
+    """Every entry looked for at every place."""
+    folded = toxicity.fold(text)
+    places = lambda e: [i for i in range(len(folded)) if folded.startswith(e, i)]
+    hits = {}
+    for entry, weight in model.weights.items():
+        if entry not in model.exceptions:
+            for i in places(entry):
+                hits[i] = max(hits.get(i, 0.0), weight)
+    for phrase in model.exceptions:
+        for i in places(phrase):
+            hits = {h: w for h, w in hits.items() if not i <= h < i + len(phrase) - 1}
+    return math.log1p(1000 * sum(hits.values()) / (len(folded.split()) + 20))
+
+
+def test_toxicity_strength_equals_every_place():
+    rng = random.Random(2)
+    words = ["scum", "pond", "scums", "idiot", "a", "trash", "can", "cans", "idiotic", "fine", "ídiot"]
+    model = toxicity.Model({" scum ": 2.0, " scum": 1.0, " idiot": 3.5, " trash ": 1.25, " can ": 0.5}, (" pond scum ", " trash can ", " can "))
+    automaton = model.automaton()
+    for _ in range(300):
+        text = rng.choice(["", " ", ", "]).join(rng.choices(words, k=rng.randrange(0, 12))) if rng.random() < 0.2 else " ".join(rng.choices(words, k=rng.randrange(0, 14)))
+        assert toxicity.strength(text, automaton) == pytest.approx(strength_by_hand(text, model), abs=1e-12)
+
+
+def test_toxicity_learns_what_counting_finds(spark):
+    """Weights and exceptions by their definition over plain lists: copies share a sketch and count once."""
+    import xxhash
+
+    rng = random.Random(8)
+    clean, bad = [f"w{chr(97 + i)}x" for i in range(20)], ["grimble", "snarkword", "zzad"]
+    rows = []
+    for i in range(240):
+        toxic = int(i % 3 == 0)
+        text = rng.choices(clean, k=15) + (rng.choices(bad, k=2) if toxic else []) + (["pond", "zzad"] if not toxic and i % 5 == 1 else [])
+        rows.append((i, " ".join(rng.sample(text, len(text)) if toxic else text), toxic))
+    rows += [(1000 + i, rows[0][1], 1) for i in range(30)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(d, x) for d, _, x in rows], "doc_id long, toxic int"))
+    seen = set()
+    for _, text, toxic in rows:
+        words = toxicity.fold(text).split()
+        sketch = min(xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 7) >> 1 for i in range(max(1, len(words) - 2)))
+        for e in {f" {w} " for w in words} | {f" {w[:5]}" for w in words if len(w) > 5} | {f" {a} {b} " for a, b in zip(words, words[1:])}:
+            seen.add((sketch, toxic, e))
+    size = [len({s for s, t, _ in seen if t == label}) for label in (0, 1)]
+    count = {}
+    for _, t, e in seen:
+        count.setdefault(e, [0, 0])[t] += 1
+    odds = lambda e: math.log((count[e][1] + 0.5) / (size[1] + 1)) - math.log((count[e][0] + 0.5) / (size[0] + 1))
+    weights = {e: odds(e) for e in count if count[e][1] >= 10 and len(e.split()) == 1 and odds(e) >= math.log(8)}
+    whole = {e.strip() for e in weights if e.endswith(" ")}
+    pairs = sorted(e for e in count if count[e][1] == 0 and count[e][0] >= 3 and len(e.split()) == 2 and whole & set(e.split()))
+    assert model.weights == {e: pytest.approx(w, abs=1e-6) for e, w in weights.items()} and list(model.exceptions) == pairs
+    assert {" zad "} <= set(weights) and " pond zad " in pairs
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")) == toxicity.default_model()
@@ -260,6 +375,18 @@ def test_toxicity_held_out(spark):
     rows = queries.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for r in rows)
     held = [r for r in rows if r.held_out]
+    # Order and calibration on rows never learned from.
+    ranked = sorted(held, key=lambda r: r.score)
+    positive, below, area = sum(r.toxic for r in held), 0.0, 0.0
+    for score in sorted({r.score for r in ranked}):
+        same = [r.toxic for r in ranked if r.score == score]
+        area += sum(same) * (below + (len(same) - sum(same)) / 2)
+        below += len(same) - sum(same)
+    assert area / (positive * (len(held) - positive)) >= 0.95
+    assert abs(sum(r.score for r in held) - positive) / len(held) <= 0.02
+    for low, high in ((0.0, 0.2), (0.8, 1.01)):
+        part = [r for r in held if low <= r.score < high]
+        assert abs(sum(r.score for r in part) - sum(r.toxic for r in part)) / len(part) <= 0.1
     good = sum(r.predicted == r.toxic for r in held) / len(held)
     caught = sum(r.predicted for r in held if r.toxic) / sum(r.toxic for r in held)
     # Some labels call texts toxic that hold no toxic word at all; those that hold a plain insult are all caught.
@@ -446,6 +573,41 @@ def test_decontamination_is_all_pairs_by_brute_force(spark):
     assert got == {k: (n, n == same, total) for k, (n, same, total) in expected.items()} and len(got) > 40
 
 
+@pytest.mark.parametrize(
+    "parts, value",
+    [([2, 100, 50], 250), ([20, 1], 21), ([3, 1000000], 3000000), ([2, 1000, 5, 100, 6], 2506), ([1, 1000000, 2, 1000], 1002000), ([5, 6], None), ([20, 30], None), ([100, 5], None), ([1000, 1000000], None), ([12, 5], None), ([40, 2, 3], None), ([999, 1000], 999000), ([7], 7)],
+)
+def test_numerals(parts, value):
+    assert decontamination.spoken_number(parts) == value
+
+
+def test_decontamination_numbers_and_names(spark):
+    """Numbers by value, however they are written, and names of any script."""
+    own = "when Anna from the old town had 12 apples and sold some of them to the farmer who kept 1,200 pears and 1200 plums in his barn she then asked him for 12 more apples and he said that 250 of the 1200 plums were gone by noon"
+    spelled = own.replace("250", "two hundred fifty").replace("12 ", "twenty-one ").replace("Anna", "Łucja")
+    other = own.replace("12 apples", "21 apples").replace("12 more", "twenty one more").replace("Anna", "Ωmega").replace("1,200", "1300").replace("1200", "1,300")
+    torn = own.replace("1,200", "1,300")
+    docs = [(1, own.replace("1200", "1,200")), (2, spelled), (3, other), (4, torn), (5, own.replace("Anna", "Жанна").replace("1,200", "five thousand").replace("1200", "5,000"))]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, own)], "item_id long, text string")
+    got = {r.doc_id: (r.kind, r.containment) for r in decontamination.contaminated(*frames).collect()}
+    assert set(got) == {1, 2, 3, 5} and all(kind == "reparameterised" and share > 0.95 for kind, share in got.values())
+
+
+def test_decontamination_of_one_template(spark):
+    """Four hundred items of one template, a hundred documents with other values, and some with an item's own: a row a document."""
+    ask = "what is {} plus {} when you add them up and write down the sum"
+    items = [(i, ask.format(i + 1000, i + 2000)) for i in range(400)] + [(900, ask.format(5000, 5000)), (901, ask.format(1000, 2000))]
+    docs = [(d, f"lead in {ask.format(d + 7000, d + 8001)} out") for d in range(100)] + [(500 + d, f"so {items[d][1]} end") for d in range(0, 400, 50)] + [(600, ask.format(8, 8))]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.kind, r.n_items) for r in decontamination.contaminated(*frames).collect()}
+    want = {(d, 0): ("reparameterised", 401) for d in range(100)} | {(500 + d, 0): ("reparameterised" if d else "exact", 401) for d in range(0, 400, 50)} | {(500 + d, d): ("exact", 1) for d in range(50, 400, 50)}
+    # Item 901 is item 0 word for word; 900 has two equal slots and is a class of its own.
+    want |= {(500, 901): ("exact", 401), **{(500 + d, 901): ("reparameterised", 401) for d in range(50, 400, 50)}, **{(d, 901): ("reparameterised", 401) for d in range(100)}, (600, 900): ("reparameterised", 1)}
+    assert {k: v for k, v in got.items() if k != (600, 0) and k != (600, 901)} == want
+    heads = {r.item_id: r.head_id for r in decontamination.class_of(frames[1]).collect()}
+    assert heads == {i: 0 for i in [*range(400), 901]} | {900: 900}
+
+
 def test_decontamination_of_hot_windows(spark):
     """One passage in every document and every item: no row for each pair of them."""
     passage = "what is the best answer to this question out of the four that follow here"
