@@ -2,33 +2,39 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and its result is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents, with whatever other columns
-docs has. Every row is judged by itself: stages that compare rows number them first, so that rows without an id, or
+docs has. Every row is judged by itself: stages that compare rows know them by id and text, so that rows without an id, or
 with one that others have, are treated like any other. An empty table gives an empty result in every stage. Tables that
 only lead to a stage's decisions are deleted once those are written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.llm import decontamination, mixing, near_copies, token_frames, toxicity
 from rosterlake.llm.common import staged
 from rosterlake.llm.queries import table, tokenizer_path, toxicity_model
-from rosterlake.staging import passing
+from rosterlake.staging import delete, new_folder, passing
+
+#: What tells rows apart here, besides the columns of docs; columns of these names in docs would clash.
+KEY = ["__id__", "__text__"]
+
 
-#: The row number that stages add; a column of this name in docs would clash with it.
-ROW = "__row__"
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with KEY: the id, and XXH64 of the text, null like empty. Rows of one key are copies under one id, or none."""
+    return docs.withColumns({"__id__": F.col("doc_id").cast("long"), "__text__": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with ROW, written, so that a task that runs again can't number its rows anew."""
-    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def same(left: str, right: str, columns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
-def by_row(rows: DataFrame) -> DataFrame:
-    """What the operators read, with the row number for an id."""
-    return rows.select(F.col(ROW).alias("doc_id"), "text")
+def those_in(docs: DataFrame, keys: DataFrame, columns: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose columns are in keys, nulls like values; or, left_anti, those whose aren't."""
+    return docs.alias("d").join(keys.alias("k"), same("d", "k", columns), how)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,27 +51,30 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each component of near copies (five-word Jaccard 0.8 or more; op8's own parameters, three words and
     three bits, are its contract alone): the one of the smallest doc_id, null last, then of the smallest text hash.
 
-    Null, empty and blank texts are copies of each other: one stays. Equal rows are copies, with or without ids."""
-    rows = numbered(docs)
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("h"), ROW)
+    Null, empty and blank texts are copies of each other: one stays. Equal rows are copies, with or without ids. Texts
+    are known by their hash, and what is kept of them by hash and id, so no numbered copy of the corpus is written."""
     with passing(spark):
-        groups = near_copies.near_copies(by_row(rows)).select(F.col("doc_id").alias(ROW), "component_id")
-        order = rows.select(ROW, first.alias("first"))
-        kept = groups.join(order, ROW).groupBy("component_id").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+        rows = keyed(docs)
+        counts = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows"))
+        groups = near_copies.near_copies(rows.select(F.col("__text__").alias("doc_id"), "text")).select(F.col("doc_id").alias("__text__"), "component_id").distinct()
+        first = F.min(F.struct(F.col("__id__").isNull().alias("none"), *KEY, "rows")).alias("first")
+        kept = counts.join(staged(groups, "groups"), "__text__").groupBy("component_id").agg(first).select("first.*")
         kept = staged(kept, "kept", lasting=True)
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    single = those_in(rows, kept.where("rows = 1"), KEY)
+    several = those_in(rows, kept.where("rows > 1"), KEY).dropDuplicates(KEY)
+    return single.unionByName(several).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, judged by their texts alone; null and empty texts hold none.
 
-    As equal texts are judged alike, rows are known by XXH64 of their texts here, and need no number."""
-    key = F.xxhash64("text")
+    As equal texts are judged alike, rows are known by XXH64 of their texts here."""
+    rows = keyed(docs)
     with passing(spark):
-        texts = docs.where("text is not null").select(key.alias("doc_id"), "text")
-        leaks = decontamination.contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(ROW)).distinct()
+        texts = rows.where("text is not null").select(F.col("__text__").alias("doc_id"), "text")
+        leaks = decontamination.contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__text__")).distinct()
         leaks = staged(leaks, "leaks", lasting=True)
-    return docs.withColumn(ROW, F.when(F.col("text").isNotNull(), key)).join(leaks, ROW, "left_anti").select(*docs.columns)
+    return rows.join(leaks, "__text__", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,10 +82,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Reruns agree but for which of several equal rows is meant. Rows without words stay out: the mix takes nothing of
     them, whatever their source's target. A very long document is taken whole or not at all."""
-    rows = numbered(docs)
+    own = [*KEY, "__source__"]
+    rows = keyed(docs).withColumn("__source__", F.col("source").cast("string"))
+    several = staged(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "several", lasting=True)
+    # Only rows that others equal need a number to be told apart: those are written with it.
+    equal = staged(those_in(rows, several, own).withColumn("__row__", F.monotonically_increasing_id()), "equal", lasting=True)
+    rows = those_in(rows, several, own, "left_anti").withColumn("__row__", F.lit(None).cast("long")).unionByName(equal)
     with passing(spark):
-        copies = staged(mixing.whole_copies(rows, ROW).where("copies > 0").withColumnRenamed("copies", "__copies__"), "copies", lasting=True)
-    return rows.join(copies, ROW).withColumn("__copy__", F.explode(F.sequence(F.lit(1), "__copies__"))).select(*docs.columns)
+        told = rows.withColumn("__key__", F.struct(*own, "__row__"))
+        copies = mixing.whole_copies(told, "__key__").where("copies > 0").select("__key__.*", F.col("copies").alias("__copies__"))
+        copies = staged(copies, "copies", lasting=True)
+    each = F.explode(F.sequence(F.lit(1), "__copies__"))
+    return rows.alias("d").join(copies.alias("k"), same("d", "k", [*own, "__row__"])).select("d.*", "k.__copies__").withColumn("__copy__", each).select(*docs.columns)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,7 +109,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another. What a stage has read is deleted once its own rows are written."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        folder = new_folder(spark, name)
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(folder)
+        docs = spark.read.schema(out.schema).parquet(folder)
+        if read:
+            delete(spark, read)
+        read = folder
     return docs
