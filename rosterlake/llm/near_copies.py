@@ -11,8 +11,8 @@ Candidates are tested twice. Parity sketches, about a bit a shingle, differ in n
 elements, so too many differing bits rule a pair out and no link is lost; what is left is confirmed on the whole sets,
 which only their texts give.
 
-A group of copies is no set of all its pairs: first each set is confirmed with one other of its key; pairs inside one
-component need no test any more, and what is left between components is tested pair by pair.
+A group of copies is no set of all its pairs: first each set is confirmed with one other of its keys, then with one of each
+key; pairs inside one component need no test any more, and what is left between components is tested pair by pair.
 """
 
 from __future__ import annotations
@@ -228,12 +228,17 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         roots = components(links)
         return roots, staged(shared.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", "n", F.coalesce("root", "set").alias("root")), "placed")
 
-    # A star a key: each set with the key's first one.
-    roots, at = placed()
+    # A star a key: each set with the key's first one. Of all stars that a set is in, that of the first centre counts alone
+    # at first, which joins most of a large group at a pair a set; then those that still lead to another component.
     first = F.min(F.struct(F.xxhash64("set").alias("h"), F.col("set").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))).alias("first")
-    stars = at.join(staged(at.groupBy("key").agg(first), "first"), "key").select(F.col("set").alias("a"), "n", "root", "first.b", "first.m", "first.r")
-    pairs = stars.where((F.col("root") != F.col("r")) & near(F.col("n"), F.col("m"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = staged(links.unionByName(one_of(pairs)), "links")
+    for alone in (True, False):
+        roots, at = placed()
+        stars = at.join(staged(at.groupBy("key").agg(first), "first"), "key").select(F.col("set").alias("a"), "n", "root", "first.*")
+        stars = stars.where((F.col("root") != F.col("r")) & near(F.col("n"), F.col("m")))
+        if alone:
+            stars = stars.groupBy("a").agg(F.min(F.struct("h", "b")).alias("first")).select("a", "first.b")
+        pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = staged(links.unionByName(one_of(pairs)), "links")
 
     # All that is left: sets outside a key's main component with those of other components.
     roots, at = placed()
