@@ -417,6 +417,60 @@ def test_licences_read_every_line_that_could_be_named(spark):
     assert {(-1, "bsd"), (-4, "mpl")} <= {(d, f) for d, _, f, _, _ in got} and not {-2, -5} & {d for d, *_ in got}
 
 
+PROBES = {
+    "This code is MIT licensed.": ["mit"], "Licensed under Apache-2.0": ["apache"], "GPLv3 licensed": ["gpl"], "dual licensed under MIT and Apache 2.0": ["apache", "mit"], "SPDX-License-Identifier: (MIT OR Apache-2.0)": ["apache", "mit"],
+    "SPDX-License-Identifier: LGPL-2.1-or-later": ["lgpl"], "The company is licensed under the law of the state": [], "This is published under the EUPL licence": [], "Released under the wings of the old mill, the birds flew off": [], "MIT and Apache helicopters met at the museum": None,
+}
+WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM"
+
+
+def test_licences_in_other_words(spark):
+    """Short mentions, SPDX expressions and dual licences, and a notice wrapped over lines between others."""
+    docs = spark.createDataFrame([*enumerate(PROBES), (100, f"first words\n\n{WARRANTY}\n\nlast words"), (101, "plain prose\nover two lines\n\nmore of it")], "doc_id long, text string")
+    rows = licences.scan_licences(docs).collect()
+    assert {text: next((r.families for r in rows if r.doc_id == i), None) for i, text in enumerate(PROBES)} == PROBES
+    assert [(r.line, r.n_lines, r.family) for r in rows if r.doc_id == 100 and r.n_lines > 1] == [(2, 4, "mit")] and not any(r.doc_id == 101 for r in rows)
+
+
+def test_licences_of_unseen_templates(spark):
+    """Without every third template, most of those are named, what is named is right, and probabilities mean what they say."""
+    model = licences.Classifier(spark, licences.others)
+    texts = [(t, f) for f in licences.TEMPLATES for t in licences.held_out(licences.TEMPLATES[f])]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan_licences(docs, model=model).collect()}
+    licence = [i for i, (_, f) in enumerate(texts) if f != licences.UNKNOWN]
+    named = [i for i in licence if i in got and got[i].family != licences.UNKNOWN]
+    right = sum(got[i].family == texts[i][1] for i in named)
+    assert right / len(licence) >= 0.75 and right / len(named) >= 0.95
+    assert not any(got[i].family != licences.UNKNOWN for i, (_, f) in enumerate(texts) if f == licences.UNKNOWN and i in got)
+    sure = [(got[i].probability, got[i].family == texts[i][1]) for i in named]
+    assert abs(sum(p for p, _ in sure) - sum(x for _, x in sure)) / len(sure) <= 0.15
+
+
+def test_licences_equal_plain_arithmetic(spark):
+    """Probability, family and likeness of lines by softmax and sets, from the fitted numbers."""
+    model = licences.classifier(spark)
+    tf, regression = model.model.stages
+    lines = [*PROBES, "Redistribution in binary form must reproduce the copyright notice", "copyright", "the software is free", "...", "Permission granted"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r for r in model.classify(model.compared(licences.lines_of(docs).withColumn("cue", F.lit(True)), 0.6), 0.5, 0.6).collect()}
+    features = {r.paragraph: r.features for r in tf.transform(licences.with_grams(docs.withColumnRenamed("text", "paragraph"))).collect()}
+    weights, intercept = regression.coefficientMatrix.toArray(), np.array(list(regression.interceptVector))
+
+    def pairs(text):
+        words = [w for w in re.split(r"[^\w.+-]+", text.lower()) if w]
+        return {f"{a.rstrip('.')} {b.rstrip('.')}" for a, b in zip(words, words[1:])}
+
+    for i, line in enumerate(lines):
+        z = (weights @ features[line].toArray() + intercept) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        family = model.families[int(z.argmax())]
+        own = pairs(line)
+        alike = max((len(own & pairs(t)) / max(1, min(len(pairs(t)), len(own))) for t in licences.TEMPLATES[family]), default=0.0) if family != licences.UNKNOWN else 0.0
+        want = family if p.max() >= 0.5 and alike >= 0.6 else licences.UNKNOWN
+        assert (got[i].family, got[i].probability, got[i].similarity) == (want, pytest.approx(p.max(), abs=1e-9), pytest.approx(alike, abs=1e-9))
+
+
 QUESTION = "a farmer called Anna has 12 apples and gives 5 apples to her friend Ben before lunch. How many apples does Anna keep after she sold 12 pears to the shop for 3 dollars?"
 
 
