@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..schema import POSITIONS
 
 #: Prices in each octave, and octaves below the highest points per salary that a player has.
-STEPS, OCTAVES = 4, 12
+STEPS, OCTAVES = 2, 7
 
 
 def prices(players: DataFrame) -> list[int]:
