@@ -14,6 +14,7 @@ executor leaves at most a file nobody reads.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 import uuid
@@ -59,6 +60,7 @@ class Encoder:
         normal, split = parts.get("normalizer") or {}, (parts.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         replaces = [x for x in normal.get("normalizers", []) if x["type"] == "Replace"]
         self.added = [x["content"].encode() for x in parts["added_tokens"]]
+        self.special = re.compile(b"|".join(map(re.escape, self.added)) or b"(?!)")
         self.by_word = bool(
             self.added and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in parts["added_tokens"])
             and any(x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in replaces) and any(x["type"] == "Lowercase" for x in normal["normalizers"])
@@ -86,16 +88,20 @@ class Encoder:
         use stay. New ones are encoded many at a time, parted by an added token, without case and closing stops."""
         if len(self.known) > CACHE_WORDS // 2:
             self.known, self.older = {b"": b""}, self.known
-        known, pairs = self.known, {}
+        known, pairs, whole = self.known, {}, []
         for w in self.recall(words - known.keys()):
             # Case goes before the tokenizer's NFC only where it can't change what NFC composes: J and a caron compose as j, not as J.
-            low = w.lower() if w.isascii() else w
-            if any(a in w.lower() for a in self.added):
+            small = w.lower()
+            if self.special.search(small):
                 known[w] = self.ids([w.decode()])[0]
                 continue
+            low = small if w.isascii() else w
+            if low == w and w[-1] not in b".,":
+                whole.append(w)
+                continue
             core = low.rstrip(b".,")
             pairs[w] = (core, low[len(core) :]) if len(core) < len(low) and ends_plain(core) else (low, b"")
-        new = self.recall({x for pair in pairs.values() for x in pair} - known.keys())
+        new = whole + self.recall({x for pair in pairs.values() for x in pair} - known.keys() - set(whole))
         mark = self.added[-1].decode()
         mark_id = self.tokenizer.token_to_id(mark)
         for at in range(0, len(new), 500):
