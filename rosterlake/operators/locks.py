@@ -53,6 +53,19 @@ def request_table(rows: DataFrame, variants: tuple[tuple[float, float], ...] = V
 KEY = ["slate", "request", "variant"]
 
 
+def folded(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests, names) of a table of requests: those of a slate that ask the same are one row, whatever they are called
+    and in whatever order their lists are; names has slate, request, variant and one, what that row is called.
+
+    What is asked is known by 128 hash bits, as problems are."""
+    lists = ["excluded", "included"]
+    sets = requests.withColumns({c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))) for c in lists})
+    body = F.to_json(F.struct(*[c for c in sets.columns if c not in KEY]))
+    told = sets.withColumn("one", F.concat(*[F.hex(F.xxhash64(F.lit(i), body)) for i in (1, 2)]))
+    asked = told.drop("request").withColumnRenamed("one", "request").dropDuplicates(KEY)
+    return asked.select(*requests.columns), told.select("slate", "request", "variant", "one")
+
+
 def toggled(excluded: Column, included: Column, player: Column, into: str = "excluded") -> tuple[Column, Column]:
     """Both lists after a name is toggled in one of them: it goes if it was there, else it comes in and leaves the other."""
     one, other = (excluded, included) if into == "excluded" else (included, excluded)

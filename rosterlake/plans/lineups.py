@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.locks import KEY, DefenseNotFound, Request, candidates, compositions, request_rows, residuals
+from ..operators.locks import KEY, DefenseNotFound, Request, candidates, compositions, folded, request_rows, residuals
 from ..schema import CAP, PLAYERS, POOL_COLUMNS, position_order
 from ..sources.snapshots import latest_week, listed_files, read_pools, records
 from ..staging import staged
@@ -16,34 +16,56 @@ from .solver import SCALE, micro, solve
 Requests = list[Request] | DataFrame
 
 
-def solved(pool: DataFrame, requests: Requests, included: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates with picks, residuals, best filling)."""
+#: What of a candidate the optimiser reads.
+NARROW = [*KEY, "idx", "player", "position", "salary", "proj_fpts", "one_te", "by_name", "by_dst", "locked", "dst_missing"]
+
+
+def solved(pool: DataFrame, requests: Requests, included: DataFrame | None = None, columns: list[str] = NARROW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates with columns, residuals, best filling)."""
     asked = requests if isinstance(requests, DataFrame) else request_rows(pool.sparkSession, requests)
-    rows = staged(candidates(pool, asked, included), "candidates")
+    rows = staged(candidates(pool, asked, included).select(*columns), "candidates")
     left = staged(residuals(rows), "residuals")
     free = rows.where("not locked and not dst_missing").join(rows.where("locked").select(*KEY, "player").distinct(), [*KEY, "player"], "left_anti")
     best = solve(free.select(*KEY, "position", "idx", "salary", micro(F.col("proj_fpts")).alias("points")), compositions(left.where("not dst_missing")))
     return rows, left, staged(best, "best")
 
 
+def once(requests: Requests, included: DataFrame | None) -> tuple[Requests, DataFrame | None]:
+    """Of a table of requests, those that ask the same once, and the names of all; see folded. Other requests as they are."""
+    if isinstance(requests, DataFrame) and "slate" in requests.columns and included is None:
+        asked, names = folded(requests)
+        names = staged(names, "names")
+        return staged(asked, "asked"), names
+    return requests, None
+
+
+def named(rows: DataFrame, names: DataFrame | None) -> DataFrame:
+    """The rows of folded requests for every request that is one of them."""
+    if names is None:
+        return rows
+    return rows.withColumnRenamed("request", "one").join(names, ["slate", "one", "variant"]).select(*rows.columns)
+
+
 def optimal_lineups(pool: DataFrame, requests: Requests, included: DataFrame | None = None) -> DataFrame:
     """KEY, status, and the 11 pool columns of every roster row.
 
     Rows are the locked players and the best filling; without a filling, the locked rows with status INFEASIBLE; with an
     asked defense that no candidate has, no rows (see summaries). A picked name brings all pool rows of that name."""
-    rows, _, best = solved(pool, requests, included)
+    requests, every = once(requests, included)
+    rows, _, best = solved(pool, requests, included, list(dict.fromkeys([*NARROW, *POOL_COLUMNS])))
     picked = best.select(*KEY, F.explode("ids").alias("idx"))
     names = rows.join(picked, [*KEY, "idx"]).select(*KEY, "player").unionByName(rows.where("locked and not dst_missing").select(*KEY, "player")).distinct()
     status = best.select(*KEY, F.lit("OPTIMAL").alias("_status"))
     lineup = rows.join(names, [*KEY, "player"], "left_semi").join(status, KEY, "left")
-    return lineup.select(*KEY, F.coalesce("_status", F.lit("INFEASIBLE")).alias("status"), "idx", *POOL_COLUMNS)
+    return named(lineup.select(*KEY, F.coalesce("_status", F.lit("INFEASIBLE")).alias("status"), "idx", *POOL_COLUMNS), every)
 
 
 def summaries(pool: DataFrame, requests: Requests, included: DataFrame | None = None) -> DataFrame:
     """KEY, status (OPTIMAL, INFEASIBLE or DST_NOT_FOUND), and totals of the filling: points and salary."""
+    requests, every = once(requests, included)
     _, left, best = solved(pool, requests, included)
     status = F.when(F.col("dst_missing"), "DST_NOT_FOUND").when(F.col("points").isNull(), "INFEASIBLE").otherwise("OPTIMAL")
-    return left.join(best, KEY, "left").select(*KEY, status.alias("status"), (F.col("points") / SCALE).alias("free_points"), F.col("salary").cast("long").alias("free_salary"))
+    return named(left.join(best, KEY, "left").select(*KEY, status.alias("status"), (F.col("points") / SCALE).alias("free_points"), F.col("salary").cast("long").alias("free_salary")), every)
 
 
 def totals(lineups: DataFrame) -> DataFrame:

@@ -585,3 +585,24 @@ def test_locked_objective_without_defense(spark, tmp_path):
     got = {r.slate: r.status for r in registered.queries()["optimal_objective_locked"](spark, folder).collect()}
     want = {slate: status for slate, _, status, _ in by_sql(folder, "optimal_objective_locked").fetchall()}
     assert got == want and got[1] == "INFEASIBLE" and got[0] == "OPTIMAL"
+
+
+def test_equal_requests_are_made_once(spark):
+    """Requests that differ only by name or order of names make candidates once; every one has its own result."""
+    pool = pool_frame(spark, week(31, (3, 5, 6, 3, 3)), "a").unionByName(pool_frame(spark, week(32, (3, 5, 6, 3, 3)), "b"))
+    kinds = [(None, False, ["RB0", "WR1"], []), (None, True, ["WR1", "RB0", "RB0"], []), ("dst1", False, None, ["QB1"]), ("none", False, [], []), (None, False, [], ["RB0", "RB1", "RB2", "RB3"])]
+    asked = [("ab"[i % 2], f"q{i}", *kinds[i % 5]) for i in range(300)]
+    asked += [("a", "turned", None, False, ["WR1", "RB0"], [])]
+    table = spark.createDataFrame(asked, "slate string, request string, dst string, one_te boolean, excluded array<string>, included array<string>")
+    requests = locks.request_table(table, ((1.0, 0.0), (0.9, 0.1)))
+    once, names = locks.folded(requests)
+    assert once.count() == 20 and names.count() == 602 and names.select("slate", "one", "variant").distinct().count() == 20
+    few = locks.request_table(table.where("request in ('turned', 'q2', 'q9')"), ((1.0, 0.0), (0.9, 0.1)))
+    of = lambda rows, *c: dict((k, sorted(map(tuple, v[list(c)].values.tolist()), key=str)) for k, v in rows.toPandas().groupby(["slate", "request", "variant"]))
+    alone = {}
+    for slate, name, dst, one, out, own in few.select("slate", "request", "dst", "one_te", "excluded", "included").distinct().collect():
+        mine = [Request(name, dst, one, tuple(out), tuple(own), ((1.0, 0.0), (0.9, 0.1)))]
+        alone |= of(lineups.optimal_lineups(pool.where(F.col("slate") == slate), mine), "status", "idx", "player", "proj_fpts", "salary")
+    assert of(lineups.optimal_lineups(pool, few), "status", "idx", "player", "proj_fpts", "salary") == alone
+    got = {(r.slate, r.request, r.variant): (r.status, r.free_points) for r in lineups.summaries(pool, requests).collect()}
+    assert len(got) == 602 and got["a", "turned", 2] == got["a", "q0", 2] and got["b", "q5", 1] == got["b", "q295", 1] and {s for s, _ in got.values()} == {"OPTIMAL", "INFEASIBLE", "DST_NOT_FOUND"}
