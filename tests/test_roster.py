@@ -606,3 +606,22 @@ def test_equal_requests_are_made_once(spark):
     assert of(lineups.optimal_lineups(pool, few), "status", "idx", "player", "proj_fpts", "salary") == alone
     got = {(r.slate, r.request, r.variant): (r.status, r.free_points) for r in lineups.summaries(pool, requests).collect()}
     assert len(got) == 602 and got["a", "turned", 2] == got["a", "q0", 2] and got["b", "q5", 1] == got["b", "q295", 1] and {s for s, _ in got.values()} == {"OPTIMAL", "INFEASIBLE", "DST_NOT_FOUND"}
+
+
+def test_store_files_do_not_grow_with_slates(spark, tmp_path, monkeypatch):
+    """Rosters of 30 weeks are in as many files as tasks write; runs that nothing needs go, and many are made one."""
+    monkeypatch.setattr(incremental, "RUNS", 2)
+    store, one = f"{tmp_path}/store", [Request(variants=((1.0, 0.0),))]
+    pool = pool_frame(spark, week(20, (3, 4, 5, 3, 2)), "a").drop("slate").crossJoin(spark.range(30).select(F.col("id").cast("string").alias("slate"))).localCheckpoint()
+    files = lambda: [os.path.join(d, f) for d, _, names in os.walk(store) for f in names if f.endswith(".parquet") and "/runs/" in d]
+    runs = lambda: spark.read.parquet(f"{store}/digests").select("run").distinct().count()
+    state = lambda: sorted(map(tuple, incremental.kept_rosters(spark, store).select("slate", "idx", "proj_fpts").collect()))
+    assert incremental.refresh_rosters(pool, one, store) == 30 and len(files()) <= 8 and len({s for s, _, _ in state()}) == 30
+    before = state()
+    more = F.col("proj_fpts") + F.when(F.col("slate") == "7", 1.0).otherwise(0.0)
+    assert incremental.refresh_rosters(pool.withColumn("proj_fpts", more), one, store) == 1 and runs() == 2
+    assert [r for r in state() if r[0] != "7"] == [r for r in before if r[0] != "7"] and state() != before
+    more = more + F.when(F.col("slate") == "8", 1.0).otherwise(0.0)
+    assert incremental.refresh_rosters(pool.withColumn("proj_fpts", more), one, store) == 1 and runs() == 1
+    assert len(state()) == len(before) and len([r for r in zip(state(), before) if r[0] != r[1]]) == len([r for r in before if r[0] in "78"])
+    assert len(os.listdir(f"{store}/runs")) == 1
