@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.locks import KEY, DefenseNotFound, Request, candidates, compositions, folded, request_rows, residuals
 from ..schema import CAP, PLAYERS, POOL_COLUMNS, position_order
-from ..sources.snapshots import latest_week, listed_files, read_pools, records
+from ..sources.snapshots import files_of, latest_week, listed_files, read_pools, records
 from ..staging import staged
 from .solver import SCALE, micro, solve
 
@@ -85,19 +85,24 @@ class RosterService:
     """Stored pools under a folder of CSV snapshots, served by (year, week)."""
 
     def __init__(self, spark: SparkSession, pools: str, year: int | None = None, week: int | None = None, policy: str = "name"):
-        self.spark, self.pools = spark, pools
+        self.spark, self.pools, self.files = spark, pools, listed_files(spark, pools)
         if year is None or week is None:
-            row = latest_week(listed_files(spark, pools), year, policy).first()
+            row = latest_week(self.files, year, policy).first()
             year, week = row["year"] if year is None else year, row["week"] if week is None else week
         self.year, self.week = year, week
 
     def pool(self) -> DataFrame:
-        rows = read_pools(self.spark, self.pools).where((F.col("file_year") == self.year) & (F.col("file_week") == self.week))
+        return self.week_pool(self.year, self.week)
+
+    def week_pool(self, year: int, week: int) -> DataFrame:
+        """Rows of the files of one week; others are listed, but not read."""
+        mine = files_of(self.files, year, week)
+        rows = read_pools(self.spark, mine or self.pools).where((F.col("file_year") == year) & (F.col("file_week") == week))
         return rows.withColumn("slate", F.format_string("%d_w%d", "file_year", "file_week"))
 
     def projections(self, year: int | None = None, week: int | None = None) -> DataFrame:
         """Pool rows of a week in serving order; FileNotFoundError if there is none."""
-        rows = RosterService(self.spark, self.pools, year or self.year, week or self.week).pool()
+        rows = self.week_pool(year or self.year, week or self.week)
         if rows.isEmpty():
             raise FileNotFoundError(f"no pool of {year or self.year}, week {week or self.week}")
         return rows.select(*POOL_COLUMNS).orderBy(position_order(F.col("position")), "rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +27,7 @@ def read_salaries(spark: SparkSession, path: str) -> DataFrame:
     return read_snapshots(spark, path, SALARY)
 
 
-def read_pools(spark: SparkSession, path: str) -> DataFrame:
+def read_pools(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_snapshots(spark, path, POOL)
 
 
@@ -46,6 +48,13 @@ def listed_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("modified"))
 
 
+def files_of(files: DataFrame, year: int, week: int) -> list[str]:
+    """Paths of the files (path, modified) of one week, as patterns that match just them; a week has a few."""
+    path = F.col("path")
+    rows = files.where((text.year_of_file(path) == year) & (text.week_of_file(path) == week)).select("path").orderBy("path").collect()
+    return [re.sub(r"([*?\[\]{}\\])", r"\\\1", row["path"]) for row in rows]
+
+
 def filled(rows: DataFrame) -> DataFrame:
     """Missing values become 0 in every column, '0' in text."""
     return rows.na.fill(0).na.fill("0")
@@ -60,7 +69,9 @@ def write_snapshots(rows: DataFrame, path: str, prefix: str) -> None:
     """CSV snapshots under path, one folder a (file_year, file_week) whose name ends in {prefix}_{year}_w{week}.csv, so that
     read_salaries and read_pools on `{path}/*` find the week by name. Weeks that rows hold are replaced, others stay."""
     named = rows.withColumn("snapshot", F.format_string(f"{prefix}_%d_w%d.csv", "file_year", "file_week")).drop("file_year", "file_week")
-    named.repartition("snapshot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot").csv(path, header=True)
+    # Tasks move their own files; until all have, these stay in the folder that a dynamic overwrite stages them in.
+    moved = {"partitionOverwriteMode": "dynamic", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
+    named.repartition("snapshot").write.mode("overwrite").options(**moved).partitionBy("snapshot").csv(path, header=True)
 
 
 def export_csv(rows: DataFrame, path: str) -> None:

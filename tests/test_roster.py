@@ -625,3 +625,14 @@ def test_store_files_do_not_grow_with_slates(spark, tmp_path, monkeypatch):
     assert incremental.refresh_rosters(pool.withColumn("proj_fpts", more), one, store) == 1 and runs() == 1
     assert len(state()) == len(before) and len([r for r in zip(state(), before) if r[0] != r[1]]) == len([r for r in before if r[0] in "78"])
     assert len(os.listdir(f"{store}/runs")) == 1
+
+
+def test_service_reads_only_its_week(spark, tmp_path):
+    rows = pool_frame(spark, week(9)).drop("slate").crossJoin(spark.range(1, 13).select(F.lit(2025).alias("file_year"), F.col("id").cast("int").alias("file_week")))
+    snapshots.write_snapshots(rows, str(tmp_path / "odd [x]"), "pool")
+    service = lineups.RosterService(spark, str(tmp_path / "odd*" / "*"))
+    files = service.pool().inputFiles()
+    assert (service.year, service.week) == (2025, 12) and files and all("w12.csv" in f for f in files)
+    assert service.pool().count() == len(week(9)) == service.projections(week=3).count()
+    with pytest.raises(FileNotFoundError):
+        service.projections(week=14)
