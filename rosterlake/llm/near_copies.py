@@ -12,7 +12,8 @@ elements, so too many differing bits rule a pair out and no link is lost; what i
 which only their texts give.
 
 A group of copies is no set of all its pairs: first each set is confirmed with one other of its keys, then with one of each
-key; pairs inside one component need no test any more, and what is left between components is tested pair by pair.
+key; pairs inside one component need no test any more, and what is left between components is tested pair by pair, where both
+sets have enough shingles left from the shared one on.
 """
 
 from __future__ import annotations
@@ -189,6 +190,20 @@ def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int
     return judged(left, sets, "shingles", similar)
 
 
+def meeting(larger: DataFrame, smaller: DataFrame, similarity: float) -> DataFrame:
+    """Rows key, set, n, left, root -> (a, b): sets of other components that a key leaves possible, larger ones (by n, set)
+    from the first table with smaller ones from the second.
+
+    Two similar sets share similarity / (1 + similarity) of their sizes' sum or more, all of it from their first common key
+    on, so there both have as many left. The smaller one then has enough left for a set of its own size too: where a key
+    comes later than that in all texts, as that of a common passage does, no two meet."""
+    enough = lambda left, sizes: (1 + similarity) * left >= similarity * sizes - 1e-6
+    a, b = larger.alias("a"), smaller.where(enough(F.col("left"), 2 * F.col("n"))).alias("b")
+    apart = F.expr("a.key = b.key and a.root != b.root and (a.n > b.n or a.n = b.n and a.set > b.set)")
+    apart &= enough(F.least("a.left", "b.left"), F.col("a.n") + F.col("b.n"))
+    return a.join(b, apart).select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b"))
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: documents linked through pairs whose shingle sets have Jaccard `similarity` or more.
 
@@ -216,26 +231,30 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     links = staged(one_of(equal.unionByName(linked)), "links")
 
     # Keys of several sets. Rare ones have few rows, which one window sees; frequent ones are counted before they are joined.
-    keyed = lambda column: fresh.select(F.explode(column).alias("key"), "set", "n")
+    # left: a set's shingles from this key on, in the common order.
+    keyed = lambda column, before: fresh.select(F.posexplode(column).alias("at", "key"), "set", "n", before.alias("before")).select("key", "set", "n", (F.col("n") - F.col("before") - F.col("at")).alias("left"))
     of_key = Window.partitionBy("key")
-    rare = keyed("rare").select("*", F.min("set").over(of_key).alias("lo"), F.max("set").over(of_key).alias("hi")).where("lo < hi").select("key", "set", "n").dropDuplicates(["key", "set"])
-    often = staged(keyed("often").distinct(), "frequent")
+    rare = keyed("rare", F.lit(0)).select("*", F.min("set").over(of_key).alias("lo"), F.max("set").over(of_key).alias("hi")).where("lo < hi").drop("lo", "hi").dropDuplicates(["key", "set"])
+    often = staged(keyed("often", F.size("rare")).distinct(), "frequent")
     several = staged(often.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "several")
     shared = staged(rare.unionByName(often.join(several, "key", "left_semi")), "shared")
     near = lambda n, m: F.least(n, m) >= F.greatest(n, m) * F.lit(similarity - 1e-9)
 
     def placed() -> tuple[DataFrame, DataFrame]:
         roots = components(links)
-        return roots, staged(shared.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", "n", F.coalesce("root", "set").alias("root")), "placed")
+        return roots, staged(shared.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", "n", "left", F.coalesce("root", "set").alias("root")), "placed")
 
     # A star a key: each set with the key's first one. Of all stars that a set is in, that of the first centre counts alone
-    # at first, which joins most of a large group at a pair a set; then those that still lead to another component.
-    first = F.min(F.struct(F.xxhash64("set").alias("h"), F.col("set").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))).alias("first")
-    for alone in (True, False):
+    # at first, which joins most of a large group at a pair a set; then those that still lead to another component, with
+    # an order of its own for each key, so that a set meets as many centres of a group as it has keys there; and once again
+    # with other centres, for what has not met one that it is like.
+    for again in range(3):
+        h = F.xxhash64("set", "key", F.lit(again)) if again else F.xxhash64("set")
+        first = F.min(F.struct(h.alias("h"), F.col("set").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))).alias("first")
         roots, at = placed()
         stars = at.join(staged(at.groupBy("key").agg(first), "first"), "key").select(F.col("set").alias("a"), "n", "root", "first.*")
         stars = stars.where((F.col("root") != F.col("r")) & near(F.col("n"), F.col("m")))
-        if alone:
+        if not again:
             stars = stars.groupBy("a").agg(F.min(F.struct("h", "b")).alias("first")).select("a", "first.b")
         pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         links = staged(links.unionByName(one_of(pairs)), "links")
@@ -243,9 +262,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     # All that is left: sets outside a key's main component with those of other components.
     roots, at = placed()
     main = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("sets")).groupBy("key").agg(F.max_by("root", F.struct("sets", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
-    mixed = staged(at.join(main, "key"), "mixed")
-    apart = F.expr("a.key = b.key and a.root != b.root and (b.root = b.main or a.set < b.set)") & near(F.col("a.n"), F.col("b.n"))
-    pairs = mixed.where("root != main").alias("a").join(mixed.alias("b"), apart).select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b"))
+    mixed = staged(at.join(main, "key").withColumn("outside", F.col("root") != F.col("main")), "mixed")
+    pairs = meeting(mixed.where("outside"), mixed, similarity).unionByName(meeting(mixed.where("not outside"), mixed.where("outside"), similarity))
     roots = components(staged(links.unionByName(one_of(pairs)), "links"))
 
     members = signed.groupBy("set").agg(F.min("doc_id").alias("first_doc")).join(roots, F.col("set") == F.col("node"), "left")

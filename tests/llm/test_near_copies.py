@@ -48,6 +48,22 @@ def test_near_copies(spark):
     assert near_copies.near_copies(frame.limit(0)).count() == 0
 
 
+def test_unlike_texts_with_a_common_passage_do_not_meet(spark, monkeypatch):
+    """The passage is 0.84 of each text's shingles, so the prefixes hold some of it, but two texts are just 0.72 alike."""
+    passage = " ".join(f"common{i}" for i in range(200))
+    rows = [(i, f"{passage} {' '.join(f'own{i}x{j}' for j in range(38))}") for i in range(60)] + [(60, f"{passage} {' '.join(f'own7x{j}' for j in range(30))}")]
+    asked, confirm = [], near_copies.confirm
+
+    def counting(pairs, *rest):
+        asked.append(pairs.distinct().count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "confirm", counting)
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute(rows) and found[60] == 7
+    assert asked[-1] <= len(rows), asked  # not a pair of texts each
+
+
 def test_pipeline_drops_near_copies(spark):
     """Edited copies of similarity 0.8 or more differ in more than three bits of a fingerprint."""
     rows = edited_rows()
