@@ -185,7 +185,10 @@ def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int
 
     left = staged(judged(pairs.distinct(), classes, "sketch", possible), "possible")
     wanted = left.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    sets = texts.select("text").mapInArrow(whole_sets(shingle, map_of(wanted)), "set long, shingles array<long>")
+    bits = map_of(wanted)
+    if not bits.any():
+        return left  # no pair, so no set is wanted and the texts need not be read
+    sets = texts.select("text").mapInArrow(whole_sets(shingle, bits), "set long, shingles array<long>")
     sets = staged(sets.join(wanted, "set", "left_semi").dropDuplicates(["set"]).withColumn("n", F.size("shingles")), "sets")
     return judged(left, sets, "shingles", similar)
 
@@ -228,7 +231,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     first = lambda name: prints.select(F.col("fp").alias(name + "_fp"), F.col("first").alias(name))
     linked = fingerprint_links(prints.select("fp")).select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp"))
     linked = linked.join(first("a"), "a_fp").join(first("b"), "b_fp").select("a", "b")
-    links = staged(one_of(equal.unionByName(linked)), "links")
+    roots = components(one_of(equal.unionByName(linked)))
 
     # Keys of several sets. Rare ones have few rows, which one window sees; frequent ones are counted before they are joined.
     # left: a set's shingles from this key on, in the common order.
@@ -240,9 +243,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     shared = staged(rare.unionByName(often.join(several, "key", "left_semi")), "shared")
     near = lambda n, m: F.least(n, m) >= F.greatest(n, m) * F.lit(similarity - 1e-9)
 
-    def placed() -> tuple[DataFrame, DataFrame]:
-        roots = components(links)
-        return roots, staged(shared.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", "n", "left", F.coalesce("root", "set").alias("root")), "placed")
+    def placed() -> DataFrame:
+        return staged(shared.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", "n", "left", F.coalesce("root", "set").alias("root")), "placed")
+
+    def grown(pairs: DataFrame) -> DataFrame:
+        """The components with new links: what is linked already is as many links as sets."""
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(one_of(pairs)))
 
     # A star a key: each set with the key's first one. Of all stars that a set is in, that of the first centre counts alone
     # at first, which joins most of a large group at a pair a set; then those that still lead to another component, with
@@ -251,20 +257,20 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     for again in range(3):
         h = F.xxhash64("set", "key", F.lit(again)) if again else F.xxhash64("set")
         first = F.min(F.struct(h.alias("h"), F.col("set").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))).alias("first")
-        roots, at = placed()
+        at = placed()
         stars = at.join(staged(at.groupBy("key").agg(first), "first"), "key").select(F.col("set").alias("a"), "n", "root", "first.*")
         stars = stars.where((F.col("root") != F.col("r")) & near(F.col("n"), F.col("m")))
         if not again:
             stars = stars.groupBy("a").agg(F.min(F.struct("h", "b")).alias("first")).select("a", "first.b")
         pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = staged(links.unionByName(one_of(pairs)), "links")
+        roots = grown(pairs)
 
     # All that is left: sets outside a key's main component with those of other components.
-    roots, at = placed()
+    at = placed()
     main = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("sets")).groupBy("key").agg(F.max_by("root", F.struct("sets", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
     mixed = staged(at.join(main, "key").withColumn("outside", F.col("root") != F.col("main")), "mixed")
     pairs = meeting(mixed.where("outside"), mixed, similarity).unionByName(meeting(mixed.where("not outside"), mixed.where("outside"), similarity))
-    roots = components(staged(links.unionByName(one_of(pairs)), "links"))
+    roots = grown(pairs)
 
     members = signed.groupBy("set").agg(F.min("doc_id").alias("first_doc")).join(roots, F.col("set") == F.col("node"), "left")
     members = staged(members.select("set", "first_doc", F.coalesce("root", "set").alias("root")), "members")

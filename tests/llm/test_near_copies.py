@@ -86,3 +86,12 @@ def test_map_of_wanted_sets(spark):
     cells = {(v & 0xFFFFFFFFFFFFFFFF) >> (64 - near_copies.WANTED_LOG2) for v in values}
     found = near_copies.map_of(spark.createDataFrame([(v,) for v in values], "set long"))
     assert set(np.flatnonzero(np.unpackbits(found, bitorder="little")).tolist()) == cells
+
+
+def test_no_pair_reads_no_text(spark, monkeypatch):
+    """Where no pair is possible, the texts are not read for whole sets."""
+    monkeypatch.setattr(near_copies, "whole_sets", None)
+    classes = spark.createDataFrame([(1, 1, bytearray(b"a")), (2, 9, bytearray(b"b"))], "set long, n int, sketch binary")
+    texts = spark.createDataFrame([("x",)], "text string")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert near_copies.confirm(pairs, classes, texts, 5, 0.8).collect() == []

@@ -140,6 +140,17 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 100 for i in range(101, 161)}, **{i: 1 for i in range(2, 90)}}
 
 
+def test_components_of_stars_take_no_step(spark, monkeypatch):
+    """Edges that are stars already are written once and returned; others go on until they are."""
+    written = []
+    monkeypatch.setattr(components, "staged", lambda df, name: (written.append(name), common.staged(df, name))[1])
+    got = {r.node: r.root for r in components.components(spark.createDataFrame([(1, 2), (3, 1), (8, 7)], "a long, b long")).collect()}
+    assert got == {2: 1, 3: 1, 8: 7} and len(written) == 1
+    got = {r.node: r.root for r in components.components(spark.createDataFrame([(1, 2), (3, 2)], "a long, b long")).collect()}
+    assert got == {2: 1, 3: 1} and len(written) == 3
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD = r"[0-9]([\x20-]?[0-9])+"
