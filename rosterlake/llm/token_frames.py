@@ -20,6 +20,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,13 @@ from .common import new_folder, ship, slices, staged, text_buffers
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Decompressed bytes of a frame, unless one document has more; zstd level; words whose ids a worker keeps (about 150 bytes each).
 FRAME_BYTES, LEVEL, CACHE_WORDS = 1 << 20, 3, 1_000_000
+#: Letters that are as they are in NFC; words of them and of ASCII are parted here as the tokenizer parts them, if its pattern is SPLIT.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+PLAIN = re.compile(f"[{LETTERS}!-~]*")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = re.compile(SPLIT.replace(r"\p{L}", LETTERS).replace(r"\p{N}", "0-9"))
+#: Characters that stand for the bytes, given as Latin-1, in byte-level vocabularies.
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 MANIFEST = "path string, part int, first_doc long, n_docs long, n_tokens long"
 ENCODERS: dict[int, Encoder] = {}
 
@@ -66,6 +74,11 @@ class Encoder:
             and any(x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in replaces) and any(x["type"] == "Lowercase" for x in normal["normalizers"])
             and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and parts["model"].get("end_of_word_suffix")
         )
+        model, last = parts["model"], (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])[1:]
+        self.plain = bool(
+            self.by_word and split["pattern"] == {"Regex": SPLIT} and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in last if x["type"] == "ByteLevel"] == [("ByteLevel", False, False)] and len(last) == 1
+            and [x["type"] for x in normal["normalizers"]] == ["NFC", "Replace", "Lowercase"] and model["type"] == "BPE" and not model.get("dropout") and all(x == x.lower() for x in self.added)
+        )
         self.known: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
 
@@ -84,23 +97,27 @@ class Encoder:
         return new
 
     def learn(self, words: set[bytes]) -> None:
-        """Have the ids of all words in known. Once known holds half of CACHE_WORDS it becomes the older half, so words in
-        use stay. New ones are encoded many at a time, parted by an added token, without case and closing stops."""
-        if len(self.known) > CACHE_WORDS // 2:
-            self.known, self.older = {b"": b""}, self.known
-        known, pairs, whole = self.known, {}, []
+        """Have the ids of all words in known. New ones that are plain are parted here, and each piece goes to the tokenizer's
+        model once; others are encoded many at a time, parted by an added token, without case and closing stops."""
+        known, pairs, whole, plain = self.known, {}, [], {}
         for w in self.recall(words - known.keys()):
             # Case goes before the tokenizer's NFC only where it can't change what NFC composes: J and a caron compose as j, not as J.
             small = w.lower()
             if self.special.search(small):
                 known[w] = self.ids([w.decode()])[0]
                 continue
+            if self.plain and PLAIN.fullmatch(text := w.decode().lower()):
+                plain[w] = [x.encode() for x in PIECES.findall(text)]
+                continue
             low = small if w.isascii() else w
             if low == w and w[-1] not in b".,":
                 whole.append(w)
                 continue
             core = low.rstrip(b".,")
             pairs[w] = (core, low[len(core) :]) if len(core) < len(low) and ends_plain(core) else (low, b"")
+        self.learn_pieces(self.recall(set().union(*plain.values()) - known.keys()))
+        for w, pieces in plain.items():
+            known[w] = b"".join([known[x] for x in pieces])
         new = whole + self.recall({x for pair in pairs.values() for x in pair} - known.keys() - set(whole))
         mark = self.added[-1].decode()
         mark_id = self.tokenizer.token_to_id(mark)
@@ -114,12 +131,25 @@ class Encoder:
         for w, (core, stops) in pairs.items():
             known[w] = known[core] + known[stops]
 
+    def learn_pieces(self, pieces: list[bytes]) -> None:
+        """Have the ids of pieces that the tokenizer would part as they are."""
+        tokenize, flat, ends, size = self.tokenizer.model.tokenize, [], [0], self.dtype.itemsize
+        for p in pieces:
+            flat += [x.id for x in tokenize(p.decode() if p.isascii() else p.decode("latin-1").translate(BYTE_LEVEL))]
+            ends.append(len(flat))
+        raw = np.array(flat, self.dtype).tobytes()
+        for p, a, b in zip(pieces, ends, ends[1:]):
+            self.known[p] = raw[a * size : b * size]
+
     def encode(self, raw: bytes, offsets: np.ndarray) -> list[bytes]:
         texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         if not self.by_word:
             return self.ids([t.decode() for t in texts])
         split = [t.split() for t in texts]
-        self.learn(set().union(*split))
+        # Once known holds half of CACHE_WORDS it becomes the older half, so words in use stay.
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.older = {b"": b""}, self.known
+        self.learn(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 

@@ -362,6 +362,16 @@ def test_words_encode_as_whole_texts_do():
     assert got == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_plain_words_share_their_pieces():
+    """Words that differ in case and signs alone take no ids of their own from the tokenizer, and are encoded as it does."""
+    own = token_frames.Encoder(open(queries.tokenizer_path()).read())
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    texts = [a + x for a in letters for x in ("", "s***", "'", "12")] + ["Zaqué*** (zaqué) it's $'s 's ''s x'll A.b-C_d KÅẞİ a\xad <|endoftext|>a <|ENDOFTEXT|>"]
+    raw = [t.encode() for t in texts]
+    assert own.encode(b"".join(raw), np.append(0, np.cumsum([len(t) for t in raw]))) == own.ids(texts)
+    assert {"zaqué".encode(), b"***", b"'s", b"1"} <= own.known.keys()
+
+
 def test_random_words_encode_as_whole_texts_do():
     """Capitals before combining marks: what NFC composes depends on the case."""
     import random
